@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, exact_dedup
+from corvane.llm import bpe, exact_dedup, mixing, secrets, topk
 
 QUERIES = {
+    "op2_topk": topk.op2_topk,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_mixing": mixing.op4_mixing,
     "op7_bpe": bpe.op7_bpe,
+    "op9_secrets": secrets.op9_secrets,
 }
 ORACLE_SQL = {
+    "op2_topk": topk.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op4_mixing": mixing.OP4_SQL,
 }
