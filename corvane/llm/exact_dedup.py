@@ -5,9 +5,11 @@ digest in RocksDB, without a watermark, so that state never expires: the number
 where its content lies. A digest seen once is unique. Digests seen more often are *hits*: their texts are grouped by digest and
 full bytes, so two texts that merely share a digest are told apart.
 
-Shape of the plan: the first pass shuffles one thin row per document after map-side aggregation, the state holds one row per
-digest however many copies there are, the byte check touches only documents in hits and also aggregates before its shuffle,
-and the last join is a plain equi-join whose hot keys adaptive execution may split.
+Shape of the plan: the first pass stores one thin row per document (id, digest, locator) and everything but the byte check
+works on those rows. The state aggregates before its shuffle and holds one row per digest however many copies there are. The
+byte check is the one place where texts move: they are dealt by digest and a salt, so that a large group is spread, and
+aggregated before the second exchange, which then carries one text a group and task. The last join is a plain equi-join whose
+hot keys adaptive execution may split.
 
 Defined results
 * null text is the empty text; all empty texts are one group.
@@ -27,78 +29,89 @@ from pyspark.sql import functions as F
 from corvane.llm._common import ascii_lower, scratch_path, stored, table, whole
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER, PARTS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Parts over which the texts of one digest are spread for the byte check.
+SALTS = 16
 
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def keyed_state(arrivals: DataFrame, checkpoint: str, state_partitions: int | None = None) -> DataFrame:
-    """Folds a stream of (digest, id, locator, rows) into the state at `checkpoint` and reads that state back.
+def keyed_state(arrivals: DataFrame, checkpoint: str) -> DataFrame:
+    """Folds a stream of (digest, id, locator) into the state at `checkpoint` and reads that state back: digest, seen, keep, locator.
 
     Calling it again with the same checkpoint and a grown source folds in the new files only; no key ever expires.
     """
     spark = arrivals.sparkSession
-    held = {k: spark.conf.get(k, None) for k in (PROVIDER, PARTS)}
+    held = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)
-    if state_partitions:
-        spark.conf.set(PARTS, str(state_partitions))
     try:
-        # the state's fields bear the aggregates' names, so each kind is used once
-        state = arrivals.groupBy("digest").agg(F.sum("rows"), F.max(F.struct("id", "locator")), F.min(-F.col("rows")))
+        # the state's fields bear the aggregates' names
+        state = arrivals.groupBy("digest").agg(F.count(F.lit(1)), F.max(F.struct("id", "locator")))
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        for k, v in held.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        spark.conf.set(PROVIDER, held) if held is not None else spark.conf.unset(PROVIDER)
     kept = spark.read.format("statestore").load(checkpoint)
-    return kept.select("key.digest", F.col("value.sum").alias("seen"), F.col("value.max.id").alias("keep"), F.col("value.max.locator").alias("locator"), (-F.col("value.min")).alias("repeats"))
+    return kept.select("key.digest", F.col("value.count").alias("seen"), F.col("value.max.id").alias("keep"), F.col("value.max.locator").alias("locator"))
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """(state rows by digest with the number of different texts, the classes of digests that hold several texts)."""
-    spark = docs.sparkSession
-    norm = ascii_lower(whole(docs, text_col))
-    thin = docs.select(digest(norm).alias("digest"), docs[id_col].alias("id"), F.input_file_name().alias("locator"))
-    thin = thin.groupBy("digest", "id").agg(F.count(F.lit(1)).alias("rows"), F.max("locator").alias("locator"))
-    arrived = scratch_path(spark, "digests")
-    thin.write.parquet(arrived)
-    stream = spark.readStream.schema(spark.read.parquet(arrived).schema).parquet(arrived)
-    state = stored(keyed_state(stream, scratch_path(spark, "state")), "dedup-state")
-    hits = state.where("seen > 1").select("digest")
-    texts = docs.select(digest(norm).alias("digest"), norm.alias("norm"), docs[id_col].alias("id")).join(hits, "digest", "left_semi")
-    classes = texts.groupBy("digest", "norm").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("seen"))
-    per_digest = stored(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")), "dedup-checked")
-    mixed = per_digest.where("texts > 1").select("digest")
-    return state.join(per_digest, "digest", "left").withColumn("texts", F.coalesce("texts", F.lit(1))), classes.join(mixed, "digest", "left_semi")
-
-
-def _judged(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column], carry: Column | None) -> DataFrame:
-    state, classes = _classes(docs, id_col, text_col, digest)
-    norm = ascii_lower(whole(docs, text_col))
-    rows = docs.select(docs[id_col].alias("id"), norm.alias("norm"), digest(norm).alias("digest"), *([carry] if carry is not None else []))
-    by_digest = rows.join(state, "digest", "left")
-    extra = ["whole"] if carry is not None else []
-    plain = by_digest.where("texts = 1").select("id", "norm", "keep", "seen", "repeats", *extra)
-    # digests shared by different texts: the class is found by digest and bytes
-    several = by_digest.where("texts > 1").drop("keep", "seen").join(classes, ["digest", "norm"]).select("id", "norm", "keep", "seen", "repeats", *extra)
-    return plain.unionByName(several)
+class Judged:
+    """What the passes over `docs` leave in the shared folder.
+
+    thin: id, digest, sha of every row. state: digest, seen, keep. mixed: digests that several texts share, with `texts`, the
+    (digest, sha) classes of those; None if there are none.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> None:
+        spark = docs.sparkSession
+        norm = ascii_lower(whole(docs, text_col))
+        rows = docs.select(digest(norm).alias("digest"), sha256(norm).alias("sha"), docs[id_col].alias("id"), F.input_file_name().alias("locator"))
+        arrived = scratch_path(spark, "digests")
+        rows.write.parquet(arrived)
+        self.thin = spark.read.schema(rows.schema).parquet(arrived)
+        stream = spark.readStream.schema(rows.schema).parquet(arrived)
+        self.state = stored(keyed_state(stream, scratch_path(spark, "state")), "dedup-state")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        hits = self.state.where("seen > 1").select("digest", salts.alias("salt"))
+        texts = docs.select(digest(norm).alias("digest"), F.pmod(F.hash(docs[id_col]), F.lit(SALTS)).alias("salt"), norm.alias("norm"), docs[id_col].alias("id"))
+        same = texts.join(hits.hint("shuffle_hash"), ["digest", "salt"], "left_semi").groupBy("digest", "norm").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("seen"))
+        classes = stored(same.select("digest", sha256(F.col("norm")).alias("sha"), "keep", "seen"), "dedup-classes")
+        mixed = classes.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+        self.texts = None if mixed.isEmpty() else classes.join(mixed, "digest", "left_semi")
+
+    def verdict(self, rows: DataFrame) -> DataFrame:
+        """rows (with digest and sha) plus keep and seen."""
+        state = self.state.select("digest", "keep", "seen")
+        if self.texts is None:
+            return rows.join(state.hint("shuffle_hash"), "digest")
+        # where different texts share a digest, the class is found by the text's own hash as well
+        several = self.texts.select("digest", "sha", F.col("keep").alias("own_keep"), F.col("seen").alias("own_seen"), F.lit(True).alias("own"))
+        joined = rows.join(state.hint("shuffle_hash"), "digest").join(several, ["digest", "sha"], "left")
+        pick = lambda a, b: F.when(F.col("own"), F.col(a)).otherwise(F.col(b)).alias(b)
+        return joined.select(*rows.columns, pick("own_keep", "keep"), pick("own_seen", "seen"))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256. `digest` may be weak; full bytes decide."""
-    judged = _judged(docs, id_col, text_col, digest, None)
-    return judged.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("seen").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.sha2("norm", 256).alias("text_sha256"))
+    judged = Judged(docs, id_col, text_col, digest)
+    rows = judged.verdict(judged.thin)
+    return rows.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("seen").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """docs, all columns, without copies: of equal texts the row with the largest id stays, once."""
-    judged = _judged(docs, id_col, text_col, digest, F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
-    stay = judged.where(F.col("id").eqNullSafe(F.col("keep")))
-    once = stay.where("repeats = 1").select("whole")
-    again = stay.where("repeats > 1").dropDuplicates(["id", "norm"]).select("whole")
-    return once.unionByName(again).select("whole.*")
+    judged = Judged(docs, id_col, text_col, digest)
+    norm = ascii_lower(whole(docs, text_col))
+    rows = docs.select(digest(norm).alias("digest"), sha256(norm).alias("sha"), docs[id_col].alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
+    stay = judged.verdict(rows).where(F.col("id").eqNullSafe(F.col("keep")))
+    repeated = judged.thin.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "id")
+    if repeated.isEmpty():
+        return stay.select("whole.*")
+    again = stay.join(repeated.withColumn("again", F.lit(True)), (stay["sha"] == repeated["sha"]) & stay["id"].eqNullSafe(repeated["id"]), "left").select(stay["sha"], stay["id"], "whole", "again")
+    once = again.where(F.col("again").isNull()).select("whole")
+    return once.unionByName(again.where("again").dropDuplicates(["sha", "id"]).select("whole")).select("whole.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
