@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,13 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees. The session's spark.checkpoint.dir wins; one of our own is set only where none is."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file:///tmp/checkpoints/corvane"
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    named, set_ = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_.isEmpty():
+        spark.sparkContext.setCheckpointDir(named or "file:///tmp/checkpoints/corvane")
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return (named or set_.get()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -52,3 +51,9 @@ def ascii_lower(text: Column) -> Column:
 def whole(df: DataFrame, text_col: str) -> Column:
     """The text, with null read as empty."""
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished jobs: it does so when the driver's JVM collects their handles, which a mostly idle driver puts off."""
+    gc.collect()
+    spark._jvm.System.gc()
