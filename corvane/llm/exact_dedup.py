@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from corvane.llm._common import ascii_lower, scratch_path, stored, table, whole
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: RocksDB, and no disk space taken in advance: a state partition then costs what it holds, however many there are.
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: Parts over which the texts of one digest are spread for the byte check.
 SALTS = 16
 
@@ -44,15 +45,17 @@ def keyed_state(arrivals: DataFrame, checkpoint: str) -> DataFrame:
     Calling it again with the same checkpoint and a grown source folds in the new files only; no key ever expires.
     """
     spark = arrivals.sparkSession
-    held = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    held = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         # the state's fields bear the aggregates' names
         state = arrivals.groupBy("digest").agg(F.count(F.lit(1)), F.max(F.struct("id", "locator")))
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, held) if held is not None else spark.conf.unset(PROVIDER)
+        for k, v in held.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     kept = spark.read.format("statestore").load(checkpoint)
     return kept.select("key.digest", F.col("value.count").alias("seen"), F.col("value.max.id").alias("keep"), F.col("value.max.locator").alias("locator"))
 
