@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, exact_dedup, mixing, secrets, simhash, substring_dedup, topk, toxicity
+from corvane.llm import bpe, exact_dedup, html_extract, mixing, secrets, simhash, substring_dedup, topk, toxicity
 
 QUERIES = {
     "op2_topk": topk.op2_topk,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_mixing": mixing.op4_mixing,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_html": html_extract.op6_html,
     "op7_bpe": bpe.op7_bpe,
     "op8_simhash": simhash.op8_simhash,
     "op9_secrets": secrets.op9_secrets,
