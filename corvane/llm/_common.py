@@ -26,8 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or set_.get()).rstrip("/")
 
 
+_homes: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/corvane-{what}-{uuid.uuid4().hex}"
+    """A new place in this application's own folder inside the shared one. That folder goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _homes:
+        _homes[app] = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(_homes[app])
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return f"{_homes[app]}/{what}-{uuid.uuid4().hex}"
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -243,7 +243,9 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, window: int, shared: D
 def _owned(windows: DataFrame) -> DataFrame:
     """Stored: (id, runs) with runs an array of (owner, first place, last place) of shared windows, by place."""
     each = windows.select("id", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select("id", F.col("w.places").alias("place"), F.col("w.hashes").alias("hash"))
-    owners = each.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("hash", "owner")
+    # stored, so that the two exchanges of all nominated windows don't hold disk space at once, and so that a hot window's side of the join can be split
+    owners = stored(each.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("hash", "owner"), "repeat-owners")
+    freed(windows.sparkSession)
     found = each.join(owners.hint("shuffle_hash"), "hash").groupBy("id").agg(F.collect_list(F.struct("place", "owner")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
