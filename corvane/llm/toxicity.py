@@ -18,24 +18,22 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm._common import table
 
 #: Cells of the n-gram counts; labelled rows to fit on; features kept; tokens that a task remembers.
-GRAMS, TRAIN_ROWS, FEATURES, MEMO = 1 << 17, 20_000, 12_000, 300_000
+GRAMS, TRAIN_ROWS, FEATURES, MEMO = 1 << 17, 20_000, 12_000, 400_000
 PREFIXES = (3, 4, 5, 6)
 #: Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
 GAPS = ".-_*~'^·"
-SWAP, DROP, SHRINK = 2.0, 1.0, 0.7  # costs in nats
+SWAP, DROP, SHRINK, KEEP = 2.0, 1.0, 0.7, 3.0  # costs in nats: another letter, nothing, a shorter run, a mark inside a word
 EDGE = "\x02"
 STRIP = ".,;:?\"'()[]{}<>!*_-~…«»“”„"
 REPEAT = re.compile(r"(.)\1{2,}")
@@ -44,28 +42,35 @@ NAMED = re.compile(r"\S+@\S+\.\w+|\w+://|www\.|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,6}/"
 MIX = re.compile(r"[^\W\d_]")
 
 
-def cell(gram: str) -> int:
-    return xxhash.xxh32_intdigest(gram.encode("utf-8", "surrogatepass")) % GRAMS
-
-
-def count_grams(words: Counter[str]) -> np.ndarray:
-    """Counts of 1-, 2- and 3-grams of words, each with its edges, in hashed cells."""
-    grams: Counter[str] = Counter()
-    for w, n in words.items():
-        s = EDGE + EDGE + w + EDGE
-        for i in range(2, len(s)):
-            grams[s[i]] += n
-            grams[s[i - 1 : i + 1]] += n
-            grams[s[i - 2 : i + 1]] += n
-        grams[EDGE + EDGE] += n
-    total = np.zeros(GRAMS, np.int64)
-    for g, n in grams.items():
-        total[cell(g)] += n
-    return total
+SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+#: Code points that are letters, below 2^16; those above count as letters.
+LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
-def plain_words(text: str) -> list[str]:
-    return [w for t in text.lower().split() if (w := t.strip(STRIP))]
+def cell(gram: str) -> int:
+    """The cell of a gram of one to three characters."""
+    h = 0
+    for c, f in zip(reversed(gram), FACTORS, strict=False):
+        h ^= (ord(c) + 1) * f & 0xFFFFFFFF
+    h = (h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFF
+    return (h ^ h >> 13) % GRAMS
+
+
+def count_grams(text: str, total: np.ndarray) -> None:
+    """Adds the 1-, 2- and 3-grams of the text's words (runs of letters, with an edge at both ends) to total."""
+    points = np.frombuffer((text.lower() + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = np.where((points >= 1 << 16) | LETTER[np.minimum(points, 0xFFFF)], points, np.uint32(ord(EDGE)))
+    b = np.concatenate([np.full(1, ord(EDGE), np.uint32), c[:-1]])
+    a = np.concatenate([np.full(1, ord(EDGE), np.uint32), b[:-1]])
+    a = np.where(b == ord(EDGE), np.uint32(ord(EDGE)), a)
+    inside = (b != ord(EDGE)) | (c != ord(EDGE))
+    h = (c[inside] + np.uint32(1)) * np.uint32(FACTORS[0])
+    for more in (None, (b[inside] + np.uint32(1)) * np.uint32(FACTORS[1]), (a[inside] + np.uint32(1)) * np.uint32(FACTORS[2])):
+        if more is not None:
+            h = h ^ more
+        g = (h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F)
+        np.add(total, np.bincount((g ^ g >> np.uint32(13)) % np.uint32(GRAMS), minlength=GRAMS), out=total)
 
 
 class CharModel:
@@ -80,9 +85,9 @@ class CharModel:
         got = self.memo.get(a + b + c)
         if got is None:
             n = self.counts
-            one = (n[cell(c)] + 0.01) / (n[cell(EDGE)] * 8 + 10)
-            two = (n[cell(b + c)] + 4 * one) / (n[cell(b)] + 4)
-            three = (n[cell(a + b + c)] + 4 * two) / (n[cell(a + b)] + 4)
+            one = (n[cell(c)] + 0.01) / (n[cell(EDGE)] * 6 + 10)
+            two = (n[cell(b + c)] + 4 * one) / (max(n[cell(b)], n[cell(b + c)]) + 4)
+            three = (n[cell(a + b + c)] + 4 * two) / (max(n[cell(a + b)], n[cell(a + b + c)]) + 4)
             got = -math.log(min(1.0, max(three, 1e-9)))
             if len(self.memo) > MEMO:
                 self.memo.clear()
@@ -94,7 +99,7 @@ class CharModel:
         lattice: list[list[tuple[str, float]]] = []
         for run in re.finditer(r"(.)\1*", token, re.DOTALL):
             c, n = run[1], len(run[0])
-            letters = [(c, 0.0), *((x, SWAP) for x in LEET.get(c, ""))]
+            letters = [(c, 0.0 if c.isalpha() else KEEP), *((x, SWAP) for x in LEET.get(c, ""))]
             for i in range(n):
                 arcs = list(letters)
                 if c in GAPS:
@@ -123,34 +128,42 @@ class Restorer:
         self.memo: dict[str, str] = {}
 
     def word(self, token: str) -> str:
-        """A lower-case token without outer marks, restored; '' for a token of marks."""
+        """A lower-case token without outer marks, restored; '' for a token of marks. Remembered."""
         got = self.memo.get(token)
         if got is None:
-            bare = token.strip(STRIP)
-            got = bare
-            # plain numbers and long codes are no words
-            if bare and len(bare) <= 40 and not bare.isalpha() and DISGUISED.match(bare) or REPEAT.search(bare) and len(bare) <= 40:
-                if MIX.search(bare) and not NAMED.match(token):
-                    inner = token.strip(".,;:?\"'()[]{}<>…«»“”„")
-                    got = self.model.decode(inner if inner and not inner.endswith("!") else bare).strip(STRIP)
+            got = self.restored(token)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[token] = got
         return got
 
-    def words(self, text: str) -> set[str]:
-        tokens = text.lower().split()
-        known, make = self.memo.get, self.word
-        found = {known(t) or make(t) for t in set(tokens)}
-        run: list[str] = []
-        if any(len(t) == 1 for t in tokens):  # letters set apart by blanks
-            for t in [*tokens, "  "]:
+    def restored(self, token: str) -> str:
+        bare = token.strip(STRIP)
+        if len(bare) > 40 or not (REPEAT.search(bare) if bare.isalpha() else DISGUISED.match(bare) or REPEAT.search(bare)):
+            return bare  # plain words; long codes are no words
+        if not MIX.search(bare) or NAMED.match(token):
+            return bare  # nor are plain numbers and addresses
+        inner = token.strip(".,;:?\"'()[]{}<>…«»“”„")
+        return self.model.decode(inner if inner and not inner.endswith("!") else bare).strip(STRIP)
+
+    def spaced(self, low: str) -> list[str]:
+        """Words whose letters are set apart by blanks, in a lower-case text."""
+        out = []
+        for m in SPACED.finditer(low):
+            run: list[str] = []
+            for t in [*m[0].split(), "  "]:
                 if len(t) == 1 and (t.isalpha() or t in LEET):
                     run.append(t)
-                elif run:
+                else:
                     if len(run) >= 3:
-                        found.add(self.word("".join(run)))
+                        out.append(self.word("".join(run)))
                     run = []
+        return out
+
+    def words(self, text: str) -> set[str]:
+        low = text.lower()
+        found = {self.word(t) for t in set(low.split())}
+        found.update(self.spaced(low))
         found.discard("")
         return found
 
@@ -210,20 +223,30 @@ class Scorer:
         self.counts, self.weights, self.intercept = counts, weights, intercept
 
     def batches(self, batches: Iterable[list[str | None]]) -> Iterator[list[float]]:
-        """Scores of lists of texts; what is remembered of words lasts from list to list."""
-        restorer, weigh, memo = Restorer(self.counts), self.weights, {}
+        """Scores of lists of texts; what is remembered of tokens lasts from list to list."""
+        restorer, weigh = Restorer(self.counts), self.weights
+        starts = {f.rstrip("+")[:3] for f in weigh}  # words that begin otherwise bear no weight
+        memo: dict[str, tuple[str, ...]] = {}
+
+        def weighed(word: str) -> tuple[str, ...]:
+            return tuple(f for f in features(word) if f in weigh) if word[:3] in starts else ()
+
         for texts in batches:
             out = []
             for text in texts:
+                low = (text or "").lower()
                 found: set[str] = set()
-                for w in restorer.words(text or ""):
-                    own = memo.get(w)
+                for t in set(low.split()):
+                    own = memo.get(t)
                     if own is None:
-                        own = tuple(f for f in features(w) if f in weigh)
+                        own = weighed(restorer.restored(t))
                         if len(memo) >= MEMO:
                             memo.clear()
-                        memo[w] = own
-                    found.update(own)
+                        memo[t] = own
+                    if own:
+                        found.update(own)
+                for w in restorer.spaced(low):
+                    found.update(weighed(w))
                 z = self.intercept + sum(sorted(weigh[f] for f in found))
                 out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
             yield out
@@ -233,14 +256,16 @@ def language_model(docs: DataFrame, text_col: str) -> np.ndarray:
     """Hashed n-gram counts of all words of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, words = np.zeros(GRAMS, np.int64), Counter()
+        total, waiting, size = np.zeros(GRAMS, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words.update((text or "").lower().split())
-                if len(words) > MEMO:
-                    total += count_grams(_bare(words))
-                    words = Counter()
-        total += count_grams(_bare(words))
+                if text:
+                    waiting.append(text)
+                    size += len(text)
+                if size > 1 << 20:
+                    count_grams(" ".join(waiting), total)
+                    waiting, size = [], 0
+        count_grams(" ".join(waiting), total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
@@ -251,16 +276,6 @@ def language_model(docs: DataFrame, text_col: str) -> np.ndarray:
     return counts
 
 
-def _bare(words: Counter[str]) -> Counter[str]:
-    """Words of letters only: what the language model should expect, without the disguises."""
-    out: Counter[str] = Counter()
-    for w, n in words.items():
-        w = w.strip(STRIP)
-        if w.isalpha() and len(w) <= 40:
-            out[w] += n
-    return out
-
-
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Scorer:
     """Fits on the labelled rows for which `usable` (over labels) holds: all, or the `rows` first by hashed id."""
     counts = language_model(docs, text_col)
@@ -318,6 +333,24 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, schema)
 
 
+def reject(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows that score `threshold` or more."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(scorer), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[list[str | None]]:
+            for batch in batches:
+                now[:] = [batch]
+                yield batch.column(at).cast(pa.string()).to_pylist()
+
+        for scores in sent.value.batches(texts()):
+            yield now[0].filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def not_held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 != 2, F.lit(False))
 
