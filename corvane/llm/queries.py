@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, exact_dedup, html_extract, mixing, secrets, simhash, substring_dedup, topk, toxicity
+from corvane.llm import bpe, exact_dedup, html_extract, mixing, quality, secrets, simhash, substring_dedup, topk, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_topk": topk.op2_topk,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_mixing": mixing.op4_mixing,
