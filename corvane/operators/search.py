@@ -16,16 +16,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.storage import stored
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 #: Queries that are held in memory at once.
 BLOCK = 2048
+#: Queries of one weight matrix.
+PART = 256
+
+
+def tokenized(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
+    """chunk_id, dl, tokens: each text is cut once. What explodes the tokens must do so in a later select, or their number is worked out anew for every one of them."""
+    tokens = X.index_tokens(chunks[text_col])
+    return chunks.select(chunks[id_col].alias("chunk_id"), F.size(tokens).alias("dl"), tokens.alias("tokens"))
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """term, chunk_id, tf, dl: the inverted index, to be written once and read by term."""
-    tokens = X.index_tokens(chunks[text_col])
-    rows = chunks.select(chunks[id_col].alias("chunk_id"), F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
+    rows = tokenized(chunks, id_col, text_col).select("chunk_id", "dl", F.explode("tokens").alias("term"))
     return rows.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -42,9 +50,9 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, bm25 of every chunk that holds a term of the query (any term)."""
     wanted = query_terms(queries)
     terms = wanted.select("term").distinct()
-    tokens = X.index_tokens(chunks["content"])
-    hits = chunks.select("chunk_id", F.size(tokens).alias("dl"), F.explode(tokens).alias("term")).join(terms, "term", "left_semi")
-    tf = hits.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    hits = tokenized(chunks).select("chunk_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
+    # read twice, for document frequencies and for scores
+    tf = stored(hits.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")), "query-postings")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = corpus_stats(chunks).first()  # two numbers
     n, avgdl = float(stats["n_chunks"]), float(stats["avgdl"] or 1.0) or 1.0
@@ -61,9 +69,77 @@ def top_k(scored: DataFrame, k: int, score: str, tie: str = "chunk_id", key: str
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, chunk_id, bm25, keyword_score = 1 / (1 + |bm25|)."""
-    best = top_k(bm25_scores(chunks, queries), k, "bm25")
-    return best.select("query_id", "rank", "chunk_id", "bm25", (1 / (1 + F.abs("bm25"))).alias("keyword_score"))
+    """query_id, rank, chunk_id, bm25, keyword_score = 1 / (1 + |bm25|): each query's k best chunks.
+
+    Document frequencies of the queried terms are one small aggregation. Then blocks of queries, as matrices of term weights, meet
+    the chunks where they lie: a task looks its tokens up by column, multiplies, and passes on its own k best a query, so pairs of
+    queries and chunks are never shuffled.
+    """
+    import pyarrow.compute as pc
+
+    spark, out = chunks.sparkSession, None
+    rows = tokenized(chunks)
+    asked = queries.select(queries["query_id"].cast("bigint").alias("query_id"), X.query_terms(queries["text"]).alias("terms")).where(F.size("terms") > 0)
+    total = None
+    for block in _blocks(asked, "query_id"):
+        terms = sorted({t for r in block for t in r["terms"]})
+        known = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string())}))
+        held = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(known), "term")  # at most BLOCK queries' terms
+        df = {r["term"]: r["df"] for r in held.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+        total = total or rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+        n, avgdl = float(total["n"]), float(total["avgdl"] or 1.0) or 1.0
+        idf = {t: max(FLOOR, float(np.log((n - d + 0.5) / (d + 0.5)))) for t, d in df.items()}
+        parts = []
+        for at in range(0, len(block), PART):
+            own = block[at : at + PART]
+            names = sorted({t for r in own for t in r["terms"] if t in idf})
+            place, weights = {t: i for i, t in enumerate(names)}, np.zeros((len(names), len(own)))
+            for j, r in enumerate(own):
+                for t in r["terms"]:
+                    if t in place:
+                        weights[place[t], j] = idf[t]
+            parts.append((np.array([r["query_id"] for r in own]), pa.array(names, pa.string()), weights))
+        sent = spark.sparkContext.broadcast((parts, avgdl))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            parts, avgdl = sent.value
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                for start in range(0, batch.num_rows, 2048):
+                    part = batch.slice(start, 2048)
+                    ids, dl = np.array(part.column(0).to_pylist(), object), part.column(1).to_numpy(zero_copy_only=False)
+                    tokens = part.column(2)
+                    flat, of = tokens.flatten(), np.repeat(np.arange(part.num_rows), pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+                    for queries, names, weights in parts:
+                        spot = pc.fill_null(pc.index_in(flat, value_set=names), -1).to_numpy(zero_copy_only=False)
+                        seen, tf = np.unique((of * len(names) + spot)[spot >= 0], return_counts=True)
+                        if not len(seen):
+                            continue
+                        row, term = seen // len(names), seen % len(names)
+                        worth = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / avgdl))
+                        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+                        scores = np.round(np.add.reduceat(weights[term] * worth[:, None], first, axis=0), 9)
+                        chunk = ids[row[first]]
+                        for j, q in enumerate(queries.tolist()):
+                            s = scores[:, j]
+                            good = np.flatnonzero(s > 0)
+                            if len(good) > k:
+                                edge = np.partition(s[good], len(good) - k)[len(good) - k]
+                                good = good[s[good] >= edge]
+                            if len(good):
+                                old = best.get(q)
+                                names_, values = (chunk[good], s[good]) if old is None else (np.concatenate([old[0], chunk[good]]), np.concatenate([old[1], s[good]]))
+                                order = sorted(range(len(values)), key=lambda i: (-values[i], names_[i]))[:k] if len(values) > k else range(len(values))
+                                best[q] = names_[list(order)], values[list(order)]
+            flat_rows = [(q, c, v) for q, (cs, vs) in best.items() for c, v in zip(cs.tolist(), vs.tolist(), strict=True)]
+            kinds = (pa.int64(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat_rows], t) for i, t in enumerate(kinds)], ["query_id", "chunk_id", "bm25"])
+
+        found = rows.mapInArrow(run, "query_id bigint, chunk_id string, bm25 double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "query_id bigint, rank int, chunk_id string, bm25 double, keyword_score double")
+    return top_k(out, k, "bm25").select("query_id", "rank", "chunk_id", "bm25", (1 / (1 + F.abs("bm25"))).alias("keyword_score"))
 
 
 def _blocks(queries: DataFrame, key: str) -> Iterator[list]:

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from corvane.plans.registry import ORACLE_SQL, QUERIES, Query
+
+PLANS = ("retrieval", "ingest")
+for _name in PLANS:
+    import_module(f"corvane.plans.{_name}")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Chunk, search by keyword and overlap, and fuse, for all questions."""
+    return QUERIES["d1_weighted_rrf"](spark, sf_dir)
