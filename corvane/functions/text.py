@@ -116,8 +116,8 @@ def route(question: Column) -> Column:
 
 def mentions(text: Column) -> Column:
     """Capitalised runs and terms with technical endings, distinct, six at most."""
-    runs = F.regexp_extract_all(text, F.lit(r"(\b[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*)*\b)"), 1)
-    terms = F.regexp_extract_all(text, F.lit(r"(\b[A-Za-z]+(?:DB|API|SQL|Redis|Gateway|Service|PostgreSQL)\b)"), 1)
+    runs = F.regexp_extract_all(text, F.lit(r"(?U)(\b[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*)*\b)"), 1)
+    terms = F.regexp_extract_all(text, F.lit(r"(?U)(\b[A-Za-z]+(?:DB|API|SQL|Redis|Gateway|Service|PostgreSQL)\b)"), 1)
     return F.slice(F.array_distinct(F.concat(runs, terms)), 1, 6)
 
 
