@@ -13,7 +13,7 @@ CJK = r"[\x{4e00}-\x{9fff}]"
 # Markers and rules that decide results.
 REDACT = r"""(?i)(authorization|password|passwd|token|api[_-]?key|secret|client[_-]?secret)(['"\s:=]+)([^,'"\s&}]+)"""
 BEARER = r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+"
-GERMAN = r"(?i)\b(?:der|die|das|und|Kapitel)\b"
+GERMAN = r"(?U)(?i)\b(?:der|die|das|und|Kapitel)\b"
 ROUTES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("source", "", ("which source", "source", "citation", "出处", "来源", "哪份文档")),
     ("howto", "", ("how do i", "how to", "configure", "setup", "install", "如何", "怎么")),

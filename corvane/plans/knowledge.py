@@ -24,7 +24,7 @@ def x2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("x3_languages", r"""WITH h AS (SELECT doc_id, left(coalesce(text, ''), 4096) AS t FROM documents), c AS (SELECT doc_id, t, len(regexp_extract_all(t, '[\x{4e00}-\x{9fff}]')) AS cjk, len(regexp_extract_all(t, '[A-Za-z]')) AS latin FROM h)
-SELECT doc_id, CASE WHEN t = '' THEN '' WHEN cjk / greatest(1, cjk + latin) >= 0.15 AND latin / greatest(1, cjk + latin) >= 0.15 THEN 'zh,en' WHEN cjk / greatest(1, cjk + latin) > 0.3 THEN 'zh' WHEN regexp_matches(t, '(?i)\b(?:der|die|das|und|Kapitel)\b') THEN 'de' ELSE 'en' END AS languages FROM c""")
+SELECT doc_id, CASE WHEN t = '' THEN '' WHEN cjk / greatest(1, cjk + latin) >= 0.15 AND latin / greatest(1, cjk + latin) >= 0.15 THEN 'zh,en' WHEN cjk / greatest(1, cjk + latin) > 0.3 THEN 'zh' WHEN regexp_matches(t, '(?i)(^|[^\p{L}\p{N}_])(der|die|das|und|Kapitel)($|[^\p{L}\p{N}_])') THEN 'de' ELSE 'en' END AS languages FROM c""")
 def x3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.languages(F.coalesce("text", F.lit(""))), ",").alias("languages"))
 

@@ -15,15 +15,15 @@ INDEXABLE_TYPES = ("child", "table", "ocr", "image_ocr", "image_caption")
 DIRECT_TYPES = ("child", "table", "image_ocr", "image_caption")
 SCHEMA_VERSION = "1.0"
 
-DOCUMENT = T.StructType.fromDDL("id string, workspace_id string, knowledge_base_id string, name string, storage_path string, file_type string, parse_status string, summary_status string, created_at timestamp, updated_at timestamp")
-CHUNK = T.StructType.fromDDL("id string, doc_id string, parent_id string, chunk_type string, title_path string, content string, content_markdown string, page_start int, page_end int, token_count int, metadata map<string,string>")
-HIT = T.StructType.fromDDL("query_id bigint, chunk_id string, doc_id string, parent_id string, content string, vector_score double, keyword_score double, bm25_score double, hybrid_score double, reranker_score double")
+DOCUMENT = "id string, workspace_id string, knowledge_base_id string, name string, storage_path string, file_type string, parse_status string, summary_status string, created_at timestamp, updated_at timestamp"
+CHUNK = "id string, doc_id string, parent_id string, chunk_type string, title_path string, content string, content_markdown string, page_start int, page_end int, token_count int, metadata map<string,string>"
+HIT = "query_id bigint, chunk_id string, doc_id string, parent_id string, content string, vector_score double, keyword_score double, bm25_score double, hybrid_score double, reranker_score double"
 
 
-def assert_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
-    """df, if it has every expected column with the expected type; raises otherwise."""
+def assert_schema(df: DataFrame, expected: str) -> DataFrame:
+    """df, if it has every expected column (of a schema string) with the expected type; raises otherwise."""
     have = {f.name: f.dataType for f in df.schema}
-    wrong = [f"{f.name}: {have.get(f.name)} instead of {f.dataType.simpleString()}" for f in expected if have.get(f.name) != f.dataType]
+    wrong = [f"{f.name}: {have.get(f.name)} instead of {f.dataType.simpleString()}" for f in T.StructType.fromDDL(expected) if have.get(f.name) != f.dataType]
     if wrong:
         raise ValueError("schema mismatch: " + "; ".join(wrong))
     return df
