@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,6 +40,21 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in prints else chr(next(free)) for b in range(256)]
 
 
+# What the tokenizer library's Unicode tables do not hold and those of the regular expressions here do (first and last
+# code points of letters and digits), and capital letters that its tables lower and those of Python do not (first, last, shift).
+LATE = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CF, 0xA7CF), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+LOWERED = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
+
+
+def newer() -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in LATE)
+
+
 class PairTree:
     """A minimum segment tree over (rank, place), packed into one integer a node."""
 
@@ -79,7 +95,12 @@ class WordBpe:
             if a in self.vocab and b in self.vocab and a + b in self.vocab:
                 self.merge[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         split = told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
+        split = split.replace(r"\s", r"\p{White_Space}")
+        self.pieces = regex.compile(split).findall
+        late = newer()
+        self.late = re.compile(f"[{late}{''.join(f'\\U{a:08x}-\\U{b:08x}' for a, b, _ in LOWERED)}]").search
+        self.lowered = {c: c + shift for a, b, shift in LOWERED for c in range(a, b + 1)}
+        self.careful = regex.compile("(?V1)" + split.replace(r"\p{L}", rf"[\p{{L}}--[{late}]]").replace(r"\p{N}", rf"[\p{{N}}--[{late}]]")).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.letters = byte_alphabet()
         self.known: dict[str, tuple[bytes, int, str]] = {}
@@ -136,10 +157,13 @@ class WordBpe:
                 i = self.added[part]
                 yield i.to_bytes(4, "little"), 1, part
             elif part:
+                pieces = self.pieces
                 if not part.isascii():
+                    if self.late(part):
+                        pieces, part = self.careful, part.translate(self.lowered)
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # letters are lowered one by one, without a final sigma
                 get, make = self.known.get, self.piece
-                for p in self.pieces(part.lower()):
+                for p in pieces(part.lower()):
                     yield get(p) or make(p)
 
     def encode(self, text: str) -> list[int]:
