@@ -101,3 +101,24 @@ def merged_runs(states: DataFrame) -> DataFrame:
     """run_id with counters added, flags or-ed and ids united in the order in which they came."""
     parts = states.groupBy("run_id").agg(F.sum("calls").alias("calls"), F.bool_or("blocked").alias("blocked"), F.transform(F.array_sort(F.collect_list(F.struct("sequence", "ids"))), lambda x: x["ids"]).alias("ids"))
     return parts.withColumn("ids", F.array_distinct(F.flatten("ids")))
+
+
+def closed_spans(spans: DataFrame, links: DataFrame, failed: DataFrame) -> DataFrame:
+    """Spans after failures: a failed span stays failed, open spans below it are cancelled. spans: id, status; links: id, parent_id; failed: id."""
+    from corvane.operators.graph import descendants
+
+    below = descendants(links, failed).where("depth > 0").select("id").distinct().withColumn("below", F.lit(True))
+    rows = spans.join(failed.select("id", F.lit(True).alias("bad")), "id", "left").join(below, "id", "left")
+    status = F.when(F.col("bad"), "failed").when(F.col("below") & F.col("status").isin("pending", "running"), "cancelled").otherwise(F.col("status"))
+    return rows.select("id", status.alias("status"))
+
+
+def event_stream(events: DataFrame, key: str = "run_id") -> DataFrame:
+    """Events of each run with their sequence from 1: references before tokens, the end last, else by time."""
+    stage = F.when(F.col("kind") == "references", 0).when(F.col("kind") == "done", 2).otherwise(1)
+    return events.withColumn("sequence", F.row_number().over(Window.partitionBy(key).orderBy(stage, "ts", "event_id")))
+
+
+def retried(operations: DataFrame) -> DataFrame:
+    """Operations with may_retry: not while processing, not after completion."""
+    return operations.withColumn("may_retry", ~F.col("status").isin("processing", "completed"))
