@@ -298,8 +298,10 @@ def _judged(passages: DataFrame, window: int) -> DataFrame:
     shards = int(max(1, total // SHARD_WORDS))
     shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int").alias("shard")
     references = passages.where("piece >= 0").select(shard, "piece", "id", "at", "words")
-    pieces = passages.where("piece > 0").groupBy("owner").agg(F.max("piece").alias("pieces"))  # owners that need several
-    spans = passages.where("piece < 0").join(pieces, "owner", "left").select(shard, F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(0)))).alias("piece"), "id", "at", "words", "n")
+    pieces = stored(passages.where("piece > 0").groupBy("owner").agg(F.max("piece").alias("pieces")), "repeat-pieces")  # owners that need several
+    spans = passages.where("piece < 0")
+    spans = spans.withColumn("pieces", F.lit(0)) if pieces.isEmpty() else spans.join(pieces, "owner", "left")
+    spans = spans.select(shard, F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(0)))).alias("piece"), "id", "at", "words", "n")
     parts = spans.groupBy("shard", "piece").agg(F.floor(F.sum("n") / F.lit(TASK_WORDS)).cast("int").alias("more"))
     salted_references = references.join(parts, ["shard", "piece"]).select("shard", "piece", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("salt"), "id", "at", "words")
     salted_spans = spans.join(parts, ["shard", "piece"]).select("shard", "piece", F.pmod(F.xxhash64("id", "at"), F.col("more") + 1).cast("int").alias("salt"), F.col("id").alias("doc"), F.col("at").alias("start"), F.col("words").alias("span"))
