@@ -304,11 +304,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(place[f] for f in fs if f in place) for fs in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["label", "at"])
 
-        got = seen.mapInArrow(pick, "label int, at array<int>").orderBy("label", "at").toArrow()
+        got = seen.mapInArrow(pick, "label int, at array<int>").toArrow()  # at most `rows` rows of at most FEATURES numbers
     finally:
         seen.unpersist()
-    y = np.array(got.column("label").to_pylist(), float)
-    w, b = fit([np.array(x, np.int64) for x in got.column("at").to_pylist()], y, len(best))
+    sample = sorted(zip(got.column("label").to_pylist(), got.column("at").to_pylist(), strict=True))  # the same order however the rows were dealt
+    w, b = fit([np.array(x, np.int64) for _, x in sample], np.array([label for label, _ in sample], float), len(best))
     return Scorer(counts, {f: float(w[i]) for f, i in place.items() if w[i]}, b)
 
 
