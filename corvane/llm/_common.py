@@ -41,12 +41,6 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{_homes[app]}/{what}-{uuid.uuid4().hex}"
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a scratch table once nothing lazy reads it any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, cut from its lineage, and readable after any executor is lost."""
     spark = df.sparkSession
