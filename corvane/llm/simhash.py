@@ -18,13 +18,13 @@ very long texts are read whole; empty tables give empty results; other columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm._common import stored, table
@@ -212,7 +212,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """docs, all columns, with one document of each component."""
     fps = fingerprints(docs, id_col, text_col, shingle)
-    known = stored(classes(fps, radius), "simhash-components")
+    mark = F.pandas_udf(lambda texts: pd.Series(np.array([fingerprint(t, shingle) for t in texts], U64).view(np.int64)), "long")
+    return kept_of(docs, fps, stored(classes(fps, radius), "simhash-components"), mark, id_col, text_col)
+
+
+def kept_of(docs: DataFrame, fps: DataFrame, known: DataFrame, mark: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+    """docs with one document of each component, given (id, fp) rows, every fp's (label, component_id), and how a text is marked with its fp."""
     judged = stored(fps.join(known.hint("shuffle_hash"), "fp").select("id", "label", "component_id"), "simhash-kept")
     keep = judged.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("corvane_n"))
     rows = docs.join(keep.hint("shuffle_hash"), docs[id_col] == keep["id"]).select(*[docs[c] for c in docs.columns], "corvane_n")
@@ -224,7 +229,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return out
     # components without any id keep the first of their texts
     bare = known.where("component_id IS NULL").select(F.col("fp").alias("corvane_fp"), F.col("label").alias("corvane_label"))
-    mark = F.pandas_udf(lambda texts: pd.Series(np.array([fingerprint(t, shingle) for t in texts], U64).view(np.int64)), "long")
     own = docs.where(docs[id_col].isNull()).withColumn("corvane_fp", mark(docs[text_col].cast("string")))
     return out.unionByName(own.join(bare, "corvane_fp").dropDuplicates(["corvane_label"]).drop("corvane_fp", "corvane_label"))
 
