@@ -4,7 +4,8 @@
    counts by hashed n-gram, so what is gathered grows with the corpus in its counts and is bounded in size (`GRAMS` cells).
 2. Channel. A token that looks disguised (digits or symbols among letters, letters repeated three times or more, letters set apart
    by blanks or marks) becomes a lattice: per character itself, the letters it may stand for, or nothing; per run of a letter one,
-   two or all. Viterbi decoding over the last two letters finds the likeliest word under the language model.
+   two or all. Viterbi decoding over the last two letters finds the likeliest word under the language model. Tokens of more than
+   `LONG` characters are also decoded with word boundaries, as they may hold several words.
 3. Features: restored words and their beginnings. Candidates are those that tell the classes apart best on the training rows.
 4. Model: logistic regression with an L1 penalty (accelerated proximal gradient), fitted on at most `TRAIN_ROWS` labelled rows,
    chosen by the hash of their id, none of them held out. Only the text is an input of a score.
@@ -17,6 +18,7 @@ whole; empty tables give empty results; other columns are not read.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -42,6 +44,11 @@ NAMED = re.compile(r"\S+@\S+\.\w+|\w+://|www\.|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,6}/"
 MIX = re.compile(r"[^\W\d_]")
 
 
+#: Tokens beyond this have their runs and gap marks collapsed before they are read, and may hold several words.
+LONG = 40
+LONG_RUN, GAP_RUN = re.compile(r"(.)\1{3,}", re.DOTALL), re.compile(r"([.\-_*~'^·])[.\-_*~'^·]+")
+CODE, CHANGE = re.compile(r"[a-z0-9+/=_-]+"), re.compile(r"[a-z](?=[0-9])|[0-9](?=[a-z])")
+SCHEME, HOST = re.compile(r"\w+://|www\."), re.compile(r"[\w.-]+\.[a-z]{2,6}")
 SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 #: Code points that are letters, below 2^16; those above count as letters.
 LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
@@ -94,21 +101,11 @@ class CharModel:
             self.memo[a + b + c] = got
         return got
 
-    def decode(self, token: str) -> str:
-        """The likeliest word behind a token."""
-        lattice: list[list[tuple[str, float]]] = []
-        for run in re.finditer(r"(.)\1*", token, re.DOTALL):
-            c, n = run[1], len(run[0])
-            letters = [(c, 0.0 if c.isalpha() else KEEP), *((x, SWAP) for x in LEET.get(c, ""))]
-            for i in range(n):
-                arcs = list(letters)
-                if c in GAPS:
-                    arcs.append(("", DROP))
-                elif i and n >= 3:
-                    arcs.append(("", SHRINK))
-                lattice.append(arcs)
+    def decode(self, token: str, split: bool = False) -> str:
+        """The likeliest word behind a token; with `split` the likeliest words, a blank between them."""
         best = {(EDGE, EDGE): (0.0, "")}
-        for arcs in lattice:
+        done: list[str] = []
+        for at, arcs in enumerate(lattice(token), 1):
             after: dict[tuple[str, str], tuple[float, str]] = {}
             for (a, b), (cost, said) in best.items():
                 for c, extra in arcs:
@@ -116,8 +113,42 @@ class CharModel:
                     now = cost + extra + (self.cost(a, b, c) if c else 0.0)
                     if key not in after or (now, said + c) < after[key]:
                         after[key] = (now, said + c)
+                    if split and c:  # the word ends here
+                        now += self.cost(b, c, EDGE)
+                        if (EDGE, EDGE) not in after or (now, said + c + " ") < after[EDGE, EDGE]:
+                            after[EDGE, EDGE] = (now, said + c + " ")
             best = after
-        return min((cost + self.cost(a, b, EDGE), said) for (a, b), (cost, said) in best.items())[1]
+            if at % 64 == 0:  # what all readings begin with is settled, which keeps long tokens linear
+                same = os.path.commonprefix([said for _, said in best.values()])
+                done.append(same)
+                best = {k: (cost, said[len(same) :]) for k, (cost, said) in best.items()}
+        end = lambda a, b: 0.0 if split and b == EDGE else self.cost(a, b, EDGE)
+        return "".join(done) + min((cost + end(a, b), said) for (a, b), (cost, said) in best.items())[1]
+
+
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
+    """The arcs of each character: what it may stand for, '' for nothing, and what that costs."""
+    for run in re.finditer(r"(.)\1*", token, re.DOTALL):
+        c, n = run[1], len(run[0])
+        letters = [(c, 0.0 if c.isalpha() else KEEP), *((x, SWAP) for x in LEET.get(c, ""))]
+        for i in range(n):
+            if c in GAPS:
+                yield [*letters, ("", DROP)]
+            elif i and n >= 3:
+                yield [*letters, ("", SHRINK)]
+            else:
+                yield letters
+
+
+def is_code(bare: str) -> bool:
+    """Hexadecimal and base64 by their form: letters and digits mixed throughout, and digits that stand for no letter."""
+    return ("2" in bare or "6" in bare) and CODE.fullmatch(bare) is not None and len(CHANGE.findall(bare)) >= 8
+
+
+def is_address(token: str) -> bool:
+    """NAMED for tokens of any length, in linear time."""
+    name, at, host = token.partition("@")
+    return bool(SCHEME.match(token) or HOST.fullmatch(token.partition("/")[0]) and "/" in token or at and name and "@" not in host and "." in host.strip("."))
 
 
 class Restorer:
@@ -125,10 +156,10 @@ class Restorer:
 
     def __init__(self, counts: np.ndarray) -> None:
         self.model = CharModel(counts)
-        self.memo: dict[str, str] = {}
+        self.memo: dict[str, tuple[str, ...]] = {}
 
-    def word(self, token: str) -> str:
-        """A lower-case token without outer marks, restored; '' for a token of marks. Remembered."""
+    def readings(self, token: str) -> tuple[str, ...]:
+        """A lower-case token's word, restored, without outer marks; of a long one the words that it may hold. Remembered."""
         got = self.memo.get(token)
         if got is None:
             got = self.restored(token)
@@ -137,14 +168,24 @@ class Restorer:
             self.memo[token] = got
         return got
 
-    def restored(self, token: str) -> str:
+    def restored(self, token: str) -> tuple[str, ...]:
         bare = token.strip(STRIP)
-        if len(bare) > 40 or not (REPEAT.search(bare) if bare.isalpha() else DISGUISED.match(bare) or REPEAT.search(bare)):
-            return bare  # plain words; long codes are no words
-        if not MIX.search(bare) or NAMED.match(token):
-            return bare  # nor are plain numbers and addresses
+        if not (REPEAT.search(bare) if bare.isalpha() else DISGUISED.match(bare) or REPEAT.search(bare)):
+            return (bare,)  # plain words
+        if not MIX.search(bare):
+            return (bare,)  # nor are plain numbers words
+        if len(bare) > LONG:
+            short = GAP_RUN.sub(r"\1", LONG_RUN.sub(r"\1\1\1", bare))
+            return (bare,) if is_address(token) or is_code(short) else self.both(short)
+        if NAMED.match(token):
+            return (bare,)
         inner = token.strip(".,;:?\"'()[]{}<>…«»“”„")
-        return self.model.decode(inner if inner and not inner.endswith("!") else bare).strip(STRIP)
+        return (self.model.decode(inner if inner and not inner.endswith("!") else bare).strip(STRIP),)
+
+    def both(self, letters: str) -> tuple[str, ...]:
+        """Letters read as one word, and the words of their likeliest division."""
+        found = dict.fromkeys([self.model.decode(letters).strip(STRIP), *(w.strip(STRIP) for w in self.model.decode(letters, split=True).split())])
+        return tuple(found)
 
     def spaced(self, low: str) -> list[str]:
         """Words whose letters are set apart by blanks, in a lower-case text."""
@@ -156,13 +197,13 @@ class Restorer:
                     run.append(t)
                 else:
                     if len(run) >= 3:
-                        out.append(self.word("".join(run)))
+                        out.extend(self.readings("".join(run)))
                     run = []
         return out
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        found = {self.word(t) for t in set(low.split())}
+        found = {w for t in set(low.split()) for w in self.readings(t)}
         found.update(self.spaced(low))
         found.discard("")
         return found
@@ -239,7 +280,7 @@ class Scorer:
                 for t in set(low.split()):
                     own = memo.get(t)
                     if own is None:
-                        own = weighed(restorer.restored(t))
+                        own = tuple(f for w in restorer.restored(t) for f in weighed(w))
                         if len(memo) >= MEMO:
                             memo.clear()
                         memo[t] = own
