@@ -4,8 +4,8 @@
    counts by hashed n-gram, so what is gathered grows with the corpus in its counts and is bounded in size (`GRAMS` cells).
 2. Channel. A token that looks disguised (digits or symbols among letters, letters repeated three times or more, letters set apart
    by blanks or marks) becomes a lattice: per character itself, the letters it may stand for, or nothing; per run of a letter one,
-   two or all. Viterbi decoding over the last two letters finds the likeliest word under the language model. Tokens of more than
-   `LONG` characters are also decoded with word boundaries, as they may hold several words.
+   two or all. Viterbi decoding over the last two letters finds the likeliest word under the language model. Letters set apart by
+   blanks, and tokens of more than `LONG` characters, are also decoded with word boundaries, as they may hold several words.
 3. Features: restored words and their beginnings. Candidates are those that tell the classes apart best on the training rows.
 4. Model: logistic regression with an L1 penalty (accelerated proximal gradient), fitted on at most `TRAIN_ROWS` labelled rows,
    chosen by the hash of their id, none of them held out. Only the text is an input of a score.
@@ -50,6 +50,7 @@ LONG_RUN, GAP_RUN = re.compile(r"(.)\1{3,}", re.DOTALL), re.compile(r"([.\-_*~'^
 CODE, CHANGE = re.compile(r"[a-z0-9+/=_-]+"), re.compile(r"[a-z](?=[0-9])|[0-9](?=[a-z])")
 SCHEME, HOST = re.compile(r"\w+://|www\."), re.compile(r"[\w.-]+\.[a-z]{2,6}")
 SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+GAPPED = re.compile(r"(\S)(\s*)")
 #: Code points that are letters, below 2^16; those above count as letters.
 LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
@@ -188,17 +189,25 @@ class Restorer:
         return tuple(found)
 
     def spaced(self, low: str) -> list[str]:
-        """Words whose letters are set apart by blanks, in a lower-case text."""
-        out = []
+        """Words whose letters are set apart by blanks, in a lower-case text.
+
+        A run of letters is read whole, and in parts where its gaps are wider than its narrowest; each as one word and divided.
+        """
+        out: list[str] = []
         for m in SPACED.finditer(low):
-            run: list[str] = []
-            for t in [*m[0].split(), "  "]:
-                if len(t) == 1 and (t.isalpha() or t in LEET):
-                    run.append(t)
-                else:
-                    if len(run) >= 3:
-                        out.extend(self.readings("".join(run)))
-                    run = []
+            parts = GAPPED.findall(m[0])
+            run: list[tuple[str, int]] = []
+            for t, gap in [*parts, ("", "")]:
+                if t and (t.isalpha() or t in LEET):
+                    run.append((t, len(gap)))
+                    continue
+                if len(run) >= 3:
+                    least = min(g for _, g in run[:-1])
+                    cut = "".join(t + ("\n" if g > least and k < len(run) - 1 else "") for k, (t, g) in enumerate(run))
+                    for one in dict.fromkeys([cut.replace("\n", ""), *cut.split("\n")]):
+                        if len(one) >= 2:
+                            out += self.both(LONG_RUN.sub(r"\1\1\1", one))
+                run = []
         return out
 
     def words(self, text: str) -> set[str]:

@@ -1,4 +1,4 @@
-"""Disguises longer than a word."""
+"""Disguises longer than a word, and spaced words beside others."""
 
 import time
 
@@ -20,6 +20,11 @@ def test_long_tokens(restorer, token):
     assert "idiot" in restorer.words(f"so {token} so")
 
 
+@pytest.mark.parametrize("text", ["a i d i o t", "y o u i d i o t", "i i d i o t", "à i d i o t", "y o u   i d i o t", "a  i d i o t", "i  d i o t", "i d i o t   f o o l", "i d i o t", "who is a i d i o t today"])
+def test_spaced_words_beside_others(restorer, text):
+    assert "idiot" in restorer.words(text)
+
+
 def test_codes_and_addresses_stay(restorer):
     code = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"
     for t in (code, "https://example.org/a-very-long-path/that-goes-on-and-on/and-on", "example.org/a-very-long-path/that-goes-on-and-on/and-on", "somebody.with.a.very.long.name.indeed@mail.example.org"):
