@@ -2,11 +2,12 @@
 
 The text view sees the content alone (shares of capitals, marks, repeats and the like, and hashed words), the metadata view the
 page's metadata alone (its categories, hashed, and its numbers). Both are ridge logistic models. They start from the labelled
-rows; in every round each view labels the unlabelled pool, and its most confident pseudo-labels, in the proportion of the classes,
+rows; in every round each view labels all unlabelled rows, and its most confident pseudo-labels, in the proportion of the classes,
 join the *other* view's training set. In the end each view's logit is calibrated (Platt) on labelled rows set apart, a third
 small model combines the calibrated logits, and every document is scored.
 
-Fitting uses at most `LABELLED` labelled and `POOL` unlabelled rows, chosen by the hash of their id; all rows are scored.
+Fitting uses at most `LABELLED` labelled rows, chosen by the hash of their id, and all unlabelled rows: they stay where they lie, and
+each round and Newton step is a pass over them that sends sums alone. All rows are scored.
 
 Defined results: null and empty texts have the text view's zero vector; null metadata is a category of its own, a null number is
 0; null labels teach nothing; without labels of both classes every row has the same score; repeated rows score alike; very long
@@ -18,19 +19,22 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm._common import table
+from corvane.llm._common import stored, table
 from corvane.llm.toxicity import not_held_out
 
-#: Rows to fit on; cells of hashed words and categories; rounds; pseudo-labels a view gives a round; the confidence they need.
-LABELLED, POOL, WORDS, CELLS, ROUNDS, GIVEN, SURE = 12_000, 12_000, 256, 128, 5, 600, 0.95
+#: Labelled rows to fit on; cells of hashed words and categories; rounds; the confidence that pseudo-labels need.
+LABELLED, WORDS, CELLS, ROUNDS, SURE = 12_000, 256, 128, 5, 0.95
+#: Newton steps of a round; bins of logits in which confident rows are counted; tasks of a pass over the unlabelled rows.
+STEPS, BINS, TASKS = 2, 4096, 64
 MEASURES = 14
 
 
@@ -114,25 +118,112 @@ def logit(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> list[np.ndarray]:
-    """The two views' weights after exchanging confident pseudo-labels."""
-    extra: list[dict[int, float]] = [{}, {}]
-    models: list[np.ndarray] = []
-    rate = y.mean()
-    for turn in range(rounds + 1):
-        models = []
-        for v in (0, 1):
-            at = np.array(sorted(extra[v]), int)
-            x = np.concatenate([labelled[v], pool[v][at]]) if len(at) else labelled[v]
-            models.append(ridge(x, np.concatenate([y, [extra[v][i] for i in at]]) if len(at) else y))
-        if turn == rounds or not len(pool[0]):
-            break
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-logit(models[v], pool[v])))
-            order = np.lexsort((np.arange(len(p)), -np.abs(p - 0.5)))
-            for label, n in ((1.0, round(GIVEN * rate)), (0.0, round(GIVEN * (1 - rate)))):
-                sure = [i for i in order.tolist() if (p[i] >= SURE if label else p[i] <= 1 - SURE) and i not in extra[1 - v]]
-                extra[1 - v].update(dict.fromkeys(sure[:n], label))
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float64)
+
+
+def moments(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the weighted logistic loss at w."""
+    x = _with_one(x)
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (weight * (p - y)), (x * (weight * p * (1 - p))[:, None]).T @ x
+
+
+def bins(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.clip(((logit(w, x.astype(np.float64)) + 30) / 60 * BINS).astype(np.int64), 0, BINS - 1)
+
+
+def chosen(counts: np.ndarray, rate: float, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """How much each bin of logits counts as a positive and as a negative pseudo-label: a share of all confident rows, the most
+    confident first, in the proportion of the classes; the bin at the border counts in part."""
+    edge = (math.log(SURE / (1 - SURE)) + 30) / 60 * BINS
+    sure = np.arange(BINS) >= math.ceil(edge)
+    up, down = np.where(sure, counts, 0.0)[::-1], np.where(sure[::-1], counts, 0.0)
+    n = share * min(up.sum() / rate, down.sum() / (1 - rate))
+    take = lambda c, m: np.clip((m - (np.cumsum(c) - c)) / np.maximum(c, 1), 0.0, 1.0) * (c > 0)
+    return take(up, n * rate)[::-1], take(down, n * (1 - rate))
+
+
+class Pool:
+    """Unlabelled rows in memory, as the pair of their views."""
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray]) -> None:
+        self.views = views
+
+    def total(self, part: Callable[[tuple[np.ndarray, np.ndarray]], np.ndarray]) -> np.ndarray:
+        """The sum of part over all rows."""
+        return part(self.views)
+
+
+class FarPool(Pool):
+    """Unlabelled rows in a stored table of half-precision vectors; each sum is one pass over it where it lies."""
+
+    def __init__(self, rows: DataFrame, sizes: tuple[int, int]) -> None:
+        self.rows, self.sizes = rows, sizes
+
+    def total(self, part: Callable[[tuple[np.ndarray, np.ndarray]], np.ndarray]) -> np.ndarray:
+        first, width = self.sizes[0], sum(self.sizes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            whole = None
+            for batch in batches:
+                for start in range(0, batch.num_rows, 2048):
+                    x = np.frombuffer(b"".join(batch.column(0).slice(start, 2048).to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+                    own = part((x[:, :first], x[:, first:]))
+                    whole = own if whole is None else whole + own
+            if whole is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([whole.tobytes()], pa.binary())], ["task", "sums"])
+
+        got = self.rows.coalesce(TASKS).mapInArrow(run, "task long, sums binary").collect()  # at most TASKS sums
+        return np.sum([np.frombuffer(r["sums"]) for r in sorted(got, key=lambda r: r["task"])], axis=0) if got else np.zeros(1)
+
+
+def co_train(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: Pool | tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> list[np.ndarray]:
+    """The two views' weights after exchanging confident pseudo-labels.
+
+    In every round one pass judges all unlabelled rows with both models; a growing share of the rows that a view is sure of, up to
+    all that keep the proportion of the classes, teaches the other view by Newton steps, each a further pass.
+    """
+    pool = pool if isinstance(pool, Pool) else Pool(pool)
+    rate, models = float(y.mean()), [ridge(x, y) for x in labelled]
+    alone, ones = list(models), np.ones(len(y))
+    for turn in range(1, rounds + 1):
+        judges = list(models)
+        counts = pool.total(lambda xs: np.concatenate([np.bincount(bins(w, x), minlength=BINS) for w, x in zip(judges, xs, strict=True)]).astype(np.float64))
+        if not counts.any():
+            return models
+        marks = [chosen(c, rate, turn / rounds) for c in counts.reshape(2, BINS)]
+        taught = [v for v in (0, 1) if marks[1 - v][0].any()]
+        models = [models[v] if v in taught else alone[v] for v in (0, 1)]
+        for _ in range(STEPS if turn < rounds else 3 * STEPS):
+            now, open_ = list(models), list(taught)
+
+            def part(xs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+                out = []
+                for v in open_:
+                    at = bins(judges[1 - v], xs[1 - v])
+                    up, down = marks[1 - v][0][at], marks[1 - v][1][at]
+                    use = up + down > 0
+                    g, h = moments(now[v], xs[v][use], (up > 0)[use].astype(float), (up + down)[use])
+                    out += [g, h.ravel()]
+                return np.concatenate(out)
+
+            if not open_:
+                break
+            sums, place = pool.total(part), 0
+            for v in open_:
+                d = len(now[v])
+                g, h = moments(now[v], labelled[v], y, ones)
+                penalty = np.full(d, 1.0)
+                penalty[-1] = 1e-6
+                g += sums[place : place + d] + penalty * now[v]
+                h += sums[place + d : place + d + d * d].reshape(d, d) + np.diag(penalty)
+                place += d + d * d
+                step = np.linalg.solve(h, g)
+                step *= min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
+                models[v] = now[v] - step
+                if np.abs(step).max() < 1e-4:
+                    taught.remove(v)
     return models
 
 
@@ -150,7 +241,7 @@ class QualityModel:
         return tuple(1 / (1 + np.exp(-a)) for a in (z[:, 0], z[:, 1], logit(self.combined, z)))
 
 
-def fitted(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> QualityModel:
+def fitted(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool) -> QualityModel:
     """Every fourth labelled row (in hashed order) is set apart for calibration."""
     if len(y) < 8 or y.min() == y.max():
         return QualityModel([], [], np.zeros(0), float(y.mean()) if len(y) else 0.5)
@@ -159,7 +250,7 @@ def fitted(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndar
         apart[:] = False
     own = ~apart
     held = apart if apart.any() else own
-    views = co_train((text[own], meta[own]), y[own], (pool_text, pool_meta))
+    views = co_train((text[own], meta[own]), y[own], pool)
     platt = [ridge(logit(w, x[held])[:, None], y[held], 0.01) for w, x in zip(views, (text, meta), strict=True)]
     z = np.stack([logit(p, logit(w, x[held])[:, None]) for w, p, x in zip(views, platt, (text, meta), strict=True)], axis=1)
     return QualityModel(views, platt, ridge(z, y[held], 0.1))
@@ -177,8 +268,6 @@ def _plain(docs: DataFrame, name: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", meta_cols: Sequence[str] = ("source", "lang", "n_chars")) -> QualityModel:
     known = labels.where(usable & labels[label_col].isNotNull() & labels[id_col].isNotNull())
     known = known.groupBy(F.col(id_col).alias("key")).agg(F.min(label_col).cast("int").alias("label")).orderBy(F.xxhash64("key"), "key").limit(LABELLED)
-    pool = docs.select(docs[id_col].alias("key")).where("key IS NOT NULL").join(labels.select(labels[id_col].alias("key")), "key", "left_anti")
-    pool = pool.orderBy(F.xxhash64("key"), "key").limit(POOL).distinct().select("key", F.lit(-1).alias("label"))
     source, at = _vectors(docs, text_col, meta_cols, [docs[id_col].alias("key")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
             texts, metas = _rows(batch, at, memo)
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("turn"), pa.array(list(texts.reshape(len(texts), -1)), pa.list_(pa.float32())), pa.array(list(metas), pa.list_(pa.float32()))], ["label", "turn", "text", "meta"])
 
-    chosen = source.join(F.broadcast(known.union(pool)), "key").select(*source.columns[:-1], "label", F.xxhash64("key").alias("turn"))  # at most LABELLED + POOL ids
+    chosen = source.join(F.broadcast(known), "key").select(*source.columns[:-1], "label", F.xxhash64("key").alias("turn"))  # at most LABELLED ids
     got = chosen.mapInArrow(run, "label int, turn long, text array<float>, meta array<float>").toArrow()
     if not got.num_rows:
         return QualityModel([], [], np.zeros(0), 0.5)
@@ -195,7 +284,22 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     text, meta = (got.column(c).combine_chunks().values.to_numpy().reshape(got.num_rows, -1) for c in ("text", "meta"))
     order = np.lexsort((*meta.T[:4], text[:, 0], turn))
     label, text, meta = label[order], text[order], meta[order]
-    return fitted(text[label >= 0], meta[label >= 0], label[label >= 0].astype(float), text[label < 0], meta[label < 0])
+    return fitted(text, meta, label.astype(float), FarPool(_pool(docs, labels, id_col, text_col, meta_cols), (text.shape[1], meta.shape[1])))
+
+
+def _pool(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_cols: Sequence[str]) -> DataFrame:
+    """A stored table of the vectors of all unlabelled rows, both views end to end."""
+    source, at = _vectors(docs, text_col, meta_cols, [docs[id_col].alias("key")])
+    free = source.where("key IS NOT NULL").join(labels.select(labels[id_col].alias("key")).hint("merge"), "key", "left_anti").select(*source.columns[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2048):
+                rows = np.clip(np.concatenate(_rows(batch.slice(start, 2048), at, memo), axis=1), -60000, 60000).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], ["x"])
+
+    return stored(free.mapInArrow(run, "x binary"), "quality-pool")
 
 
 def _rows(batch: pa.RecordBatch, at: int, memo: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
