@@ -9,7 +9,8 @@ The labeller is trained here, on pages that a seeded generator builds with known
 side bars, notices, adverts, forms and reader comments, with telling, misleading or no class names, in many layouts. Training
 takes seconds, happens once in a driver, and the weights (a fixed, small size) are broadcast.
 
-Text of scripts, styles, templates and other tags that show none, and the document's title, is no block at all. Character
+Text of scripts, styles, templates and other tags that show none, and the document's title, is no block at all; where such a tag
+is never closed, the text after it is read. Formulas, drawings and what stands in for media are text like any other. Character
 references are decoded, white space inside a block (line breaks included) becomes one space.
 
 Defined results: null and empty html give the empty text; html without tags is one block; unclosed tags and truncated pages are
@@ -34,9 +35,13 @@ from corvane.llm._common import table
 
 #: Cells for hashed path parts and hashed words; measures; hidden units of each direction; generated pages; seed.
 PATHS, WORDS, MEASURES, HIDDEN, PAGES, SEED = 1024, 48, 8, 12, 1500, 7
-SILENT = {"script", "style", "noscript", "template", "title", "textarea", "svg", "math", "iframe", "object", "select", "canvas", "audio", "video", "head"}
+#: Tags whose content is no text whatever it holds; where one is never closed, reading goes on after it.
+SILENT = {"script", "style", "noscript", "template", "title", "textarea", "iframe"}
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.IGNORECASE | re.ASCII) for name in SILENT}
+#: Where text begins again after a script or style that is never closed.
+RESUMES = re.compile(r"<(?:/head|body|main|article|section|header|nav|div|p|h[1-6]|ul|ol|table|blockquote)(?=[\s/>])", re.IGNORECASE | re.ASCII)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "nobr", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "nobr", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "svg", "math", "object", "canvas", "audio", "video", "text", "tspan", "g", "path", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msubsup", "msqrt", "mroot", "mstyle", "mover", "munder", "munderover", "semantics"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)""", re.DOTALL)
@@ -59,7 +64,7 @@ class Blocks:
         path: tuple[str, ...] = ()
         links = chars = in_link = 0
         at, n = 0, len(page)
-        lower = ""
+        open_ended: set[str] = set()
 
         def flush() -> None:
             nonlocal links, chars
@@ -103,12 +108,17 @@ class Blocks:
                 flush()
             elif name == "br":
                 parts.append(" ")
-            if name in SILENT and name != "head":  # to its end, whatever it holds
+            if name in SILENT:  # to its end, whatever it holds
                 if not m[3].endswith("/"):
-                    lower = lower or page.lower()
-                    end = lower.find(f"</{name}", at)
-                    close = page.find(">", end) if end >= 0 else -1
-                    at = n if close < 0 else close + 1
+                    end = None if name in open_ended else ENDS[name].search(page, at)
+                    if end:
+                        close = page.find(">", end.end())
+                        at = n if close < 0 else close + 1
+                    else:
+                        open_ended.add(name)
+                        if name in ("script", "style"):
+                            text = RESUMES.search(page, at)
+                            at = text.start() if text else n
                 continue
             shut = CLOSES.get(name, set()) | ({"p"} if name in ENDS_P else set())
             if shut:
