@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -148,6 +149,15 @@ def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query_id", "position", F.round(F.least(F.length("l"), F.length("r")) / F.greatest(F.length("l"), F.length("r")), 9).alias("ratio"))
 
 
+@query("d3_full_similarity")
+def d3_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole similarity of every pair of neighbouring hits: by containment, else by matching blocks. No SQL says the latter."""
+    w = Window.partitionBy("query_id").orderBy("position")
+    rows = _hits(spark, sf_dir).select("query_id", "position", F.col("content").alias("l")).withColumn("r", F.lead("l").over(w)).where("r IS NOT NULL")
+    ratio = F.pandas_udf(lambda ls, rs: pd.Series([fusion.similarity(a or "", b) for a, b in zip(ls, rs, strict=True)], dtype="float64"), "double")
+    return rows.select("query_id", "position", F.round(ratio("l", "r"), 9).alias("ratio"))
+
+
 @query("k8_mmr")
 def k8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.diverse(_hits(spark, sf_dir).withColumn("score", F.round("score", 12)).drop("position"), 5).select("query_id", "position", "chunk_id")
