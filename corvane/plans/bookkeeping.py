@@ -242,16 +242,36 @@ def k11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.recall(rows, "the thing and of the").select("id", F.col("shared").cast("long").alias("shared"))
 
 
-@query("k12_canonical_order", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END AS stage FROM orders ORDER BY stage, o_orderkey LIMIT 500")
-def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("o_orderpriority")
     stage = F.when(p == "1-URGENT", 1).when(p == "2-HIGH", 2).when(p == "3-MEDIUM", 3).otherwise(4)
-    return table(spark, sf_dir, "orders").select("o_orderkey", stage.alias("stage")).orderBy("stage", "o_orderkey").limit(500)
+    return table(spark, sf_dir, "orders").select("o_orderkey", stage.alias("stage")).orderBy("stage", "o_orderkey")
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").where("s_acctbal > 0").orderBy(F.desc("s_acctbal"), "s_suppkey").select("s_suppkey", "s_name")
+
+
+@query("k12_canonical_order", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END AS stage FROM orders ORDER BY stage, o_orderkey LIMIT 500")
+def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _staged(spark, sf_dir).limit(500)
 
 
 @query("k13_ordered_listing", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 50")
 def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").where("s_acctbal > 0").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(50).select("s_suppkey", "s_name")
+    return _listed(spark, sf_dir).limit(50)
+
+
+@query("k12_canonical_order_all", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END AS stage FROM orders ORDER BY stage, o_orderkey")
+def k12_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of k12, which shows the first 500."""
+    return _staged(spark, sf_dir)
+
+
+@query("k13_ordered_listing_all", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey")
+def k13_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of k13, which shows the first 50."""
+    return _listed(spark, sf_dir)
 
 
 @query("d5_evidence_fusion", "WITH b AS (SELECT l_partkey AS item, 0 AS tool, l_quantity / 50 AS confidence FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_partkey, 1, l_discount * 10 FROM lineitem WHERE l_returnflag = 'A') SELECT item, min(tool) AS tool, round(max(confidence), 9) AS confidence FROM b GROUP BY item")

@@ -157,6 +157,13 @@ def t17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", F.left("previous", F.lit(40)).alias("previous"), F.left("next", F.lit(40)).alias("next"))
 
 
+@query("t17_neighbours_whole", f"WITH {CHUNKS} SELECT chunk_id, md5(lag(content) OVER w) AS previous_md5, md5(lead(content) OVER w) AS next_md5 FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY seq)")
+def t17_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the whole neighbouring texts, of which t17 shows the beginnings."""
+    rows = elements.neighbours(chunks(spark, sf_dir), "doc_id", "seq", "content")
+    return rows.select("chunk_id", *[F.md5(F.col(c).cast("binary")).alias(f"{c}_md5") for c in ("previous", "next")])
+
+
 @query("t22_sections", f"WITH {LINES}, s AS (SELECT doc_id, element, sum(CASE WHEN type = 'title' AND length(regexp_extract(markdown, '^(#+)', 1)) <= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY element) AS section FROM els) SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS n FROM s GROUP BY ALL")
 def t22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.sections(_elements(spark, sf_dir)).groupBy(F.col("id").alias("doc_id"), "section").agg(F.count(F.lit(1)).alias("n"))
