@@ -1,7 +1,8 @@
 """Toxicity of noisy text: a noisy-channel decoder restores disguised words, a sparse logistic model scores the restored text.
 
 1. Language model. Character n-grams (up to three) of all words of all documents are counted where the documents lie; tasks send
-   counts by hashed n-gram, so what is gathered grows with the corpus in its counts and is bounded in size (`GRAMS` cells).
+   counts by hashed n-gram. The table has eight cells for each distinct one met, so it grows with the corpus, from `GRAMS` cells up
+   to the bound `WIDEST`.
 2. Channel. A token that looks disguised (digits or symbols among letters, letters repeated three times or more, letters set apart
    by blanks or marks) becomes a lattice: per character itself, the letters it may stand for, or nothing; per run of a letter one,
    two or all. Viterbi decoding over the last two letters finds the likeliest word under the language model. Letters set apart by
@@ -20,7 +21,7 @@ from __future__ import annotations
 import math
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from corvane.llm._common import table
 
-#: Cells of the n-gram counts; labelled rows to fit on; features kept; tokens that a task remembers.
-GRAMS, TRAIN_ROWS, FEATURES, MEMO = 1 << 17, 20_000, 12_000, 400_000
+#: Least cells of the n-gram counts; labelled rows to fit on; features kept; tokens that a task remembers; texts taken out of Arrow at once.
+GRAMS, TRAIN_ROWS, FEATURES, MEMO, SLICE = 1 << 17, 20_000, 12_000, 40_000, 256
+WIDEST = 1 << 20
 PREFIXES = (3, 4, 5, 6)
 #: Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
@@ -56,13 +58,13 @@ LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
-def cell(gram: str) -> int:
-    """The cell of a gram of one to three characters."""
+def cell(gram: str, cells: int = GRAMS) -> int:
+    """The cell of a gram of one to three characters, of a power of two of them: in a smaller table it is the remainder."""
     h = 0
     for c, f in zip(reversed(gram), FACTORS, strict=False):
         h ^= (ord(c) + 1) * f & 0xFFFFFFFF
     h = (h ^ h >> 15) * 0x27D4EB2F & 0xFFFFFFFF
-    return (h ^ h >> 13) % GRAMS
+    return (h ^ h >> 13) % cells
 
 
 def count_grams(text: str, total: np.ndarray) -> None:
@@ -78,24 +80,44 @@ def count_grams(text: str, total: np.ndarray) -> None:
         if more is not None:
             h = h ^ more
         g = (h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F)
-        np.add(total, np.bincount((g ^ g >> np.uint32(13)) % np.uint32(GRAMS), minlength=GRAMS), out=total)
+        total += np.bincount((g ^ g >> np.uint32(13)) & np.uint32(len(total) - 1), minlength=len(total))
+
+
+class Memo:
+    """What was found for the last tokens: at most twice `MEMO` of them, those met again lately among them."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, tuple[str, ...]] = {}
+        self.old: dict[str, tuple[str, ...]] = {}
+
+    def get(self, token: str) -> tuple[str, ...] | None:
+        got = self.new.get(token)
+        if got is None and (got := self.old.get(token)) is not None:
+            self.put(token, got)
+        return got
+
+    def put(self, token: str, found: tuple[str, ...]) -> tuple[str, ...]:
+        if len(self.new) >= MEMO:
+            self.old, self.new = self.new, {}
+        self.new[token] = found
+        return found
 
 
 class CharModel:
     """Interpolated character trigrams."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts.astype(np.float64)
+        self.counts = counts
         self.memo: dict[str, float] = {}
 
     def cost(self, a: str, b: str, c: str) -> float:
         """-log P(c | ab)."""
         got = self.memo.get(a + b + c)
         if got is None:
-            n = self.counts
-            one = (n[cell(c)] + 0.01) / (n[cell(EDGE)] * 6 + 10)
-            two = (n[cell(b + c)] + 4 * one) / (max(n[cell(b)], n[cell(b + c)]) + 4)
-            three = (n[cell(a + b + c)] + 4 * two) / (max(n[cell(a + b)], n[cell(a + b + c)]) + 4)
+            n = lambda gram: float(self.counts[cell(gram, len(self.counts))])
+            one = (n(c) + 0.01) / (n(EDGE) * 6 + 10)
+            two = (n(b + c) + 4 * one) / (max(n(b), n(b + c)) + 4)
+            three = (n(a + b + c) + 4 * two) / (max(n(a + b), n(a + b + c)) + 4)
             got = -math.log(min(1.0, max(three, 1e-9)))
             if len(self.memo) > MEMO:
                 self.memo.clear()
@@ -141,6 +163,13 @@ def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
                 yield letters
 
 
+def letter_runs(low: str) -> bool:
+    """Whether a letter stands three times in a row."""
+    p = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero((p[2:] == p[1:-1]) & (p[1:-1] == p[:-2]))
+    return bool(len(at)) and bool(((p[at] >= 1 << 16) | LETTER[np.minimum(p[at], 0xFFFF)]).any())
+
+
 def is_code(bare: str) -> bool:
     """Hexadecimal and base64 by their form: letters and digits mixed throughout, and digits that stand for no letter."""
     return ("2" in bare or "6" in bare) and CODE.fullmatch(bare) is not None and len(CHANGE.findall(bare)) >= 8
@@ -157,16 +186,13 @@ class Restorer:
 
     def __init__(self, counts: np.ndarray) -> None:
         self.model = CharModel(counts)
-        self.memo: dict[str, tuple[str, ...]] = {}
+        self.memo = Memo()
 
     def readings(self, token: str) -> tuple[str, ...]:
         """A lower-case token's word, restored, without outer marks; of a long one the words that it may hold. Remembered."""
         got = self.memo.get(token)
         if got is None:
-            got = self.restored(token)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[token] = got
+            got = self.memo.put(token, self.restored(token))
         return got
 
     def restored(self, token: str) -> tuple[str, ...]:
@@ -210,9 +236,22 @@ class Restorer:
                 run = []
         return out
 
+    def parted(self, low: str) -> tuple[list[str], list[str]]:
+        """The distinct tokens of a lower-case text: plain words without outer marks, and tokens that may be disguised."""
+        plain, odd = [], []
+        runs = letter_runs(low)
+        for t in set(low.split()):
+            bare = t if t.isalpha() else t.strip(STRIP)
+            if bare.isalpha() and not (runs and REPEAT.search(bare)):
+                plain.append(bare)
+            else:
+                odd.append(t)
+        return plain, odd
+
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        found = {w for t in set(low.split()) for w in self.readings(t)}
+        plain, odd = self.parted(low)
+        found = {*plain, *(w for t in odd for w in self.readings(t))}
         found.update(self.spaced(low))
         found.discard("")
         return found
@@ -272,57 +311,59 @@ class Scorer:
     def __init__(self, counts: np.ndarray, weights: dict[str, float], intercept: float) -> None:
         self.counts, self.weights, self.intercept = counts, weights, intercept
 
-    def batches(self, batches: Iterable[list[str | None]]) -> Iterator[list[float]]:
-        """Scores of lists of texts; what is remembered of tokens lasts from list to list."""
+    def reader(self) -> Callable[[list[str | None]], list[float]]:
+        """A function from texts to scores; what it remembers of tokens lasts from call to call."""
         restorer, weigh = Restorer(self.counts), self.weights
         starts = {f.rstrip("+")[:3] for f in weigh}  # words that begin otherwise bear no weight
-        memo: dict[str, tuple[str, ...]] = {}
+        memo = Memo()
 
         def weighed(word: str) -> tuple[str, ...]:
             return tuple(f for f in features(word) if f in weigh) if word[:3] in starts else ()
 
-        for texts in batches:
-            out = []
-            for text in texts:
-                low = (text or "").lower()
-                found: set[str] = set()
-                for t in set(low.split()):
-                    own = memo.get(t)
-                    if own is None:
-                        own = tuple(f for w in restorer.restored(t) for f in weighed(w))
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        memo[t] = own
-                    if own:
-                        found.update(own)
-                for w in restorer.spaced(low):
-                    found.update(weighed(w))
-                z = self.intercept + sum(sorted(weigh[f] for f in found))
-                out.append(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
-            yield out
+        def told(text: str | None) -> float:
+            low = (text or "").lower()
+            plain, odd = restorer.parted(low)
+            found = {f for w in plain if w[:3] in starts for f in weighed(w)}
+            for t in odd:
+                own = memo.get(t)
+                if own is None:
+                    own = memo.put(t, tuple(f for w in restorer.restored(t) for f in weighed(w)))
+                if own:
+                    found.update(own)
+            for w in restorer.spaced(low):
+                found.update(weighed(w))
+            z = self.intercept + sum(sorted(weigh[f] for f in found))
+            return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+
+        return lambda texts: list(map(told, texts))
+
+
+def slices(column: pa.Array) -> Iterator[list[str | None]]:
+    """A column's texts, a few at a time: no batch is ever held in Python as a whole."""
+    for start in range(0, len(column), SLICE):
+        yield column.slice(start, SLICE).to_pylist()
 
 
 def language_model(docs: DataFrame, text_col: str) -> np.ndarray:
     """Hashed n-gram counts of all words of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, size = np.zeros(GRAMS, np.int64), [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    waiting.append(text)
-                    size += len(text)
-                if size > 1 << 20:
-                    count_grams(" ".join(waiting), total)
-                    waiting, size = [], 0
+        total, waiting, size = np.zeros(WIDEST, np.int64), [], 0
+        for text in (t for batch in batches for texts in slices(batch.column(0)) for t in texts):
+            if text:
+                waiting.append(text)
+                size += len(text)
+            if size > 1 << 20:
+                count_grams(" ".join(waiting), total)
+                waiting, size = [], 0
         count_grams(" ".join(waiting), total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
     rows = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = np.zeros(GRAMS, np.int64)
-    got = rows.toArrow()  # at most GRAMS rows
-    counts[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    got = rows.toArrow()  # at most WIDEST rows
+    counts = np.zeros(min(WIDEST, max(GRAMS, 1 << (8 * got.num_rows).bit_length())), np.int64)
+    np.add.at(counts, got.column("cell").to_numpy() % len(counts), got.column("n").to_numpy())
     return counts
 
 
@@ -357,48 +398,40 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
         got = seen.mapInArrow(pick, "label int, at array<int>").toArrow()  # at most `rows` rows of at most FEATURES numbers
     finally:
         seen.unpersist()
-    sample = sorted(zip(got.column("label").to_pylist(), got.column("at").to_pylist(), strict=True))  # the same order however the rows were dealt
-    w, b = fit([np.array(x, np.int64) for _, x in sample], np.array([label for label, _ in sample], float), len(best))
+    lists = got.column("at").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    sample = sorted(zip(got.column("label").to_pylist(), (flat[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)), strict=True))  # the same order however the rows were dealt
+    w, b = fit([np.frombuffer(x, np.int32) for _, x in sample], np.array([label for label, _ in sample], float), len(best))
     return Scorer(counts, {f: float(w[i]) for f, i in place.items() if w[i]}, b)
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """One row per input row: id, score (and what `keep` names)."""
     keep = keep or []
-    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # GRAMS cells and FEATURES weights
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # at most WIDEST cells and FEATURES weights
     source = docs.select(docs[text_col].cast("string").alias("corvane_text"), docs[id_col].alias(id_col), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: list[pa.RecordBatch] = []
-
-        def texts() -> Iterator[list[str | None]]:
-            for batch in batches:
-                now[:] = [batch]
-                yield batch.column(0).to_pylist()
-
-        for scores in sent.value.batches(texts()):
-            yield pa.RecordBatch.from_arrays([*now[0].columns[1:], pa.array(scores, pa.float64())], [*now[0].schema.names[1:], "score"])
+        read = sent.value.reader()
+        for batch in batches:
+            scores = [s for texts in slices(batch.column(0)) for s in read(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores, pa.float64())], [*batch.schema.names[1:], "score"])
 
     return source.mapInArrow(run, schema)
 
 
 def reject(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that score `threshold` or more."""
-    sent, at = docs.sparkSession.sparkContext.broadcast(scorer), docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: list[pa.RecordBatch] = []
-
-        def texts() -> Iterator[list[str | None]]:
-            for batch in batches:
-                now[:] = [batch]
-                yield batch.column(at).cast(pa.string()).to_pylist()
+    """docs, all columns, without the rows that score `threshold` or more. Only texts go to Python and only scores come back."""
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # at most WIDEST cells and FEATURES weights
 
-        for scores in sent.value.batches(texts()):
-            yield now[0].filter(pa.array([s < threshold for s in scores], pa.bool_()))
+    @F.arrow_udf("double")
+    def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        read = sent.value.reader()
+        for column in columns:
+            yield pa.array([s for texts in slices(column) for s in read(texts)], pa.float64())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scored(docs[text_col].cast("string")) < threshold)
 
 
 def not_held_out(key: Column) -> Column:
