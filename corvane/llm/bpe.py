@@ -5,8 +5,8 @@ neighbour, so the root names the lowest rank and, among equals, the leftmost pla
 a merge, O(n log n) a piece, however long a piece without a blank may be. The rule is the tokenizer file's own: normaliser,
 splitter, byte alphabet, end-of-word mark, and its added tokens, which are cut out of the raw text first.
 
-Pieces repeat, so each task memoises them up to `CACHE_CHARS` characters of text and then starts afresh: a bound on memory
-that cannot change a result.
+Pieces repeat, so each worker remembers those met lately, in two generations of `CACHE_CHARS` characters: a bound on memory that
+cannot change a result. Texts leave Arrow `SLICE` at a time.
 
 Defined results: null and empty texts have no tokens (hash of nothing); repeated rows are encoded alike, one row each; very
 long texts are encoded whole, in one task row; empty tables give empty results; further columns are not read.
@@ -17,8 +17,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm._common import table
 
-#: Characters of distinct pieces that one task remembers.
-CACHE_CHARS = 4_000_000
+#: Characters of distinct pieces in a generation of what a worker remembers; texts taken out of Arrow at once.
+CACHE_CHARS, SLICE = 1_000_000, 256
 NONE = 1 << 62
 
 
@@ -103,7 +104,8 @@ class WordBpe:
         self.careful = regex.compile("(?V1)" + split.replace(r"\p{L}", rf"[\p{{L}}--[{late}]]").replace(r"\p{N}", rf"[\p{{N}}--[{late}]]")).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.letters = byte_alphabet()
-        self.known: dict[str, tuple[bytes, int, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
     def symbols(self, piece: str) -> list[int]:
@@ -138,24 +140,27 @@ class WordBpe:
                 tree.put(h, pair((ids[h], ids[i]), none)[0])
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> tuple[bytes, int, str]:
-        """(ids as little-endian unsigned 32-bit integers, how many, decoded tokens) of a piece."""
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece as little-endian unsigned 32-bit integers."""
         got = self.known.get(piece)
         if got is None:
-            ids = self.merged(self.symbols(piece))
-            got = (b"".join(i.to_bytes(4, "little") for i in ids), len(ids), self.decode(ids))
+            got = self.older.get(piece)
+            if got is None:
+                ids = self.merged(self.symbols(piece))
+                got = struct.pack(f"<{len(ids)}I", *ids)
             if self.held + len(piece) > CACHE_CHARS:
-                self.known.clear()
+                self.older, self.known = self.known, {}
                 self.held = 0
             self.known[piece] = got
             self.held += len(piece)
         return got
 
-    def split(self, text: str) -> Iterator[tuple[bytes, int, str]]:
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                i = self.added[part]
-                yield i.to_bytes(4, "little"), 1, part
+                out.append(struct.pack("<I", self.added[part]))
             elif part:
                 pieces = self.pieces
                 if not part.isascii():
@@ -164,21 +169,26 @@ class WordBpe:
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # letters are lowered one by one, without a final sigma
                 get, make = self.known.get, self.piece
                 for p in pieces(part.lower()):
-                    yield get(p) or make(p)
+                    got = get(p)
+                    if got is None:
+                        got = make(p)
+                        get = self.known.get
+                    out.append(got)
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        packed = b"".join(x[0] for x in self.split(text))
-        return [int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed), 4)]
+        packed = self.packed(text)
+        return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """Tokens joined by blanks: the file names no decoder. Ids that it lacks are left out."""
-        return " ".join(self.token[i] for i in ids if i in self.token)
+        token = self.token
+        return " ".join([token[i] for i in ids if i in token])
 
     def digests(self, text: str) -> tuple[int, str, str]:
-        found = list(self.split(text))
-        ids = b"".join([x[0] for x in found])
-        said = " ".join([x[2] for x in found if x[1]])
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest()
+        packed = self.packed(text)
+        said = self.decode(struct.unpack(f"<{len(packed) // 4}I", packed))
+        return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 @lru_cache(maxsize=2)
@@ -196,7 +206,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec.value)
-        for batch in batches:
+        for batch in (b.slice(start, SLICE) for b in batches for start in range(0, b.num_rows, SLICE)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             out = list(map(coder.digests, texts))
             cols = [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.string())]
