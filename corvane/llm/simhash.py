@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._common import stored, table
+from corvane.llm._common import stored, table, unused
 from corvane.llm.components import labels
 
-#: Classes on which the routing tree is shaped, classes aimed at in a shard, and points compared with each other in a block.
-SAMPLE, SHARD, PACK = 16384, 1024, 128
+#: Classes on which the routing tree is shaped at most (16 for each shard), classes aimed at in a shard, and points compared with each other in a block.
+SAMPLE, SHARD, PACK = 1 << 20, 1024, 128
 HASH_SEED = 42
 U64 = np.uint64
 
@@ -179,9 +179,9 @@ def classes(fps: DataFrame, radius: int = 2) -> DataFrame:
     spark = fps.sparkSession
     distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
     margin, n = (radius + 1) // 2, distinct.count()
-    sample = [r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()]
-    tree, n_leaves = grow(np.array(sample, np.int64).view(U64), max(1, min(n // SHARD, SAMPLE // 16)), margin)
-    sent = spark.sparkContext.broadcast(tree)  # at most SAMPLE / 16 leaves
+    leaves = max(1, min(n // SHARD, SAMPLE // 16))
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(max(4096, 16 * leaves)).select("fp").toArrow()["fp"].to_numpy()
+    sent = spark.sparkContext.broadcast(grow(sample.astype(np.int64).view(U64), leaves, margin)[0])  # at most SAMPLE / 16 leaves
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,18 +219,19 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def kept_of(docs: DataFrame, fps: DataFrame, known: DataFrame, mark: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
     """docs with one document of each component, given (id, fp) rows, every fp's (label, component_id), and how a text is marked with its fp."""
     judged = stored(fps.join(known.hint("shuffle_hash"), "fp").select("id", "label", "component_id"), "simhash-kept")
-    keep = judged.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("corvane_n"))
-    rows = docs.join(keep.hint("shuffle_hash"), docs[id_col] == keep["id"]).select(*[docs[c] for c in docs.columns], "corvane_n")
-    if keep.where("corvane_n > 1").isEmpty():
-        out = rows.drop("corvane_n")
+    times, own_fp, own_label = (unused(docs, x) for x in ("corvane_n", "corvane_fp", "corvane_label"))
+    keep = judged.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    rows = docs.join(keep.hint("shuffle_hash"), docs[id_col] == keep["id"]).select(*[docs[c] for c in docs.columns], keep["times"].alias(times))
+    if keep.where("times > 1").isEmpty():
+        out = rows.drop(times)
     else:  # repeated rows of one id
-        out = rows.where("corvane_n = 1").unionByName(rows.where("corvane_n > 1").dropDuplicates([id_col])).drop("corvane_n")
+        out = rows.where(F.col(times) == 1).unionByName(rows.where(F.col(times) > 1).dropDuplicates([id_col])).drop(times)
     if judged.where("component_id IS NULL").isEmpty():
         return out
     # components without any id keep the first of their texts
-    bare = known.where("component_id IS NULL").select(F.col("fp").alias("corvane_fp"), F.col("label").alias("corvane_label"))
-    own = docs.where(docs[id_col].isNull()).withColumn("corvane_fp", mark(docs[text_col].cast("string")))
-    return out.unionByName(own.join(bare, "corvane_fp").dropDuplicates(["corvane_label"]).drop("corvane_fp", "corvane_label"))
+    bare = known.where("component_id IS NULL").select(F.col("fp").alias(own_fp), F.col("label").alias(own_label))
+    own = docs.where(docs[id_col].isNull()).withColumn(own_fp, mark(docs[text_col].cast("string")))
+    return out.unionByName(own.join(bare, own_fp).dropDuplicates([own_label]).drop(own_fp, own_label))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
