@@ -7,16 +7,19 @@ candidates are left at or above it. A last pass keeps scores at or above the bou
 ties to smaller ids, so a vector that a third of all rows share costs k rows a task, not a third of all rows. No score list
 leaves a task, no round sends more than a histogram a query.
 
-Components are scaled to integers, floor(scale * x), and scores are exact integers: float64 products while they stay under
-2^53, Python integers beyond (saturated at the limits of a long).
+Components are scaled to integers, floor(scale * x), and scores are exact integers: float64 products of rows whose products stay
+under 2^53, Python integers for the few others. Histograms span 2^62 scores; a query whose k-th best lies outside is settled by each
+task's best k alone. Ranks compare up to 38 digits; a score beyond a long is shown as the long's limit.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without an id;
-vectors are compared with those of their own length only; a repeated query id is asked once; a repeated candidate row is
+vectors are compared with those of their own length only; a repeated query id is asked once, with the least of its usable vectors;
+a repeated candidate row is
 listed as often as it occurs; ties go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import decimal
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 from corvane.llm._common import scratch_path, table
 
 BLOCK, BINS, ROWS = 2048, 256, 4096
-EXACT = float(1 << 53)
-LIMIT = (1 << 63) - 1
+#: Vectors whose components stay under this, divided by the root of their length, have exact products in float64.
+PLAIN = float(1 << 26)
+LIMIT, SPAN, DIGITS = (1 << 63) - 1, 1 << 61, 10**38 - 1
 
 
 def scaled(vectors: pa.Array, scale: float) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -50,13 +54,19 @@ def scaled(vectors: pa.Array, scale: float) -> tuple[np.ndarray, list[np.ndarray
     return np.array(places, int), rows
 
 
-def scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
-    most = np.abs(queries).max(initial=0) * np.abs(candidates).max(initial=0) * queries.shape[1]
-    if most < EXACT:
-        return (queries @ candidates.T).astype(np.int64)
-    whole = lambda m: np.array([[int(x) for x in row] for row in m], object)
-    return np.clip(whole(queries).dot(whole(candidates).T), -LIMIT, LIMIT).astype(np.int64)
+def plain(rows: np.ndarray) -> np.ndarray:
+    return np.abs(rows).max(axis=1, initial=0) <= PLAIN / np.sqrt(rows.shape[1])
+
+
+def scores(queries: np.ndarray, candidates: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places of queries, places of candidates, their exact inner products): as longs, or as Python integers where rows are large."""
+    whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
+    q, c = plain(queries), plain(candidates)
+    for a in (True, False):
+        for b in (True, False):
+            i, j = np.flatnonzero(q == a), np.flatnonzero(c == b)
+            if len(i) and len(j):
+                yield i, j, (queries[i] @ candidates[j].T).astype(np.int64) if a and b else whole(queries[i]).dot(whole(candidates[j]).T)
 
 
 def by_length(ids: list, rows: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -81,6 +91,7 @@ class Block:
         self.width = np.ones(len(ids), np.int64)  # of a bin
         self.open = np.ones(len(ids), bool)
         self.above = np.zeros(len(ids), np.int64)
+        self.free = np.zeros(len(ids), bool)  # no lower bound holds
 
     def scored(self, batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(places of queries, candidate ids, scores; a query's own row has the least score) of each run of candidates."""
@@ -91,7 +102,8 @@ class Block:
                 ids = part.column(0).take(pa.array(at)).to_pylist()
                 for n, (own, matrix) in by_length(ids, rows).items():
                     if n in self.of:
-                        yield self.at[n], own, scores(self.of[n][1], matrix)
+                        for i, j, score in scores(self.of[n][1], matrix):
+                            yield self.at[n][i], own[j], score
 
     def counts(self, batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(self.ids), BINS), np.int64)
@@ -101,6 +113,8 @@ class Block:
             if not len(at):
                 continue
             bin_ = (score - self.low[at][:, None]) // self.width[at][:, None]
+            if bin_.dtype == object:  # what is beyond the span counts with its highest scores
+                bin_ = np.where(score > SPAN, np.where(self.top[at][:, None], BINS - 1, BINS), np.clip(bin_, -1, BINS)).astype(np.int64)
             inside = (bin_ >= 0) & (bin_ < BINS) & (self.ids[at][:, None] != own[None, :])
             flat = (np.arange(len(at))[:, None] * BINS + np.clip(bin_, 0, BINS - 1))[inside]
             total[at] += np.bincount(flat, minlength=len(at) * BINS).reshape(len(at), BINS)
@@ -110,35 +124,39 @@ class Block:
     def best(self, batches: Iterator[pa.RecordBatch], scale: float) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for at, own, score in self.scored(batches, scale):
-            good = (score >= self.low[at][:, None]) & (self.ids[at][:, None] != own[None, :])
+            good = ((score >= self.low[at][:, None]) | self.free[at][:, None]).astype(bool) & (self.ids[at][:, None] != own[None, :])
             for i in np.nonzero(good.any(axis=1))[0]:
                 ids, got = own[good[i]], score[i][good[i]]
                 if (q := int(at[i])) in held:
                     ids, got = np.concatenate([held[q][0], ids]), np.concatenate([held[q][1], got])
-                first = np.lexsort((ids, -got))[: self.k]
+                first = np.lexsort((ids, -got))[: self.k] if got.dtype != object else np.array(sorted(range(len(got)), key=lambda x: (-got[x], ids[x]))[: self.k])
                 held[q] = ids[first], got[first]
         q = np.repeat(self.ids[list(held)] if held else np.zeros(0, np.int64), [len(x[0]) for x in held.values()])
         ids, got = (np.concatenate([x[i] for x in held.values()]) if held else np.zeros(0, np.int64) for i in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()), pa.array(got, pa.int64())], ["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()), pa.array([decimal.Decimal(max(-DIGITS, min(DIGITS, int(x)))) for x in got], pa.decimal128(38, 0))], ["query_id", "vec_id", "score"])
 
 
-def _refine(block: Block, pairs: DataFrame, scale: float) -> None:
-    """Narrows the range of each query to the bin that holds its k-th best score until few candidates are left."""
-    spark, k = pairs.sparkSession, block.k
+def longest(pairs: DataFrame, scale: float) -> float:
+    """The greatest length of a usable vector."""
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = 0.0
         for batch in batches:
             _, rows = scaled(pa.concat_arrays([batch.column(1)]), scale)
-            most = max([most, *(float(np.sqrt((r * r).sum())) for r in rows)])
+            most = max([most, *(float(np.linalg.norm(r)) for r in rows)])
         yield pa.RecordBatch.from_arrays([pa.array([most])], ["most"])
 
-    most = pairs.mapInArrow(norms, "most double").agg(F.max("most")).first()[0] or 0.0
-    reach = np.minimum(block.norm * most * (1 + 1e-9) + 1, float(1 << 61)).astype(np.int64)  # |score| is at most the product of the lengths
+    return pairs.mapInArrow(norms, "most double").agg(F.max("most")).first()[0] or 0.0
+
+
+def _refine(block: Block, pairs: DataFrame, scale: float, most: float) -> None:
+    """Narrows the range of each query to the bin that holds its k-th best score until few candidates are left."""
+    spark, k = pairs.sparkSession, block.k
+    with np.errstate(over="ignore", invalid="ignore"):
+        reach = block.norm * most * (1 + 1e-9) + 1  # |score| is at most the product of the lengths
+    reach = np.where(reach < SPAN, reach, SPAN).astype(np.int64)
     block.low, block.width = -reach, (2 * reach + BINS) // BINS
-    if (block.norm * most >= float(1 << 61)).any():  # saturated scores: the last pass alone decides, by each task's best k
-        block.low[:] = -LIMIT
-        return
+    block.top = np.ones(len(block.ids), bool)  # the range reaches the highest scores
     while block.open.any():
         sent = spark.sparkContext.broadcast(block)
         counted = pairs.mapInArrow(lambda batches, sent=sent: sent.value.counts(batches, scale), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
@@ -149,6 +167,10 @@ def _refine(block: Block, pairs: DataFrame, scale: float) -> None:
         seen = set()
         for q, bin_, n, over in found:
             seen.add(q)
+            if block.above[q] + over + n < k:  # fewer than k candidates in the range
+                block.open[q], block.free[q] = False, True
+                continue
+            block.top[q] &= bin_ == BINS - 1
             block.low[q] += bin_ * block.width[q]
             block.above[q] += over
             if block.width[q] == 1 or block.above[q] + n <= 4 * k:
@@ -157,7 +179,7 @@ def _refine(block: Block, pairs: DataFrame, scale: float) -> None:
                 block.width[q] = -(-block.width[q] // BINS)
         for q in np.nonzero(block.open)[0]:
             if int(q) not in seen:
-                block.open[q] = False  # no candidate at all
+                block.open[q], block.free[q] = False, True  # none at all
         sent.unpersist()
 
 
@@ -166,6 +188,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     spark = vectors.sparkSession
     pairs = vectors.where(vectors[id_col].isNotNull() & vectors[vector_col].isNotNull()).select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
     asked = vectors.where(is_query & vectors[id_col].isNotNull() & vectors[vector_col].isNotNull()).select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"))
+    fine = F.size("v") > 0, ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x * F.lit(float(scale))) == F.lit(float("inf"))))
+    pairs, asked = (x.where(fine[0] & fine[1]) for x in (pairs, asked))
+    most = longest(pairs, scale)
     path, last, blocks = scratch_path(spark, "topk"), None, 0
     while True:
         rows = (asked if last is None else asked.where(F.col("id") > last)).orderBy("id", "v").limit(BLOCK).collect()
@@ -178,11 +203,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         if not len(at):
             continue
         block = Block([ids[i] for i in at], usable, k)
-        _refine(block, pairs, scale)
+        _refine(block, pairs, scale, most)
         sent = spark.sparkContext.broadcast(block)
-        found = pairs.mapInArrow(lambda batches, sent=sent: sent.value.best(batches, scale), "query_id long, vec_id long, score long")
+        found = pairs.mapInArrow(lambda batches, sent=sent: sent.value.best(batches, scale), "query_id long, vec_id long, score decimal(38,0)")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.greatest(F.least("score", F.lit(LIMIT)), F.lit(-LIMIT)).cast("long").alias("score")).write.mode("append").parquet(path)
         blocks += 1
     schema = "query_id long, rank int, vec_id long, score long"
     return spark.read.schema(schema).parquet(path) if blocks else spark.createDataFrame([], schema)
