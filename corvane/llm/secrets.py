@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -62,11 +63,17 @@ def suspected(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[in
         s = m[0]
         if re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s) and entropy(s) >= ENTROPY:
             found.append((m.start(), 6, m.end(), s))
-    taken = sorted(found)
-    clear = lambda x, others: all(x[2] <= o[0] or o[2] <= x[0] for o in others)
+    cover: list[list[int]] = []  # base spans, joined where they touch or overlap
+    for a, _, b, _ in base:
+        if cover and a <= cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], b)
+        else:
+            cover.append([a, b])
+    starts = [x[0] for x in cover]
     out: list[tuple[int, int, int, str]] = []
-    for x in taken:
-        if clear(x, base) and (not out or out[-1][2] <= x[0]):
+    for x in sorted(found):
+        k = bisect_left(starts, x[2]) - 1  # the last that starts before the span's end
+        if (k < 0 or cover[k][1] <= x[0]) and (not out or out[-1][2] <= x[0]):
             out.append(x)
     return out
 
