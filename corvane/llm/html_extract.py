@@ -24,7 +24,7 @@ import html as entities
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,7 +44,9 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "nobr", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "svg", "math", "object", "canvas", "audio", "video", "text", "tspan", "g", "path", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msup", "msub", "msubsup", "msqrt", "mroot", "mstyle", "mover", "munder", "munderover", "semantics"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)""", re.DOTALL)
+OPENS = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOPS = re.compile("[>\"']")
+CUT = re.compile(r"/[a-zA-Z]|[a-zA-Z][^\s<>]*\s+[^<>=]*=")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
 
@@ -58,7 +60,31 @@ class Blocks:
         self.linked: list[float] = []
         self._read(page)
 
+    def _tags(self, page: str, marks: dict[str, int]) -> Callable[[int], int]:
+        """A function from the place after a tag's name to the place of its closing bracket, -1 if it has none.
+
+        Brackets inside quotes close nothing, unless a quote of the page once never ended; every place is passed a bounded number of times.
+        """
+
+        def end(at: int) -> int:
+            start = at
+            while not marks["broken"]:
+                m = STOPS.search(page, at)
+                if m is None:
+                    break
+                if m[0] == ">":
+                    return m.start()
+                if m.start() >= marks[m[0]]:
+                    break  # the last quote of its kind
+                at = page.index(m[0], m.end()) + 1
+            marks["broken"] = 1
+            return page.find(">", start)
+
+        return end
+
     def _read(self, page: str) -> None:
+        marks = {"broken": 0, '"': page.rfind('"'), "'": page.rfind("'")}
+        tag_end, last_end = self._tags(page, marks), page.rfind(">")
         stack: list[tuple[str, str]] = []
         parts: list[str] = []
         path: tuple[str, ...] = ()
@@ -80,19 +106,31 @@ class Blocks:
             links = chars = 0
 
         while at < n:
-            m = TOKEN.match(page, at)
-            if m is None:  # a tag that never ends
-                break
-            at = m.end()
-            if (said := m[4]) is not None:
+            lt = page.find("<", at)
+            lt = n if lt < 0 else lt
+            said, m = page[at:lt], None
+            at = lt
+            if lt < n:
+                if page.startswith("<!--", lt):
+                    close = page.find("-->", lt + 4)
+                    at = n if close < 0 else close + 3
+                elif (m := OPENS.match(page, lt + 1) if lt < last_end else None) and (close := tag_end(m.end())) >= 0:
+                    rest, at = page[m.end() : close], close + 1
+                elif lt < last_end and page.startswith(("<!", "<?"), lt):
+                    at, m = page.index(">", lt) + 1, None
+                elif lt > last_end and CUT.match(page, lt + 1):  # a tag that the page's end cuts
+                    at, m = page.find("<", lt + 1), None
+                    at = n if at < 0 else at
+                else:
+                    said, at, m = said + "<", lt + 1, None
+            if said:
                 if not chars and not said.isspace():
                     path = tuple(x[1] for x in stack)
                 parts.append(said)
                 size = len(said) if not said.isspace() else 0
                 chars += size
                 links += size if in_link else 0
-                continue
-            if m[2] is None:
+            if m is None:
                 continue
             name = m[2].lower()
             if m[1]:
@@ -109,7 +147,7 @@ class Blocks:
             elif name == "br":
                 parts.append(" ")
             if name in SILENT:  # to its end, whatever it holds
-                if not m[3].endswith("/"):
+                if not rest.endswith("/"):
                     end = None if name in open_ended else ENDS[name].search(page, at)
                     if end:
                         close = page.find(">", end.end())
@@ -129,9 +167,9 @@ class Blocks:
                         break
                     if stack[k][0] not in INLINE and stack[k][0] not in ("p", "td", "th", "li", "dt", "dd"):
                         break
-            if name in VOID or m[3].endswith("/") and name not in ("a", "p", "div"):
+            if name in VOID or rest.endswith("/") and name not in ("a", "p", "div"):
                 continue
-            stack.append((name, name + " " + m[3] if "=" in m[3] else name))
+            stack.append((name, name + " " + rest if "=" in rest else name))
             in_link += name == "a"
         flush()
 
