@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,15 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 _homes: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor sees: spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster must name it."""
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or "file:///tmp/checkpoints/corvane")
+    return (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new place in this application's own folder under spark.checkpoint.dir (set to a default only where unset); it goes when the driver ends."""
-    app, context = spark.sparkContext.applicationId, spark.sparkContext
+    """A new place in this application's own folder inside the shared one. That folder goes when the driver ends."""
+    app = spark.sparkContext.applicationId
     if app not in _homes:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(named or "file:///tmp/checkpoints/corvane")
-        root = (named or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
-        _homes[app] = f"{root}/corvane-{uuid.uuid4().hex}"
+        _homes[app] = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
         at = spark._jvm.org.apache.hadoop.fs.Path(_homes[app])
         files = at.getFileSystem(spark._jsc.hadoopConfiguration())
         files.mkdirs(at)
