@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.storage import shared_path as scratch_path
+
 #: Words are maximal runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,30 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees. The session's spark.checkpoint.dir wins; one of our own is set only where none is."""
-    named, set_ = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_.isEmpty():
-        spark.sparkContext.setCheckpointDir(named or "file:///tmp/checkpoints/corvane")
-        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return (named or set_.get()).rstrip("/")
-
-
-_homes: dict[str, str] = {}
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new place in this application's own folder inside the shared one. That folder goes when the driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _homes:
-        _homes[app] = f"{shared_dir(spark)}/corvane-{uuid.uuid4().hex}"
-        at = spark._jvm.org.apache.hadoop.fs.Path(_homes[app])
-        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        files.mkdirs(at)
-        files.deleteOnExit(at)
-    return f"{_homes[app]}/{what}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, cut from its lineage, and readable after any executor is lost."""
     spark = df.sparkSession
