@@ -177,35 +177,39 @@ def _best(rows: DataFrame, score: Callable, queries: DataFrame, key: str, k: int
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", by: str | None = None) -> DataFrame:
     """query_id, rank, id, score: the k rows with the highest cosine, to 12 places, a query; its own row is no candidate.
 
-    With `by`, only rows that agree with the query there. queries: query_id, vector (and by). Vectors of other lengths, null or of
-    length zero take no part.
+    With `by`, only rows that agree with the query there. queries: query_id, vector (and by). A query meets vectors of its own
+    length; null vectors and those of length zero take no part.
     """
     plain = lambda df, i, v: df.select(df[i].cast("bigint").alias("id"), df[v].cast("array<double>").alias("v"), (df[by].cast("string") if by else F.lit("")).alias("g")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     asked = plain(queries, "query_id", "vector").withColumnRenamed("id", "query_id")
 
     def score(block: list, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, float]]:
-        size = len(block[0]["v"])
-        own = [r for r in block if len(r["v"]) == size]
-        q = np.array([r["v"] for r in own])
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        ids, groups = np.array([r["query_id"] for r in own]), np.array([r["g"] for r in own])
+        asked_by: dict[int, list] = {}  # queries meet vectors of their own length
+        for r in block:
+            asked_by.setdefault(len(r["v"]), []).append(r)
+        sides = {}
+        for size, own in asked_by.items():
+            q = np.array([r["v"] for r in own], float)
+            sides[size] = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), np.array([r["query_id"] for r in own]), np.array([r["g"] for r in own])
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                rows = [(i, v, g) for i, v, g in zip(*(c.to_pylist() for c in part.columns), strict=True) if len(v) == size]
-                if not rows:
-                    continue
-                m = np.array([r[1] for r in rows], float)
-                norm = np.linalg.norm(m, axis=1)
-                good = norm > 0
-                m, names, own_g = m[good] / norm[good, None], np.array([r[0] for r in rows])[good], np.array([r[2] for r in rows])[good]
-                s = np.round(q @ m.T, 12)
-                s[(ids[:, None] == names[None, :]) | (groups[:, None] != own_g[None, :])] = -np.inf
-                for i in range(len(ids)):
-                    few = np.argpartition(-s[i], min(k, len(names) - 1))[: k + 1] if len(names) > k + 1 else np.arange(len(names))
-                    edge = np.sort(s[i][few])[-k] if len(few) >= k else -np.inf
-                    for j in np.flatnonzero((s[i] >= edge) & (s[i] > -np.inf)).tolist():
-                        yield int(ids[i]), int(names[j]), float(s[i][j])
+                met: dict[int, list] = {}
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 4096).columns), strict=True):
+                    if len(row[1]) in sides:
+                        met.setdefault(len(row[1]), []).append(row)
+                for size, rows in met.items():
+                    q, ids, groups = sides[size]
+                    m = np.array([r[1] for r in rows], float)
+                    norm = np.linalg.norm(m, axis=1)
+                    good = norm > 0
+                    m, names, own_g = m[good] / norm[good, None], np.array([r[0] for r in rows])[good], np.array([r[2] for r in rows])[good]
+                    s = np.round(q @ m.T, 12)
+                    s[(ids[:, None] == names[None, :]) | (groups[:, None] != own_g[None, :])] = -np.inf
+                    for i in range(len(ids)):
+                        few = np.argpartition(-s[i], min(k, len(names) - 1))[: k + 1] if len(names) > k + 1 else np.arange(len(names))
+                        edge = np.sort(s[i][few])[-k] if len(few) >= k else -np.inf
+                        for j in np.flatnonzero((s[i] >= edge) & (s[i] > -np.inf)).tolist():
+                            yield int(ids[i]), int(names[j]), float(s[i][j])
 
     return _best(plain(vectors, id_col, vector_col), score, asked, "query_id", k, "bigint").withColumnRenamed("tie", id_col)
 

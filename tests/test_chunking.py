@@ -1,8 +1,11 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.operators import chunking, elements
+from corvane.sources import files
 
 MARKDOWN = "# A\n\nintro text\n\n## B\n" + "word " * 80 + "\n\n### C\n- one\n- two\n\n| h1 | h2 |\n|---|---|\n| a | b |\n| c | d |\n\n# D\nend\n"
 pieces = st.lists(st.sampled_from(["# H\n", "## K\n", "word ", "a long run of words. ", "\n\n", "```\ncode\n```\n", "| a | b |\n|---|---|\n| 1 | 2 |\n", "1. point\n", "[x](y) ", "。", "\f", "===\n", "x" * 70]), max_size=60).map("".join)
@@ -80,3 +83,25 @@ def test_rejections(spark):
     rows = spark.createDataFrame([([], 0), ([900], 900), ([10, 10, 10, 10, 300], 340), ([10, 20], 900), ([300, 900], 1200), ([300, 380], 680)], "lengths array<int>, total int")
     got = [r[0] for r in rows.select(chunking.rejection(F.col("lengths"), F.col("total"), 384)).collect()]
     assert got == [chunking.REASONS[0], chunking.REASONS[1], chunking.REASONS[2], chunking.REASONS[3], chunking.REASONS[4], ""]
+
+
+def test_page_text():
+    page = "<p title='x>y'>a<b>b</b> &amp; c<br/>d<script>if (a<b) </script>e<!-- f --><STYLE>g</STYLE></p>h<noscript>i</noscript> <div class=\"cut"
+    assert files.page_text(page) == "ab& c\nde\nh"
+    assert files.page_text("") == "" and files.page_text("<script>never closed") == ""
+    began = time.time()
+    files.page_text("<a " * 300_000)
+    assert time.time() - began < 5
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=40), st.integers(1, 60))
+def test_packing_takes_one_part_and_what_fits(sizes, size):
+    marks = [0]
+    for n in sizes:
+        marks.append(marks[-1] + n)
+    spans = chunking.packed(marks, size, lambda _, b: b)
+    assert [x for a, b in spans for x in range(a, b)] == list(range(marks[-1]))
+    for (a, b), (_, c) in zip(spans, spans[1:], strict=False):
+        assert b - a <= size or marks.index(b) - marks.index(a) == 1
+        assert marks[marks.index(b) + 1] - a > size and c > b

@@ -195,3 +195,10 @@ def test_llm_is_separate():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "corvane.llm" not in p.read_text(), p
+
+
+def test_nearest_answers_queries_of_every_length(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, None), (6, [0.0, 0.0])], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0, 0.1])], "query_id long, vector array<double>")
+    got = search.nearest(vectors, queries, 1).orderBy("query_id").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(10, 1), (11, 4)]
