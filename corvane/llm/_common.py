@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from corvane.storage import shared_path as scratch_path
 
+#: Bytes of texts that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
 #: Words are maximal runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,6 +54,14 @@ def whole(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(df[text_col].cast("string"), F.lit(""))
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes, where no lower bound is set: ten thousand long texts at once are more than a worker should hold."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    at_most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < at_most <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def freed(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished jobs: it does so when the driver's JVM collects their handles, which a mostly idle driver puts off."""
     gc.collect()

@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm._common import table
+from corvane.llm._common import light_batches, table
 
 #: Characters of distinct pieces in a generation of what a worker remembers; texts taken out of Arrow at once.
 CACHE_CHARS, SLICE = 1_000_000, 256
@@ -202,6 +202,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     The tokenizer file (a fixed public vocabulary, under 2 MB) is read once by the driver and sent to the tasks as a broadcast.
     """
     spark = docs.sparkSession
+    light_batches(spark)
     spec = spark.sparkContext.broadcast(Path(tokenizer_path).read_text("utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm._common import table
+from corvane.llm._common import light_batches, table
 
 #: Least cells of the n-gram counts; labelled rows to fit on; features kept; tokens that a task remembers; texts taken out of Arrow at once.
 GRAMS, TRAIN_ROWS, FEATURES, MEMO, SLICE = 1 << 17, 20_000, 12_000, 40_000, 256
@@ -346,6 +346,7 @@ def slices(column: pa.Array) -> Iterator[list[str | None]]:
 
 def language_model(docs: DataFrame, text_col: str) -> np.ndarray:
     """Hashed n-gram counts of all words of all texts."""
+    light_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, waiting, size = np.zeros(WIDEST, np.int64), [], 0
@@ -408,6 +409,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """One row per input row: id, score (and what `keep` names)."""
     keep = keep or []
+    light_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)  # at most WIDEST cells and FEATURES weights
     source = docs.select(docs[text_col].cast("string").alias("corvane_text"), docs[id_col].alias(id_col), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[1:]) + ", score double"
@@ -423,6 +425,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 
 def reject(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows that score `threshold` or more. Only texts go to Python and only scores come back."""
+    light_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)  # at most WIDEST cells and FEATURES weights
 
     @F.arrow_udf("double")
