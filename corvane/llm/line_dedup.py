@@ -149,8 +149,9 @@ class LineIndex:
 def batch_bounds(docs: DataFrame, id_col: str, batches: int) -> list:
     """The first ids of all batches but the first, for about equal batches. Where they lie decides no result."""
     ids = docs.where(docs[id_col].isNotNull()).select(docs[id_col].alias("id")).repartitionByRange(batches, "id")
-    firsts = ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("first")).collect()
-    return sorted(r["first"] for r in firsts)[1:]
+    firsts = sorted(r["first"] for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("first")).collect())
+    # the session may deal into more parts than were asked for
+    return sorted({firsts[len(firsts) * i // batches] for i in range(1, batches)} - {firsts[0]}) if firsts else []
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
