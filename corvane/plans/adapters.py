@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators import chunking
-from corvane.storage import spread
+from corvane.operators.keyword_index import KeywordIndex
+from corvane.storage import Versioned, shared_path, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,29 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fixed_chunks(docs, id_col="doc_id").select("doc_id", "base_id", "seq", "chunk_id", "content")
 
 
+_kept: dict[tuple, KeywordIndex] = {}
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """Chunks of all documents and their keyword index, built once an application while the files of `documents` stay as they are."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    if key not in _kept:
+        store = Versioned(spark, shared_path(spark, "kept"))
+        rows = chunks(spark, sf_dir).select(F.lit("w0").alias("workspace_id"), F.col("base_id").alias("knowledge_base_id"), "doc_id", "seq", "chunk_id", "content")
+        index, folder = KeywordIndex(store), store.write(rows, "chunks")
+        store.commit({"chunks": folder, **index.segment(store.part(folder))})
+        _kept[key] = index
+    return _kept[key]
+
+
+def kept_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `chunks` gives, read from the kept store."""
+    rows = kept_index(spark, sf_dir).store.table("chunks")
+    return rows.select("doc_id", F.col("knowledge_base_id").alias("base_id"), "seq", "chunk_id", "content")
+
+
 CHUNKS = r"""flat AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(source, 'default') AS base_id,
   trim(regexp_replace(coalesce(text, ''), '[ \t\n\r\f\x0B]+', ' ', 'g')) AS t FROM documents),
 chunks AS (SELECT doc_id, base_id, CAST(i AS INTEGER) AS seq, doc_id || '::parent-0::child-' || i AS chunk_id, substring(t, i * 308 + 1, 384) AS content

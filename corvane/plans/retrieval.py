@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.operators import context, fusion, search
-from corvane.plans.adapters import CHUNKS, QUESTIONS, chunks, questions, table, tokens_sql
+from corvane.plans.adapters import CHUNKS, QUESTIONS, chunks, kept_chunks, kept_index, questions, table, tokens_sql
 from corvane.plans.registry import query
+from corvane.schemas import Scope
 from corvane.storage import stored
 
 TOP = 10
@@ -27,13 +28,20 @@ kw AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm
 
 @query("k3_bm25_top_k", f"WITH {BM25} SELECT query_id, rank, chunk_id, round(bm25, 6) AS bm25, round(1 / (1 + abs(bm25)), 6) AS keyword_score FROM kw")
 def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.keyword_search(chunks(spark, sf_dir), questions(spark, sf_dir), TOP)
+    hits = kept_index(spark, sf_dir).search(questions(spark, sf_dir), TOP)
     return hits.select("query_id", "rank", "chunk_id", F.round("bm25", 6).alias("bm25"), F.round("keyword_score", 6).alias("keyword_score"))
 
 
 @query("k3_postings", f"WITH {CHUNKS}, p AS (SELECT chunk_id, len(ts) AS dl, unnest(ts) AS term FROM (SELECT chunk_id, {tokens_sql('content')} AS ts FROM chunks)), t AS (SELECT term, chunk_id, count(*) AS tf FROM p GROUP BY ALL) SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM t GROUP BY term")
 def k3_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(chunks(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    return kept_index(spark, sf_dir).totals()
+
+
+@query("k2_scoped_top_k", f"WITH {BM25.rsplit('kw AS', 1)[0]}kw AS (SELECT bm.*, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 9) DESC, chunk_id) AS INTEGER) AS rank FROM bm JOIN chunks USING (chunk_id) WHERE base_id IN ('src1', 'src4', 'default') QUALIFY rank <= 10) SELECT query_id, rank, chunk_id, round(bm25, 6) AS bm25 FROM kw")
+def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three knowledge bases may be shown; the statistics are those of all."""
+    hits = kept_index(spark, sf_dir).search(questions(spark, sf_dir), TOP, Scope("w0", ("src1", "src4", "default")))
+    return hits.select("query_id", "rank", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 OVERLAP = rf"""{CHUNKS}, {QUESTIONS},
@@ -44,7 +52,7 @@ ov AS (SELECT query_id, chunk_id, m / n AS score, CAST(row_number() OVER (PARTIT
 
 @query("k4_token_overlap", f"WITH {OVERLAP} SELECT query_id, rank, chunk_id, round(score, 9) AS score FROM ov")
 def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.overlap_search(chunks(spark, sf_dir), questions(spark, sf_dir), TOP)
+    hits = search.overlap_search(kept_chunks(spark, sf_dir), questions(spark, sf_dir), TOP)
     return hits.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
@@ -77,8 +85,8 @@ def f6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    c, q = chunks(spark, sf_dir), questions(spark, sf_dir)
-    keyword = search.keyword_search(c, q, TOP).withColumn("score", F.col("bm25"))
+    c, q = kept_chunks(spark, sf_dir), questions(spark, sf_dir)
+    keyword = kept_index(spark, sf_dir).search(q, TOP).withColumn("score", F.col("bm25"))
     overlap = search.overlap_search(c, q, TOP)
     return {"overlap": overlap, "keyword": keyword}
 
@@ -119,7 +127,7 @@ def k5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused hits with content: query_id, position, chunk_id, doc_id, parent_id, content, score, question."""
-    c = chunks(spark, sf_dir).select("chunk_id", "doc_id", F.concat("doc_id", F.lit("::parent-0")).alias("parent_id"), "content")
+    c = kept_chunks(spark, sf_dir).select("chunk_id", "doc_id", F.concat("doc_id", F.lit("::parent-0")).alias("parent_id"), "content")
     hits = _fused(spark, sf_dir).select("query_id", "position", "chunk_id", F.col("rrf").alias("score"))
     return hits.join(c, "chunk_id").join(questions(spark, sf_dir).withColumnRenamed("text", "question"), "query_id")
 
@@ -193,7 +201,7 @@ def d6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two variants a question, its whole text and its first sentence, ranked end to end and merged."""
     q = questions(spark, sf_dir)
     variants = q.select((F.col("query_id") * 2).alias("query_id"), "text").union(q.select(F.col("query_id") * 2 + 1, F.split("text", r"\.")[0]))
-    hits = search.keyword_search(chunks(spark, sf_dir), variants, TOP).select(F.expr("query_id div 2").alias("query_id"), (F.col("query_id") % 2).alias("variant"), F.col("rank").alias("variant_rank"), "chunk_id", F.col("bm25").alias("score"))
+    hits = kept_index(spark, sf_dir).search(variants, TOP).select(F.expr("query_id div 2").alias("query_id"), (F.col("query_id") % 2).alias("variant"), F.col("rank").alias("variant_rank"), "chunk_id", F.col("bm25").alias("score"))
     merged = fusion.merge_variants(fusion.concatenated_ranks(hits))
     return merged.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"), F.array_join(F.transform("matched_variants", lambda v: v.cast("string")), ",").alias("variants"))
 
@@ -204,7 +212,7 @@ c AS (SELECT query_id, trim(text) AS t, lower(trim(regexp_replace(text, '[ \\t\\
 SELECT query_id, array_to_string(list_filter([norm, text || ' specification', text || ' configuration', text || ' manual'], lambda x: x <> '' AND x <> t)[1:3], ' ; ') AS variants FROM c""")
 def d7(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir)
-    hits = search.keyword_search(chunks(spark, sf_dir), q, TOP).withColumn("score", F.col("bm25"))
+    hits = kept_index(spark, sf_dir).search(q, TOP).withColumn("score", F.col("bm25"))
     low = q.join(fusion.low_recall(hits, q, least_score=30.0), "query_id", "left_semi")
     wide = fusion.expanded_queries(low, X.normalized(F.col("text")), F.array().cast("array<string>"))
     return wide.select("query_id", F.array_join("variants", " ; ").alias("variants"))
@@ -217,8 +225,7 @@ def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three longest terms of a question searched one by one; hits merged with the terms that found them."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.length("term")), "term")
     terms = search.query_terms(questions(spark, sf_dir)).withColumn("k", F.row_number().over(w)).where("k <= 3")
-    c = chunks(spark, sf_dir)
-    found = c.select("chunk_id", F.explode(F.array_distinct(X.index_tokens(F.col("content")))).alias("term")).join(terms, "term")
+    found = kept_index(spark, sf_dir).grep(terms)
     merged = found.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("score"), F.array_join(F.array_sort(F.collect_list("term")), ",").alias("terms"))
     return search.top_k(merged, TOP, "score").select("query_id", "chunk_id", "score", "terms")
 

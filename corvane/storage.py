@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+#: Ends the name of a folder that is partitioned by columns.
+PARTED = "-parted"
 _homes: dict[str, str] = {}
 
 
@@ -43,3 +48,71 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores where it comes in fewer parts than there are, as from one small file; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+class Versioned:
+    """Tables in a shared folder that change together: each is a list of Parquet folders, and a version is one manifest that names them.
+
+    Folders are written first and nobody sees them; `commit` makes them a version by renaming one small file. What a killed writer
+    leaves is named by no manifest. A name that was committed once is never committed again, so a repeated batch adds
+    nothing. Readers may ask for any version. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, version: int | None = None) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        self.files = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files.mkdirs(self._at(""))
+        names = (s.getPath().getName() for s in self.files.listStatus(self._at("")))
+        there = sorted(int(n.removeprefix("manifest-")) for n in names if n.startswith("manifest-"))
+        self.version = version if version is not None else there[-1] if there else 0
+        self.state: dict = {"tables": {}, "schemas": {}, "done": {}}
+        if self.version:
+            self.state = json.loads(spark.read.text(f"{self.root}/manifest-{self.version}", wholetext=True).first()[0])
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def write(self, df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> tuple[str, str]:
+        """(folder, schema) of df's rows, as `commit` takes them."""
+        name = f"{table}-{uuid.uuid4().hex}" + PARTED * bool(partition_by)
+        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}")
+        return name, df.schema.json()
+
+    def part(self, folder: tuple[str, str]) -> DataFrame:
+        """What a folder holds, committed or not."""
+        return self.spark.read.schema(StructType.fromJson(json.loads(folder[1]))).parquet(f"{self.root}/{folder[0]}")
+
+    def done(self, name: str) -> dict | None:
+        """What was noted with the commit of that name, if there was one."""
+        return self.state["done"].get(name)
+
+    def commit(self, added: dict[str, tuple[str, str]], name: str | None = None, note: dict | None = None, replace: tuple[str, ...] = ()) -> int:
+        """A new version: folders are added to tables, or are all that is left of those named in `replace`."""
+        if name is not None and name in self.state["done"]:
+            raise ValueError(f"{name} is committed already")
+        tables = {t: [] if t in replace else list(paths) for t, paths in self.state["tables"].items()}
+        schemas = dict(self.state["schemas"])
+        for table, (folder, schema) in added.items():
+            tables.setdefault(table, []).append(folder)
+            schemas[table] = schema
+        state = {"tables": tables, "schemas": schemas, "done": self.state["done"] | ({name: note or {}} if name is not None else {})}
+        new, final = self._at(f"new-{uuid.uuid4().hex}"), self._at(f"manifest-{self.version + 1}")
+        out = self.files.create(new)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if self.files.exists(final) or not self.files.rename(new, final):
+            raise RuntimeError("another writer has committed meanwhile")
+        self.version, self.state = self.version + 1, state
+        return self.version
+
+    def table(self, name: str) -> DataFrame | None:
+        """The table at this version, or None if it has none yet."""
+        folders = self.state["tables"].get(name)
+        if not folders:
+            return None
+        schema = StructType.fromJson(json.loads(self.state["schemas"][name]))
+        paths = [f"{self.root}/{f}" for f in folders]
+        if not folders[0].endswith(PARTED):
+            return self.spark.read.schema(schema).parquet(*paths)
+        # Spark takes several partitioned folders for one table only below one base
+        return reduce(DataFrame.unionByName, (self.spark.read.schema(schema).parquet(p) for p in paths))
