@@ -17,6 +17,7 @@ under a scope, which only says whose hits may be shown.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -75,10 +76,10 @@ class KeywordIndex:
     def __init__(self, store: Versioned, buckets: int = BUCKETS) -> None:
         self.store, self.spark, self.buckets = store, store.spark, buckets
 
-    def segment(self, chunks: DataFrame) -> dict[str, tuple[str, str]]:
+    def segment(self, chunks: DataFrame, renewed: DataFrame | None = None) -> dict[str, tuple[str, str]]:
         """Written, uncommitted folders of a segment that holds chunks (workspace_id, knowledge_base_id, doc_id, seq, chunk_id, content), and of the documents it replaces.
 
-        chunks should be a stored table: it is counted first.
+        chunks should be a stored table: it is counted first. renewed: doc_ids whose earlier state goes, if not those of chunks alone.
         """
         number = self.store.version + 1
         blocks = max(1, chunks.count() // BLOCK_CHUNKS)
@@ -93,8 +94,10 @@ class KeywordIndex:
         # by range, so that a frequent term is dealt over several tasks and files
         packed = packed.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
         written = {"lengths": lengths, "blocks": self.store.write(packed, "blocks", ("bucket",))}
-        if (earlier := self.lengths()) is not None:
-            again = chunks.select("doc_id").distinct().join(earlier.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("before", F.lit(number))
+        known = [t.select("doc_id") for t in map(self.store.table, ("lengths", "documents", "quarantine")) if t is not None]
+        if known:
+            seen = reduce(DataFrame.unionByName, known).distinct()
+            again = (chunks if renewed is None else renewed).select("doc_id").distinct().join(seen, "doc_id", "left_semi").withColumn("before", F.lit(number))
             folder = self.store.write(again, "gone")
             if not self.store.part(folder).isEmpty():
                 written["gone"] = folder
@@ -133,8 +136,8 @@ class KeywordIndex:
             return self.store.table("blocks").select("term", "n", within.alias("t")).groupBy("term").agg(F.sum("n").alias("df"), F.sum("t").alias("total"))
         return self.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
-    def compact(self) -> None:
-        """One segment of all that lives, in place of the others."""
+    def merged(self) -> dict[str, tuple[str, str]]:
+        """Written, uncommitted folders of one segment of all that lives, to replace lengths, blocks and gone."""
         number = self.store.version + 1
         # blocks of several segments keep apart: their numbers are hashed with the segment's
         renumbered = (F.pmod(F.xxhash64("block"), F.lit(1 << (SEGMENT_BITS - 1))) + F.lit(number << SEGMENT_BITS)).alias("block")
@@ -142,7 +145,11 @@ class KeywordIndex:
         rows = self.postings().select("term", *SCOPES, renumbered, "chunk_id", "doc_id", "tf", "dl")
         packed = rows.groupBy("term", *SCOPES, "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("chunk_id", "doc_id", "tf", "dl")).alias("entries"))
         packed = packed.withColumn("bucket", bucket_of(F.col("term"), self.buckets)).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-        self.store.commit({"lengths": self.store.write(lengths, "lengths"), "blocks": self.store.write(packed, "blocks", ("bucket",))}, replace=("lengths", "blocks", "gone"))
+        return {"lengths": self.store.write(lengths, "lengths"), "blocks": self.store.write(packed, "blocks", ("bucket",))}
+
+    def compact(self) -> None:
+        """One segment in place of the others. Where a store has further tables that `gone` speaks of, their owner compacts all of them together."""
+        self.store.commit(self.merged(), replace=("lengths", "blocks", "gone"))
 
     def _asked_blocks(self, terms: DataFrame) -> DataFrame:
         """Blocks of the terms, from their partitions only; entries that are gone are left out and the bounds taken anew."""

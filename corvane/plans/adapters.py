@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from corvane.operators import chunking
 from corvane.operators.keyword_index import KeywordIndex
 from corvane.storage import Versioned, shared_path, spread
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,21 +47,32 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fixed_chunks(docs, id_col="doc_id").select("doc_id", "base_id", "seq", "chunk_id", "content")
 
 
-_kept: dict[tuple, KeywordIndex] = {}
+_kept: dict[tuple, object] = {}
 
 
-def kept_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
-    """Chunks of all documents and their keyword index, built once an application while the files of `documents` stay as they are."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
-    key = (spark.sparkContext.applicationId, sf_dir, *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+def once(spark: SparkSession, sf_dir: str, names: tuple[str, ...], what: str, build: Callable[[], T]) -> T:
+    """What build makes of the named tables, made once an application while their files stay as they are."""
+    key: tuple = (spark.sparkContext.applicationId, sf_dir, what)
+    for name in names:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+        key += tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
     if key not in _kept:
+        _kept[key] = build()
+    return _kept[key]
+
+
+def kept_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """Chunks of all documents and their keyword index."""
+
+    def build() -> KeywordIndex:
         store = Versioned(spark, shared_path(spark, "kept"))
         rows = chunks(spark, sf_dir).select(F.lit("w0").alias("workspace_id"), F.col("base_id").alias("knowledge_base_id"), "doc_id", "seq", "chunk_id", "content")
         index, folder = KeywordIndex(store), store.write(rows, "chunks")
         store.commit({"chunks": folder, **index.segment(store.part(folder))})
-        _kept[key] = index
-    return _kept[key]
+        return index
+
+    return once(spark, sf_dir, ("documents",), "index", build)
 
 
 def kept_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
