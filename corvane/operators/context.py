@@ -54,13 +54,18 @@ def batches(rows: DataFrame, limit: int, key: str = "id", order: str = "seq", si
     """key, order and batch (from 0): a new batch begins where the running size would pass the limit."""
     items = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(size).cast("int").alias("n")))).alias("items"))
 
+    # the walk notes where batches begin; each then takes its slice, so that the work grows with the items alone
     def step(acc: Column, x: Column) -> Column:
         over = (acc["used"] > 0) & (acc["used"] + x["n"] > limit)
-        batch = F.when(over, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(F.when(over, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(F.struct(x["at"].alias("at"), batch.alias("batch")))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("batch"), F.array().cast(f"array<struct<at:{dict(rows.dtypes)[order]},batch:int>>").alias("out"))
-    return items.select(key, F.explode(F.aggregate("items", start, step)["out"]).alias("b")).select(key, F.col("b.at").alias(order), "b.batch")
+        begins = F.when(over, F.concat(acc["begins"], F.array(acc["place"]))).otherwise(acc["begins"])
+        return F.struct(F.when(over, x["n"]).otherwise(acc["used"] + x["n"]).alias("used"), (acc["place"] + 1).alias("place"), begins.alias("begins"))
+
+    start = F.struct(F.lit(0).alias("used"), F.lit(1).alias("place"), F.array(F.lit(1)).alias("begins"))
+    walked = items.select(key, "items", F.aggregate("items", start, step)["begins"].alias("begins"))
+    sliced = walked.select(key, "items", "begins", F.posexplode("begins").alias("batch", "begin"))
+    until = F.coalesce(F.get("begins", F.col("batch") + 1), F.size("items") + 1)
+    sliced = sliced.select(key, "batch", F.explode(F.slice("items", F.col("begin"), until - F.col("begin"))).alias("b"))
+    return sliced.select(key, F.col("b.at").alias(order), "batch")
 
 
 def expand_short(chunks: DataFrame, short: int = SHORT, long: int = LONG) -> DataFrame:
