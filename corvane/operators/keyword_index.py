@@ -1,10 +1,10 @@
 """A kept keyword index: postings by term, in blocks that know their best score, with scopes and deltas.
 
-A segment is what one commit adds. Its chunks are numbered into blocks of neighbouring chunks of a document; a row of `blocks` holds the
-postings of one term in one block, with the highest term frequency and the smallest length among them. Any chunk of the block scores at most
-what these two give, whatever the average length has become, so a block's bound is right for every later state of the corpus.
-Rows are partitioned by a hash of the term, and scope columns stand beside the term, so that a search reads only the
-partitions of the asked terms and the scan leaves out other workspaces and knowledge bases.
+A segment is what one commit adds. Its chunks are numbered in the order in which they are stored, and 64 neighbours are a block; a row of `blocks`
+holds the postings of one term in one block, with the highest term frequency and the smallest length among them. Any chunk of the block scores at most
+what these two give, whatever the average length has become, so a block's bound is right for every later state of the corpus. Neighbours come in one
+Arrow batch, so postings are counted and packed where the chunks lie; only packed rows are shuffled, once, into partitions by a hash of the term.
+Scope columns stand beside the term: a search reads the partitions of the asked terms, and the scan leaves out other workspaces and knowledge bases.
 
 A search adds up the bounds of a query's terms by block, without reading postings; scores the most promising blocks; takes the k-th best score as a threshold; and
 reads the postings of only those blocks whose bound reaches it. A chunk of any other block cannot be among the k best, so the result equals scoring everything.
@@ -30,13 +30,13 @@ from corvane.operators.search import B, FLOOR, K1, query_terms, top_k
 from corvane.schemas import Scope
 from corvane.storage import Versioned, stored
 
-#: Chunks of a block, about; partitions by term; blocks scored to find a query's threshold.
+#: Chunks of a block; partitions by term; blocks scored to find a query's threshold.
 BLOCK_CHUNKS, BUCKETS, SEEDS = 64, 32, 3
 #: Sums of the same numbers in another order differ by less.
 SLACK = 1e-6
 SCOPES = ("workspace_id", "knowledge_base_id")
-#: Segments of one index, and blocks of one segment, have so many numbers.
-SEGMENT_BITS = 40
+ENTRY = pa.struct([("number", pa.int64()), ("tf", pa.int32()), ("dl", pa.int32())])
+ROW = "term string, workspace_id string, knowledge_base_id string, segment int, block bigint, n int, most_tf int, least_dl int, entries array<struct<number: bigint, tf: int, dl: int>>"
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -48,156 +48,187 @@ def impact(tf: Column, dl: Column, avgdl: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
 
 
-def counted(chunks: DataFrame) -> DataFrame:
-    """One row per term of a chunk (term, tf and the chunk's other columns) from rows with `tokens`; counting is within the chunk, without a shuffle."""
-    keep = [c for c in chunks.columns if c != "tokens"]
+def packed(chunks: DataFrame, segment: int) -> DataFrame:
+    """Rows of `blocks` of a stored table of numbered chunks. A block that two batches share is two rows of its terms."""
+    names = [x.split(":")[0].split(" ")[0] for x in ROW.split(", ")][:9]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                tokens = part.column(0)
-                of = np.repeat(np.arange(part.num_rows), pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False))
+                tokens, number = part.column(0), part.column(1).to_numpy(zero_copy_only=False)
+                dl = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False)
                 coded = tokens.flatten().dictionary_encode()
-                if not len(of):
+                if not len(coded):
                     continue
                 width = len(coded.dictionary)
-                seen, tf = np.unique(of * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
-                row = pa.array(seen // width)
-                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(seen % width)), pa.array(tf, pa.int64()), *(part.column(i + 1).take(row) for i in range(len(keep)))], ["term", "tf", *keep])
-
-    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in keep)
-    return chunks.select("tokens", *keep).mapInArrow(run, f"term string, tf bigint, {kinds}")
+                seen, tf = np.unique(np.repeat(np.arange(part.num_rows), dl) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                row, term = seen // width, seen % width
+                # a group is a term in a block and a scope
+                scope = np.zeros(part.num_rows, np.int64)
+                for i in (2, 3):
+                    own = part.column(i).dictionary_encode(null_encoding="encode")
+                    scope = scope * max(1, len(own.dictionary)) + own.indices.to_numpy(zero_copy_only=False)
+                block = number // BLOCK_CHUNKS
+                order = np.lexsort((number[row], scope[row], block[row], term))
+                row, term, tf = row[order], term[order], tf[order]
+                new = np.concatenate([[True], (term[1:] != term[:-1]) | (block[row][1:] != block[row][:-1]) | (scope[row][1:] != scope[row][:-1])])
+                first = np.flatnonzero(new)
+                entries = pa.StructArray.from_arrays([pa.array(number[row]), pa.array(tf, pa.int32()), pa.array(dl[row], pa.int32())], fields=list(ENTRY))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), entries)
+                at_row = pa.array(row[first])
+                columns = [coded.dictionary.take(pa.array(term[first])), part.column(2).take(at_row), part.column(3).take(at_row), pa.array(np.full(len(first), segment), pa.int32()), pa.array(block[row[first]])]
+                columns += [pa.array(np.diff(np.append(first, len(row))), pa.int32()), pa.array(np.maximum.reduceat(tf, first), pa.int32()), pa.array(np.minimum.reduceat(dl[row], first), pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return chunks.select(X.index_tokens(chunks["content"]).alias("tokens"), "number", *SCOPES).mapInArrow(run, ROW)
 
 
 class KeywordIndex:
-    """The tables lengths, blocks and gone of a Versioned store. A store may hold other tables beside them."""
+    """The tables chunks, blocks, sizes and gone of a Versioned store. A store may hold other tables beside them."""
 
     def __init__(self, store: Versioned, buckets: int = BUCKETS) -> None:
         self.store, self.spark, self.buckets = store, store.spark, buckets
 
+    def _blocks(self, rows: DataFrame) -> dict[str, tuple[str, str]]:
+        """Written folders of blocks and of their segment's size in postings; by range, so that a frequent term is dealt over several tasks and files."""
+        rows = rows.withColumn("bucket", bucket_of(F.col("term"), self.buckets)).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+        blocks = self.store.write(rows, "blocks", ("bucket",))
+        tokens = F.aggregate("entries.tf", F.lit(0).cast("bigint"), lambda a, x: a + x)
+        sizes = self.store.part(blocks).agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"))
+        return {"blocks": blocks, "sizes": self.store.write(sizes, "sizes")}
+
     def segment(self, chunks: DataFrame, renewed: DataFrame | None = None) -> dict[str, tuple[str, str]]:
         """Written, uncommitted folders of a segment that holds chunks (workspace_id, knowledge_base_id, doc_id, seq, chunk_id, content), and of the documents it replaces.
 
-        chunks should be a stored table: it is counted first. renewed: doc_ids whose earlier state goes, if not those of chunks alone.
+        renewed: doc_ids whose earlier state goes, if not those of chunks alone.
         """
         number = self.store.version + 1
-        blocks = max(1, chunks.count() // BLOCK_CHUNKS)
-        tokens = X.index_tokens(chunks["content"])
-        place = F.pmod(F.xxhash64("doc_id", F.expr(f"seq div {BLOCK_CHUNKS}")), F.lit(blocks)) + F.lit(number << SEGMENT_BITS)
-        rows = chunks.select(*SCOPES, "doc_id", "chunk_id", place.alias("block"), F.size(tokens).alias("dl"), tokens.alias("tokens"))
-        rows = self.store.part(self.store.write(rows, "tokens"))  # cut once, read for lengths and for postings
-        lengths = self.store.write(rows.drop("tokens"), "lengths")
-        entry = F.struct("chunk_id", "doc_id", "tf", "dl")
-        packed = counted(rows).groupBy("term", *SCOPES, "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(entry).alias("entries"))
-        packed = packed.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
-        # by range, so that a frequent term is dealt over several tasks and files
-        packed = packed.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-        written = {"lengths": lengths, "blocks": self.store.write(packed, "blocks", ("bucket",))}
-        known = [t.select("doc_id") for t in map(self.store.table, ("lengths", "documents", "quarantine")) if t is not None]
+        rows = chunks.select(*SCOPES, "doc_id", "seq", "chunk_id", "content", F.monotonically_increasing_id().alias("number"), F.lit(number).alias("segment"))
+        folder = self.store.write(rows, "chunks")
+        written = {"chunks": folder, **self._blocks(packed(self.store.part(folder), number))}
+        known = [t.select("doc_id") for t in map(self.store.table, ("chunks", "documents", "quarantine")) if t is not None]
         if known:
             seen = reduce(DataFrame.unionByName, known).distinct()
-            again = (chunks if renewed is None else renewed).select("doc_id").distinct().join(seen, "doc_id", "left_semi").withColumn("before", F.lit(number))
-            folder = self.store.write(again, "gone")
-            if not self.store.part(folder).isEmpty():
-                written["gone"] = folder
+            again = (self.store.part(folder) if renewed is None else renewed).select("doc_id").distinct().join(seen, "doc_id", "left_semi").withColumn("before", F.lit(number))
+            gone = self.store.write(again, "gone")
+            if not self.store.part(gone).isEmpty():
+                written["gone"] = gone
         return written
 
     def add(self, chunks: DataFrame, name: str | None = None) -> None:
         """Adds chunks, or replaces those of documents that are there already. A name that was added before changes nothing."""
         if name is None or self.store.done(name) is None:
-            self.store.commit(self.segment(stored(chunks, "to-index")), name)
+            self.store.commit(self.segment(chunks), name)
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Takes documents (column doc_id) out."""
         self.store.commit({"gone": self.store.write(doc_ids.select("doc_id").distinct().withColumn("before", F.lit(self.store.version + 1)), "gone")})
 
-    def _living(self, rows: DataFrame) -> DataFrame:
-        """rows (doc_id, block) without what a later version replaced or deleted."""
+    def _gone(self) -> DataFrame | None:
         gone = self.store.table("gone")
-        if gone is None:
-            return rows
-        last = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("before").alias("before"))
-        return rows.join(last, (rows["doc_id"] == last["gone_id"]) & (F.shiftright(rows["block"], SEGMENT_BITS) < last["before"]), "left_anti")
+        return None if gone is None else gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("before").alias("before"))
+
+    def living(self, rows: DataFrame, segment: str = "segment", gone: bool = False) -> DataFrame:
+        """rows (doc_id and the version that wrote them) without what a later version replaced or deleted, or those rows alone."""
+        last = self._gone()
+        if last is None:
+            return rows.limit(0) if gone else rows
+        return rows.join(last, (rows["doc_id"] == last["gone_id"]) & (rows[segment] < last["before"]), "left_semi" if gone else "left_anti")
+
+    def chunks(self) -> DataFrame | None:
+        rows = self.store.table("chunks")
+        return None if rows is None else self.living(rows)
+
+    def _alive(self, blocks: DataFrame) -> DataFrame:
+        """blocks without the entries of chunks that are gone, bounds taken anew."""
+        if self.store.table("gone") is None:
+            return blocks
+        flat = self._flat(blocks)
+        keys = ("term", *SCOPES, "segment", "block")
+        return flat.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("number", "tf", "dl")).alias("entries"))
 
-    def lengths(self) -> DataFrame | None:
-        rows = self.store.table("lengths")
-        return None if rows is None else self._living(rows)
+    def _flat(self, blocks: DataFrame) -> DataFrame:
+        flat = blocks.select("term", *SCOPES, "segment", "block", F.explode("entries").alias("e")).select("term", *SCOPES, "segment", "block", "e.*")
+        if self.store.table("gone") is None:
+            return flat
+        return flat.join(self.living(self.store.table("chunks"), gone=True).select("segment", "number"), ["segment", "number"], "left_anti")
 
     def postings(self) -> DataFrame:
-        """term, tf, dl, chunk_id, doc_id and scope columns of every living posting."""
-        rows = self.store.table("blocks").select("term", *SCOPES, "block", F.explode("entries").alias("e")).select("term", *SCOPES, "block", "e.*")
-        return self._living(rows)
+        """term, tf, dl, number, segment and scope columns of every living posting."""
+        return self._flat(self.store.table("blocks"))
 
     def totals(self) -> DataFrame:
         """term, df, total: counted within blocks where nothing is gone."""
         if self.store.table("gone") is None:
-            within = F.aggregate("entries", F.lit(0).cast("bigint"), lambda a, e: a + e["tf"])
+            within = F.aggregate("entries.tf", F.lit(0).cast("bigint"), lambda a, x: a + x)
             return self.store.table("blocks").select("term", "n", within.alias("t")).groupBy("term").agg(F.sum("n").alias("df"), F.sum("t").alias("total"))
         return self.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
+    def size(self) -> tuple[int, float]:
+        """The number of living chunks and their average length: of all, less those that are gone, whose texts alone are cut again."""
+        n = self.store.table("chunks").count()
+        tokens = self.store.table("sizes").agg(F.sum("tokens")).first()[0] or 0
+        if self.store.table("gone") is not None:
+            dead = self.living(self.store.table("chunks"), gone=True).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(X.index_tokens(F.col("content")))), F.lit(0))).first()
+            n, tokens = n - dead[0], tokens - dead[1]
+        return n, tokens / n if n and tokens else 1.0
+
     def merged(self) -> dict[str, tuple[str, str]]:
-        """Written, uncommitted folders of one segment of all that lives, to replace lengths, blocks and gone."""
+        """Written, uncommitted folders of one segment of all that lives, to replace chunks, blocks, sizes and gone."""
         number = self.store.version + 1
-        # blocks of several segments keep apart: their numbers are hashed with the segment's
-        renumbered = (F.pmod(F.xxhash64("block"), F.lit(1 << (SEGMENT_BITS - 1))) + F.lit(number << SEGMENT_BITS)).alias("block")
-        lengths = self.lengths().select(*SCOPES, "doc_id", "chunk_id", renumbered, "dl")
-        rows = self.postings().select("term", *SCOPES, renumbered, "chunk_id", "doc_id", "tf", "dl")
-        packed = rows.groupBy("term", *SCOPES, "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("chunk_id", "doc_id", "tf", "dl")).alias("entries"))
-        packed = packed.withColumn("bucket", bucket_of(F.col("term"), self.buckets)).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
-        return {"lengths": self.store.write(lengths, "lengths"), "blocks": self.store.write(packed, "blocks", ("bucket",))}
+        rows = self.chunks().withColumns({"number": F.monotonically_increasing_id(), "segment": F.lit(number)})
+        folder = self.store.write(rows, "chunks")
+        return {"chunks": folder, **self._blocks(packed(self.store.part(folder), number))}
 
     def compact(self) -> None:
         """One segment in place of the others. Where a store has further tables that `gone` speaks of, their owner compacts all of them together."""
-        self.store.commit(self.merged(), replace=("lengths", "blocks", "gone"))
+        self.store.commit(self.merged(), replace=("chunks", "blocks", "sizes", "gone"))
 
     def _asked_blocks(self, terms: DataFrame) -> DataFrame:
-        """Blocks of the terms, from their partitions only; entries that are gone are left out and the bounds taken anew."""
+        """Living blocks of the terms (term, bucket), read from their partitions only."""
         buckets = [r["bucket"] for r in terms.select("bucket").distinct().collect()]  # at most self.buckets numbers
-        rows = self.store.table("blocks").where(F.col("bucket").isin(buckets)).join(terms.select("term"), "term", "left_semi")
-        if self.store.table("gone") is None:
-            return rows
-        alive = self._living(rows.select("term", *SCOPES, "block", F.explode("entries").alias("e")).select("term", *SCOPES, "block", "e.*"))
-        return stored(alive.groupBy("term", *SCOPES, "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("chunk_id", "doc_id", "tf", "dl")).alias("entries")), "kw-living")
-
-    def weights(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-        """(query_id, term, idf) of the terms that occur, the blocks of those terms, and the average length."""
-        asked = stored(query_terms(queries).withColumn("bucket", bucket_of(F.col("term"), self.buckets)), "kw-asked")
-        blocks = self._asked_blocks(asked.select("term", "bucket").distinct())
-        total = self.lengths().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-        n, avgdl = float(total["n"]), float(total["avgdl"] or 1.0) or 1.0
-        df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
-        idf = F.greatest(F.lit(FLOOR), F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        return stored(asked.join(df.select("term", idf.alias("idf")), "term").select("query_id", "term", "idf"), "kw-weights"), blocks, avgdl
+        return self.store.table("blocks").where(F.col("bucket").isin(buckets)).join(terms.select("term"), "term", "left_semi")
 
     def search(self, queries: DataFrame, k: int, scope: Scope | None = None) -> DataFrame:
         """query_id, rank, chunk_id, bm25, keyword_score: each query's k best chunks, of the scope if there is one. queries: query_id, text."""
-        empty = self.spark.createDataFrame([], "query_id bigint, rank int, chunk_id string, bm25 double, keyword_score double")
-        if self.store.table("lengths") is None:
-            return empty
-        weights, blocks, avgdl = self.weights(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "text"))
+        if self.store.table("chunks") is None:
+            return self.spark.createDataFrame([], "query_id bigint, rank int, chunk_id string, bm25 double, keyword_score double")
+        asked = query_terms(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "text"))
+        asked = stored(asked.withColumn("bucket", bucket_of(F.col("term"), self.buckets)), "kw-asked")
+        # the asked terms' part of the index, written once: every step below reads some of its columns
+        blocks = stored(self._alive(self._asked_blocks(asked.select("term", "bucket").distinct())), "kw-blocks")
+        n, avgdl = self.size()
+        df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+        idf = F.greatest(F.lit(FLOOR), F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        weights = stored(asked.join(df.select("term", idf.alias("idf")), "term").select("query_id", "term", "idf"), "kw-weights")
         if scope is not None:
             blocks = blocks.where((F.col("workspace_id") == scope.workspace_id) & F.col("knowledge_base_id").isin(*scope.knowledge_base_ids))
-        touched = blocks.select("term", "block", "most_tf", "least_dl").join(weights, "term")
-        # a block whose scope columns differ stands in several rows of a term; the larger bound holds for both
-        touched = touched.groupBy("query_id", "block", "term").agg(F.max(F.col("idf") * impact(F.col("most_tf"), F.col("least_dl"), avgdl)).alias("bound"))
-        bounds = stored(touched.groupBy("query_id", "block").agg(F.sum("bound").alias("bound")), "kw-bounds")
+        touched = blocks.select("term", "segment", "block", "most_tf", "least_dl").join(weights, "term")
+        # a block may stand in several rows of a term, by scope or batch; the larger bound holds for all
+        touched = touched.groupBy("query_id", "segment", "block", "term").agg(F.max(F.col("idf") * impact(F.col("most_tf"), F.col("least_dl"), avgdl)).alias("bound"))
+        bounds = stored(touched.groupBy("query_id", "segment", "block").agg(F.sum("bound").alias("bound")), "kw-bounds")
 
         def scores(pairs: DataFrame) -> DataFrame:
-            wanted = pairs.select("query_id", "block").join(weights, "query_id")
-            hits = blocks.select("term", "block", "entries").join(wanted, ["term", "block"]).select("query_id", "idf", F.explode("entries").alias("e"))
+            wanted = pairs.select("query_id", "segment", "block").join(weights, "query_id")
+            hits = blocks.select("term", "segment", "block", "entries").join(wanted, ["term", "segment", "block"]).select("query_id", "segment", "idf", F.explode("entries").alias("e")).select("query_id", "segment", "idf", "e.*")
             if scope is not None and scope.document_ids:
-                hits = hits.where(F.col("e.doc_id").isin(*scope.document_ids))
-            return hits.groupBy("query_id", F.col("e.chunk_id").alias("chunk_id")).agg(F.sum(F.col("idf") * impact(F.col("e.tf"), F.col("e.dl"), avgdl)).alias("bm25"))
-
-        best = bounds.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).where(F.col("at") <= SEEDS)
-        threshold = top_k(scores(best), k, "bm25").where(F.col("rank") == k).select("query_id", F.col("bm25").alias("least"))
-        pairs = bounds.join(threshold, "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK)
-        found = top_k(scores(pairs), k, "bm25")
-        return found.select("query_id", "rank", "chunk_id", "bm25", (1 / (1 + F.abs("bm25"))).alias("keyword_score"))
+                hits = hits.join(self.store.table("chunks").where(F.col("doc_id").isin(*scope.document_ids)).select("segment", "number"), ["segment", "number"], "left_semi")
+            return hits.groupBy("query_id", "segment", "number").agg(F.sum(F.col("idf") * impact(F.col("tf"), F.col("dl"), avgdl)).alias("bm25"))
+
+        best = bounds.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block"))).where(F.col("at") <= SEEDS)
+        threshold = top_k(scores(best), k, "bm25", "number").where(F.col("rank") == k).select("query_id", F.col("bm25").alias("least"))
+        threshold = stored(threshold, "kw-thresholds")
+        least = F.coalesce("least", F.lit(0.0)) - SLACK
+        pairs = bounds.join(threshold, "query_id", "left").where(F.col("bound") >= least)
+        # what reaches the threshold is little more than k a query; it alone gets its names, by which ties are settled
+        found = scores(pairs).join(threshold, "query_id", "left").where(F.col("bm25") >= least).drop("least")
+        named = found.join(self.store.table("chunks").select("segment", "number", "chunk_id"), ["segment", "number"])
+        return top_k(named, k, "bm25").select("query_id", "rank", "chunk_id", "bm25", (1 / (1 + F.abs("bm25"))).alias("keyword_score"))
 
     def grep(self, terms: DataFrame) -> DataFrame:
         """query_id, term, chunk_id of every chunk that holds a term (query_id, term) as a token; reads the partitions of those terms."""
         wanted = terms.select("query_id", "term", bucket_of(F.col("term"), self.buckets).alias("bucket"))
-        blocks = self._asked_blocks(wanted.select("term", "bucket").distinct())
-        return blocks.select("term", F.explode("entries.chunk_id").alias("chunk_id")).join(wanted.drop("bucket"), "term").select("query_id", "term", "chunk_id")
+        flat = self._flat(self._asked_blocks(wanted.select("term", "bucket").distinct()))
+        found = flat.select("term", "segment", "number").join(wanted.drop("bucket"), "term")
+        return found.join(self.store.table("chunks").select("segment", "number", "chunk_id"), ["segment", "number"]).select("query_id", "term", "chunk_id")

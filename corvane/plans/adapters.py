@@ -68,8 +68,8 @@ def kept_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
     def build() -> KeywordIndex:
         store = Versioned(spark, shared_path(spark, "kept"))
         rows = chunks(spark, sf_dir).select(F.lit("w0").alias("workspace_id"), F.col("base_id").alias("knowledge_base_id"), "doc_id", "seq", "chunk_id", "content")
-        index, folder = KeywordIndex(store), store.write(rows, "chunks")
-        store.commit({"chunks": folder, **index.segment(store.part(folder))})
+        index = KeywordIndex(store)
+        index.add(rows)
         return index
 
     return once(spark, sf_dir, ("documents",), "index", build)

@@ -56,17 +56,15 @@ class Library:
         read = read.select(F.lit(self.workspace).alias("workspace_id"), F.coalesce(self.base_of(F.col("path")), F.lit("")).alias("knowledge_base_id"), document_id(F.col("path")).alias("doc_id"), "path", "ext", "text", fault.alias("reason"))
         number = self.store.version + 1
         good = read.where("reason IS NULL")
-        chunks = self.store.write(self.chunker(good.select(*SCOPES, "doc_id", "text")).select(*SCOPES, "doc_id", "seq", "chunk_id", "content", F.lit(number).alias("version")), "chunks")
-        cut = self.store.part(chunks)
-        counts = cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+        segment = self.index.segment(self.chunker(good.select(*SCOPES, "doc_id", "text")), read.select("doc_id"))
+        counts = self.store.part(segment["chunks"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
         name = F.element_at(F.split("path", "/"), -1)
         documents = good.join(counts, "doc_id", "left").select(*SCOPES, "doc_id", name.alias("name"), F.col("path").alias("storage_path"), F.col("ext").alias("file_type"), F.lit("indexed").alias("parse_status"), F.length("text").alias("n_chars"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.lit(batch).alias("batch"), F.lit(number).alias("version"))
         documents = self.store.write(documents, "documents")
         bad = self.store.write(read.where("reason IS NOT NULL").select(*SCOPES, "doc_id", F.col("path").alias("storage_path"), "reason", F.lit(batch).alias("batch"), F.lit(number).alias("version")), "quarantine")
-        segment = self.index.segment(cut, read.select("doc_id"))
         done = self.store.part(documents).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks")).first()
         note = {"documents": done["documents"], "chunks": done["chunks"], "quarantined": self.store.part(bad).count()}
-        self.store.commit({"documents": documents, "chunks": chunks, "quarantine": bad, **segment}, batch, note)
+        self.store.commit({"documents": documents, "quarantine": bad, **segment}, batch, note)
         return note
 
     def ingest(self, source: str, checkpoint: str, form: str = "binaryFile", files_a_batch: int = 1000) -> dict:
@@ -84,28 +82,20 @@ class Library:
         notes = self.store.state["done"].values()
         return {k: sum(n.get(k, 0) for n in notes) for k in ("documents", "chunks", "quarantined")}
 
-    def _current(self, table: str) -> DataFrame:
-        """Rows that no later version replaced or deleted."""
-        rows, gone = self.store.table(table), self.store.table("gone")
-        if gone is None:
-            return rows
-        last = gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("before").alias("before"))
-        return rows.join(last, (rows["doc_id"] == last["gone_id"]) & (rows["version"] < last["before"]), "left_anti")
-
     def documents(self) -> DataFrame:
-        return self._current("documents")
+        return self.index.living(self.store.table("documents"), "version")
 
     def chunks(self) -> DataFrame:
-        return self._current("chunks")
+        return self.index.chunks()
 
     def quarantine(self) -> DataFrame:
         """Paths that can't be read now, with the reason."""
-        return self._current("quarantine")
+        return self.index.living(self.store.table("quarantine"), "version")
 
     def compact(self) -> None:
         """Rewrites all tables without what is gone, as one version."""
-        tables = {t: self.store.write(self._current(t), t) for t in ("documents", "chunks", "quarantine")}
-        self.store.commit(tables | self.index.merged(), replace=(*tables, "lengths", "blocks", "gone"))
+        tables = {"documents": self.store.write(self.documents(), "documents"), "quarantine": self.store.write(self.quarantine(), "quarantine")}
+        self.store.commit(tables | self.index.merged(), replace=(*tables, "chunks", "blocks", "sizes", "gone"))
 
     def reset(self, base: str) -> None:
         """Takes all documents of a knowledge base out, as before a full rebuild of it."""
