@@ -1,13 +1,14 @@
 """A kept keyword index: postings by term, in blocks that know their best score, with scopes and deltas.
 
-A segment is what one commit adds. Its chunks are numbered in the order in which they are stored, and 64 neighbours are a block; a row of `blocks`
+A segment is what one commit adds. Its chunks are numbered in the order in which they are stored, and a thousand neighbours are a block; a row of `blocks`
 holds the postings of one term in one block, with the highest term frequency and the smallest length among them. Any chunk of the block scores at most
 what these two give, whatever the average length has become, so a block's bound is right for every later state of the corpus. Neighbours come in one
-Arrow batch, so postings are counted and packed where the chunks lie; only packed rows are shuffled, once, into partitions by a hash of the term.
+Arrow batch, so postings are counted and packed where the chunks lie, and go to partitions by a hash of the term; those of a small segment without a shuffle.
 Scope columns stand beside the term: a search reads the partitions of the asked terms, and the scan leaves out other workspaces and knowledge bases.
 
-A search adds up the bounds of a query's terms by block, without reading postings; scores the most promising blocks; takes the k-th best score as a threshold; and
-reads the postings of only those blocks whose bound reaches it. A chunk of any other block cannot be among the k best, so the result equals scoring everything.
+A search reads the asked terms' rows, deals them out by block, and scores a block at a time: the bounds of a query's terms are added up first, and
+the block's postings are looked at for those queries alone whose sum reaches the k-th best score that the task has seen. A chunk of any other block cannot be
+among the k best, so the result equals scoring everything. A task passes on its k best a query, with all that tie; pairs of queries and chunks are never shuffled.
 
 A document that comes again, or is deleted, is noted in `gone`; postings of it in earlier segments are left out on reading until `compact`
 writes one segment of what lives. Document frequencies, the number of chunks and their average length are those of all living chunks, also
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +28,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
-from corvane.operators.search import B, FLOOR, K1, query_terms, top_k
+from corvane.operators.search import B, FLOOR, K1, blocks_of, top_k
 from corvane.schemas import Scope
 from corvane.storage import Versioned, stored
 
-#: Chunks of a block; partitions by term; blocks scored to find a query's threshold.
-BLOCK_CHUNKS, BUCKETS, SEEDS = 64, 32, 3
+#: Chunks of a block; partitions by term; parts into which the rows of a partition are dealt when they are written.
+BLOCK_CHUNKS, BUCKETS, PARTS = 1024, 32, 4
+#: Files of a segment that its tasks may write each for itself; a larger segment is dealt out by partition first.
+FILES = 4096
+#: Queries that are scored against a block at once.
+ASKED = 256
 #: Sums of the same numbers in another order differ by less.
 SLACK = 1e-6
 SCOPES = ("workspace_id", "knowledge_base_id")
 ENTRY = pa.struct([("number", pa.int64()), ("tf", pa.int32()), ("dl", pa.int32())])
-ROW = "term string, workspace_id string, knowledge_base_id string, segment int, block bigint, n int, most_tf int, least_dl int, entries array<struct<number: bigint, tf: int, dl: int>>"
+ROW = "term string, workspace_id string, knowledge_base_id string, segment int, block bigint, n int, tokens bigint, most_tf int, least_dl int, entries array<struct<number: bigint, tf: int, dl: int>>"
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def impact(tf: Column, dl: Column, avgdl: float) -> Column:
-    """The part of a BM25 score that depends on the chunk; grows with tf and falls with dl."""
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
-
-
 def packed(chunks: DataFrame, segment: int) -> DataFrame:
     """Rows of `blocks` of a stored table of numbered chunks. A block that two batches share is two rows of its terms."""
-    names = [x.split(":")[0].split(" ")[0] for x in ROW.split(", ")][:9]
+    names = [x.split(" ")[0] for x in ROW.split(", ")][:10]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
                 tokens, number = part.column(0), part.column(1).to_numpy(zero_copy_only=False)
                 dl = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False)
                 coded = tokens.flatten().dictionary_encode()
@@ -78,12 +79,72 @@ def packed(chunks: DataFrame, segment: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), entries)
                 at_row = pa.array(row[first])
                 columns = [coded.dictionary.take(pa.array(term[first])), part.column(2).take(at_row), part.column(3).take(at_row), pa.array(np.full(len(first), segment), pa.int32()), pa.array(block[row[first]])]
-                columns += [pa.array(np.diff(np.append(first, len(row))), pa.int32()), pa.array(np.maximum.reduceat(tf, first), pa.int32()), pa.array(np.minimum.reduceat(dl[row], first), pa.int32()), lists]
+                columns += [pa.array(np.diff(np.append(first, len(row))), pa.int32()), pa.array(np.add.reduceat(tf, first), pa.int64()), pa.array(np.maximum.reduceat(tf, first), pa.int32()), pa.array(np.minimum.reduceat(dl[row], first), pa.int32()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return chunks.select(X.index_tokens(chunks["content"]).alias("tokens"), "number", *SCOPES).mapInArrow(run, ROW)
 
 
+class Best:
+    """The k best chunks of each query that a task has seen, and all that tie with the last of them, to nine places."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.least = k, np.zeros(queries)
+        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def offer(self, query: int, segment: int, number: np.ndarray, score: np.ndarray) -> None:
+        where = np.full(len(number), segment)
+        if query in self.held:
+            where, number, score = (np.concatenate(x) for x in zip(self.held[query], (where, number, score)))
+        if len(score) >= self.k:
+            near = np.round(score, 9)
+            edge = np.partition(near, len(near) - self.k)[len(near) - self.k]
+            good = near >= edge
+            where, number, score, self.least[query] = where[good], number[good], score[good], edge
+        self.held[query] = where, number, score
+
+    def batch(self, ids: list[int]) -> pa.RecordBatch:
+        parts = [(np.full(len(s), ids[q]), w, n, s) for q, (w, n, s) in self.held.items()]
+        columns = [np.concatenate([p[i] for p in parts]) if parts else np.array([]) for i in range(4)]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, kinds)], ["query_id", "segment", "number", "bm25"])
+
+
+def scored_block(best: Best, segment: int, rows: pa.Table, terms: list[str], begins: np.ndarray, query: np.ndarray, idf: np.ndarray, avgdl: float) -> None:
+    """Offers to best what a block's rows (term, most_tf, least_dl, numbers, tfs, dls) hold. Queries of term i stand at begins[i] to begins[i + 1]."""
+    rows = rows.combine_chunks()
+    worth = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+    plain = lambda name: rows.column(name).to_numpy()
+    term = np.searchsorted(np.array(terms, object), np.array(rows.column("term").to_pylist(), object))
+    asks = begins[term + 1] - begins[term]
+    row = np.repeat(np.arange(len(term)), asks)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(asks) - asks, asks) + np.repeat(begins[term], asks)
+    who, weight = query[at], idf[at]
+    bound = np.bincount(who, weight * worth(plain("most_tf"), plain("least_dl"))[row], len(best.least))
+    hopeful = np.flatnonzero((bound > 0) & (bound >= best.least - SLACK))
+    if not len(hopeful):
+        return
+    lists = rows.column("numbers").combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    flat = lambda name: rows.column(name).combine_chunks().flatten().to_numpy()
+    number, chunk = np.unique(flat("numbers"), return_inverse=True)
+    value = worth(flat("tfs"), flat("dls"))
+    for k in range(0, len(hopeful), ASKED):
+        some = hopeful[k : k + ASKED]
+        local = np.full(len(best.least), -1)
+        local[some] = np.arange(len(some))
+        use = np.flatnonzero(local[who] >= 0)
+        n = sizes[row[use]]
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[row[use]], n)
+        key = np.repeat(local[who[use]] * len(number), n) + chunk[entry]
+        scores = np.bincount(key, np.repeat(weight[use], n) * value[entry], len(some) * len(number)).reshape(len(some), len(number))
+        for i, q in enumerate(some.tolist()):
+            good = np.flatnonzero((scores[i] > 0) & (scores[i] >= best.least[q] - SLACK))
+            if len(good):
+                best.offer(q, segment, number[good], scores[i][good])
+
+
 class KeywordIndex:
     """The tables chunks, blocks, sizes and gone of a Versioned store. A store may hold other tables beside them."""
 
@@ -91,11 +152,13 @@ class KeywordIndex:
         self.store, self.spark, self.buckets = store, store.spark, buckets
 
     def _blocks(self, rows: DataFrame) -> dict[str, tuple[str, str]]:
-        """Written folders of blocks and of their segment's size in postings; by range, so that a frequent term is dealt over several tasks and files."""
-        rows = rows.withColumn("bucket", bucket_of(F.col("term"), self.buckets)).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block")
+        """Written folders of blocks and of their segment's size in tokens; a frequent term is dealt over several tasks and files."""
+        rows = rows.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+        if rows.rdd.getNumPartitions() * self.buckets > FILES:
+            rows = rows.repartition("bucket", F.pmod("block", F.lit(PARTS)))
+        rows = rows.sortWithinPartitions("bucket", "term", "block")
         blocks = self.store.write(rows, "blocks", ("bucket",))
-        tokens = F.aggregate("entries.tf", F.lit(0).cast("bigint"), lambda a, x: a + x)
-        sizes = self.store.part(blocks).agg(F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens"))
+        sizes = self.store.part(blocks).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
         return {"blocks": blocks, "sizes": self.store.write(sizes, "sizes")}
 
     def segment(self, chunks: DataFrame, renewed: DataFrame | None = None) -> dict[str, tuple[str, str]]:
@@ -140,14 +203,6 @@ class KeywordIndex:
         rows = self.store.table("chunks")
         return None if rows is None else self.living(rows)
 
-    def _alive(self, blocks: DataFrame) -> DataFrame:
-        """blocks without the entries of chunks that are gone, bounds taken anew."""
-        if self.store.table("gone") is None:
-            return blocks
-        flat = self._flat(blocks)
-        keys = ("term", *SCOPES, "segment", "block")
-        return flat.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("number", "tf", "dl")).alias("entries"))
-
     def _flat(self, blocks: DataFrame) -> DataFrame:
         flat = blocks.select("term", *SCOPES, "segment", "block", F.explode("entries").alias("e")).select("term", *SCOPES, "segment", "block", "e.*")
         if self.store.table("gone") is None:
@@ -161,8 +216,7 @@ class KeywordIndex:
     def totals(self) -> DataFrame:
         """term, df, total: counted within blocks where nothing is gone."""
         if self.store.table("gone") is None:
-            within = F.aggregate("entries.tf", F.lit(0).cast("bigint"), lambda a, x: a + x)
-            return self.store.table("blocks").select("term", "n", within.alias("t")).groupBy("term").agg(F.sum("n").alias("df"), F.sum("t").alias("total"))
+            return self.store.table("blocks").groupBy("term").agg(F.sum("n").alias("df"), F.sum("tokens").alias("total"))
         return self.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
 
     def size(self) -> tuple[int, float]:
@@ -192,39 +246,65 @@ class KeywordIndex:
 
     def search(self, queries: DataFrame, k: int, scope: Scope | None = None) -> DataFrame:
         """query_id, rank, chunk_id, bm25, keyword_score: each query's k best chunks, of the scope if there is one. queries: query_id, text."""
-        if self.store.table("chunks") is None:
+        out = None
+        if self.store.table("chunks") is not None:
+            asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), X.query_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+            for block in blocks_of(asked, "query_id"):
+                found = self._scored([(r["query_id"], r["terms"]) for r in block], k, scope)
+                out = found if out is None else out.unionByName(found)
+        if out is None:
             return self.spark.createDataFrame([], "query_id bigint, rank int, chunk_id string, bm25 double, keyword_score double")
-        asked = query_terms(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "text"))
-        asked = stored(asked.withColumn("bucket", bucket_of(F.col("term"), self.buckets)), "kw-asked")
-        # the asked terms' part of the index, written once: every step below reads some of its columns
-        blocks = stored(self._alive(self._asked_blocks(asked.select("term", "bucket").distinct())), "kw-blocks")
+        # k a query, and what ties with the last of them: these alone get their names, by which ties are settled
+        best = out.withColumn("at", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9))))).where(F.col("at") <= k).drop("at")
+        named = best.join(self.store.table("chunks").select("segment", "number", "chunk_id"), ["segment", "number"])
+        return top_k(named, k, "bm25").select("query_id", "rank", "chunk_id", "bm25", (1 / (1 + F.abs("bm25"))).alias("keyword_score"))
+
+    def _scored(self, block: list[tuple[int, list[str]]], k: int, scope: Scope | None) -> DataFrame:
+        """query_id, segment, number, bm25 of every task's k best chunks a query, for at most search.BLOCK queries."""
+        terms = sorted({t for _, own in block for t in own})
+        known = self.spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string())})).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+        rows = self._asked_blocks(known)
+        if self.store.table("gone") is not None:
+            rows = stored(self._flat(rows).groupBy("term", *SCOPES, "segment", "block").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("number", "tf", "dl")).alias("entries")), "kw-living")
+        df = {r["term"]: r["df"] for r in rows.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # at most these queries' terms
         n, avgdl = self.size()
-        df = blocks.groupBy("term").agg(F.sum("n").alias("df"))
-        idf = F.greatest(F.lit(FLOOR), F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        weights = stored(asked.join(df.select("term", idf.alias("idf")), "term").select("query_id", "term", "idf"), "kw-weights")
+        ids, place, pairs = [q for q, _ in block], {t: i for i, t in enumerate(terms)}, []
+        for j, (_, own) in enumerate(block):
+            pairs += [(place[t], j, max(FLOOR, float(np.log((n - df[t] + 0.5) / (df[t] + 0.5))))) for t in own if t in df]
+        pairs.sort()
+        of, query, idf = (np.array([p[i] for p in pairs], kind) for i, kind in enumerate((np.int64, np.int64, np.float64)))
+        sent = self.spark.sparkContext.broadcast((terms, np.searchsorted(of, np.arange(len(terms) + 1)), query, idf, ids, avgdl))
         if scope is not None:
-            blocks = blocks.where((F.col("workspace_id") == scope.workspace_id) & F.col("knowledge_base_id").isin(*scope.knowledge_base_ids))
-        touched = blocks.select("term", "segment", "block", "most_tf", "least_dl").join(weights, "term")
-        # a block may stand in several rows of a term, by scope or batch; the larger bound holds for all
-        touched = touched.groupBy("query_id", "segment", "block", "term").agg(F.max(F.col("idf") * impact(F.col("most_tf"), F.col("least_dl"), avgdl)).alias("bound"))
-        bounds = stored(touched.groupBy("query_id", "segment", "block").agg(F.sum("bound").alias("bound")), "kw-bounds")
-
-        def scores(pairs: DataFrame) -> DataFrame:
-            wanted = pairs.select("query_id", "segment", "block").join(weights, "query_id")
-            hits = blocks.select("term", "segment", "block", "entries").join(wanted, ["term", "segment", "block"]).select("query_id", "segment", "idf", F.explode("entries").alias("e")).select("query_id", "segment", "idf", "e.*")
-            if scope is not None and scope.document_ids:
-                hits = hits.join(self.store.table("chunks").where(F.col("doc_id").isin(*scope.document_ids)).select("segment", "number"), ["segment", "number"], "left_semi")
-            return hits.groupBy("query_id", "segment", "number").agg(F.sum(F.col("idf") * impact(F.col("tf"), F.col("dl"), avgdl)).alias("bm25"))
-
-        best = bounds.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block"))).where(F.col("at") <= SEEDS)
-        threshold = top_k(scores(best), k, "bm25", "number").where(F.col("rank") == k).select("query_id", F.col("bm25").alias("least"))
-        threshold = stored(threshold, "kw-thresholds")
-        least = F.coalesce("least", F.lit(0.0)) - SLACK
-        pairs = bounds.join(threshold, "query_id", "left").where(F.col("bound") >= least)
-        # what reaches the threshold is little more than k a query; it alone gets its names, by which ties are settled
-        found = scores(pairs).join(threshold, "query_id", "left").where(F.col("bm25") >= least).drop("least")
-        named = found.join(self.store.table("chunks").select("segment", "number", "chunk_id"), ["segment", "number"])
-        return top_k(named, k, "bm25").select("query_id", "rank", "chunk_id", "bm25", (1 / (1 + F.abs("bm25"))).alias("keyword_score"))
+            rows = rows.where((F.col("workspace_id") == scope.workspace_id) & F.col("knowledge_base_id").isin(*scope.knowledge_base_ids))
+        entries = F.col("entries")
+        if scope is not None and scope.document_ids:
+            flat = rows.select("term", "segment", "block", F.explode("entries").alias("e")).select("term", "segment", "block", "e.*")
+            flat = flat.join(self.store.table("chunks").where(F.col("doc_id").isin(*scope.document_ids)).select("segment", "number"), ["segment", "number"], "left_semi")
+            rows = flat.groupBy("term", "segment", "block").agg(F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"), F.collect_list(F.struct("number", "tf", "dl")).alias("entries"))
+        rows = rows.select("segment", "block", "term", "most_tf", "least_dl", entries["number"].alias("numbers"), entries["tf"].alias("tfs"), entries["dl"].alias("dls"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(sent.value[4]), k)
+            held: list[pa.RecordBatch] = []
+            last = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                segment, number = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                cuts = np.flatnonzero((segment[1:] != segment[:-1]) | (number[1:] != number[:-1])) + 1
+                for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                    key = int(segment[a]), int(number[a])
+                    if held and key != last:
+                        scored_block(best, last[0], pa.Table.from_batches(held), *sent.value[:4], sent.value[5])
+                        held = []
+                    held.append(batch.slice(a, b - a))
+                    last = key
+            if held:
+                scored_block(best, last[0], pa.Table.from_batches(held), *sent.value[:4], sent.value[5])
+            yield best.batch(sent.value[4])
+
+        dealt = rows.repartition("segment", "block").sortWithinPartitions("segment", "block")
+        return dealt.mapInArrow(run, "query_id bigint, segment int, number bigint, bm25 double")
 
     def grep(self, terms: DataFrame) -> DataFrame:
         """query_id, term, chunk_id of every chunk that holds a term (query_id, term) as a token; reads the partitions of those terms."""

@@ -81,7 +81,7 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = tokenized(chunks)
     asked = queries.select(queries["query_id"].cast("bigint").alias("query_id"), X.query_terms(queries["text"]).alias("terms")).where(F.size("terms") > 0)
     total = None
-    for block in _blocks(asked, "query_id"):
+    for block in blocks_of(asked, "query_id"):
         terms = sorted({t for r in block for t in r["terms"]})
         known = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string())}))
         held = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(known), "term")  # at most BLOCK queries' terms
@@ -142,7 +142,7 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(out, k, "bm25").select("query_id", "rank", "chunk_id", "bm25", (1 / (1 + F.abs("bm25"))).alias("keyword_score"))
 
 
-def _blocks(queries: DataFrame, key: str) -> Iterator[list]:
+def blocks_of(queries: DataFrame, key: str) -> Iterator[list]:
     """Queries in the order of their key, a fixed number at a time."""
     last = None
     while rows := (queries if last is None else queries.where(F.col(key) > last)).orderBy(key).limit(BLOCK).collect():
@@ -153,7 +153,7 @@ def _blocks(queries: DataFrame, key: str) -> Iterator[list]:
 def _best(rows: DataFrame, score: Callable, queries: DataFrame, key: str, k: int, tie_type: str) -> DataFrame:
     """Scores blocks of queries with `score`, a function of (queries of a block, batch) that yields (query, tie, value)."""
     out = None
-    for block in _blocks(queries, key):
+    for block in blocks_of(queries, key):
 
         def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             held: dict[int, list[tuple[float, object]]] = {}

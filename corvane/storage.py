@@ -75,7 +75,7 @@ class Versioned:
     def write(self, df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> tuple[str, str]:
         """(folder, schema) of df's rows, as `commit` takes them."""
         name = f"{table}-{uuid.uuid4().hex}" + PARTED * bool(partition_by)
-        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{name}")
+        df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(f"{self.root}/{name}")
         return name, df.schema.json()
 
     def part(self, folder: tuple[str, str]) -> DataFrame:
