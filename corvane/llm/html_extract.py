@@ -24,6 +24,7 @@ import html as entities
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -46,6 +47,8 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 OPENS = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 STOPS = re.compile("[>\"']")
+#: A comment ends at once with the first, or where the second is found.
+COMMENT_ENDS, COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 CUT = re.compile(r"/[a-zA-Z]|[a-zA-Z][^\s<>]*\s+[^<>=]*=")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+")
@@ -56,7 +59,10 @@ class Blocks:
 
     def __init__(self, page: str) -> None:
         self.texts: list[str] = []
-        self.paths: list[tuple[str, ...]] = []
+        #: the place in `sets` of the cells of each block's path, and the path's length
+        self.paths: list[int] = []
+        self.depths: list[int] = []
+        self.sets: list[frozenset[int]] = [frozenset()]
         self.linked: list[float] = []
         self._read(page)
 
@@ -85,9 +91,13 @@ class Blocks:
     def _read(self, page: str) -> None:
         marks = {"broken": 0, '"': page.rfind('"'), "'": page.rfind("'")}
         tag_end, last_end = self._tags(page, marks), page.rfind(">")
-        stack: list[tuple[str, str]] = []
+        # open tags: name and the place of the path's cells, which grow with the stack, so that a block stores a number and no path
+        stack: list[tuple[str, int]] = []
+        opened: Counter[str] = Counter()
+        places: dict[frozenset[int], int] = {self.sets[0]: 0}
+        below: dict[tuple[int, str], int] = {}
         parts: list[str] = []
-        path: tuple[str, ...] = ()
+        path = depth = 0
         links = chars = in_link = 0
         at, n = 0, len(page)
         open_ended: set[str] = set()
@@ -101,10 +111,18 @@ class Blocks:
                 if text := " ".join(text.split()):
                     self.texts.append(text)
                     self.paths.append(path)
+                    self.depths.append(depth)
                     self.linked.append(links / max(1, chars))
                 parts.clear()
             links = chars = 0
 
+        def drop(k: int) -> None:
+            nonlocal in_link
+            gone = Counter(x[0] for x in stack[k:])
+            opened.subtract(gone)
+            in_link -= gone["a"]
+            del stack[k:]
+
         while at < n:
             lt = page.find("<", at)
             lt = n if lt < 0 else lt
@@ -112,8 +130,8 @@ class Blocks:
             at = lt
             if lt < n:
                 if page.startswith("<!--", lt):
-                    close = page.find("-->", lt + 4)
-                    at = n if close < 0 else close + 3
+                    ends = COMMENT_ENDS.match(page, lt + 4) or COMMENT_END.search(page, lt + 4)
+                    at = ends.end() if ends else n
                 elif (m := OPENS.match(page, lt + 1) if lt < last_end else None) and (close := tag_end(m.end())) >= 0:
                     rest, at = page[m.end() : close], close + 1
                 elif lt < last_end and page.startswith(("<!", "<?"), lt):
@@ -125,7 +143,7 @@ class Blocks:
                     said, at, m = said + "<", lt + 1, None
             if said:
                 if not chars and not said.isspace():
-                    path = tuple(x[1] for x in stack)
+                    path, depth = stack[-1][1] if stack else 0, len(stack)
                 parts.append(said)
                 size = len(said) if not said.isspace() else 0
                 chars += size
@@ -136,10 +154,9 @@ class Blocks:
             if m[1]:
                 if name not in INLINE:
                     flush()
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                     if stack[k][0] == name:
-                        in_link -= sum(x[0] == "a" for x in stack[k:])
-                        del stack[k:]
+                        drop(k)
                         break
                 continue
             if name not in INLINE:
@@ -162,14 +179,21 @@ class Blocks:
             if shut:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in shut:
-                        in_link -= sum(x[0] == "a" for x in stack[k:])
-                        del stack[k:]
+                        drop(k)
                         break
                     if stack[k][0] not in INLINE and stack[k][0] not in ("p", "td", "th", "li", "dt", "dd"):
                         break
             if name in VOID or rest.endswith("/") and name not in ("a", "p", "div"):
                 continue
-            stack.append((name, name + " " + rest if "=" in rest else name))
+            key = (stack[-1][1] if stack else 0, name + " " + rest if "=" in rest else name)
+            if key not in below:
+                cells = self.sets[key[0]].union(path_cells(key[1]))
+                if cells not in places:
+                    places[cells] = len(self.sets)
+                    self.sets.append(cells)
+                below[key] = places[cells]
+            stack.append((name, below[key]))
+            opened[name] += 1
             in_link += name == "a"
         flush()
 
@@ -193,12 +217,11 @@ def word_cell(word: str) -> int:
 def vectors(page: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct paths, PATHS), the place of each block's path among them, and (blocks, WORDS + MEASURES)."""
     n = len(page.texts)
-    place: dict[tuple[str, ...], int] = {}
+    place: dict[int, int] = {}
     at = np.array([place.setdefault(p, len(place)) for p in page.paths])
     paths = np.zeros((len(place), PATHS))
     for path, i in place.items():
-        for node in path:
-            paths[i, list(path_cells(node))] = 1.0
+        paths[i, list(page.sets[path])] = 1.0
     words = [t.split() for t in page.texts]
     size = np.array([len(w) for w in words])
     cells = np.fromiter((word_cell(w) for ws in words for w in ws), np.int64, int(size.sum()))
@@ -212,7 +235,7 @@ def vectors(page: Blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m[:, 3] = [min(1.0, sum(map(t.count, ".,;")) / 8) for t in page.texts]
     m[:, 4] = size > 25
     m[:, 5] = np.arange(n) / max(1, n - 1)
-    m[:, 6] = [min(1.0, len(p) / 10) for p in page.paths]
+    m[:, 6] = [min(1.0, d / 10) for d in page.depths]
     m[:, 7] = size <= 3
     return paths, at, x
 

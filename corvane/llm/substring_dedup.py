@@ -187,7 +187,7 @@ def runs_of(places: np.ndarray) -> list[tuple[int, int]]:
 
 def _anchors(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
     """Stored: (row, id, n_words, kept_sha256 of the whole text) and (id, anchors) of texts of a window or more."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, gram = docs.schema[id_col].dataType.simpleString(), min(GRAM, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -199,7 +199,7 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[
                 counts.append(len(words))
                 shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 if len(words) >= window:
-                    got = minimizers(gram_hashes(hasher.hashes(raw), GRAM), window - GRAM + 1)
+                    got = minimizers(gram_hashes(hasher.hashes(raw), gram), window - gram + 1)
                     anchors.append(np.unique(got).view(np.int64))
                 else:
                     anchors.append(np.zeros(0, np.int64))
@@ -213,7 +213,7 @@ def _anchors(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, window: int, shared: DataFrame) -> DataFrame:
     """Stored: (id, text, places, hashes) of the windows whose anchor several documents have. shared: id, anchors."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, gram = docs.schema[id_col].dataType.simpleString(), min(GRAM, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -226,7 +226,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, window: int, shared: D
                     places.append(np.zeros(0, np.int32))
                     hashes.append(np.zeros(0, np.int64))
                     continue
-                low = minimizers(gram_hashes(words, GRAM), window - GRAM + 1)
+                low = minimizers(gram_hashes(words, gram), window - gram + 1)
                 wanted = np.sort(lists[i].values.to_numpy().view(U64))
                 spot = np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)
                 at = np.flatnonzero(wanted[spot] == low)

@@ -145,7 +145,8 @@ def test_article_edge_cases(spark):
 @needs_data
 def test_pipeline(spark):
     """Each stage on what its predecessor kept, against brute force."""
-    from test_llm_exact import brute_components, brute_fingerprint, lower
+    from test_llm_exact import lower
+    from test_similar import brute as brute_similar
 
     import corpus_pipeline
     from corvane.llm._common import stored
@@ -164,9 +165,8 @@ def test_pipeline(spark):
         best[lower(r["text"])] = max(best.get(lower(r["text"]), -1), r["doc_id"])
     assert sorted(r["doc_id"] for r in after) == sorted(best.values())
     before, after = seen["simhash_near_dedup"]
-    before = sorted(before, key=lambda r: r["doc_id"])
-    label = brute_components([brute_fingerprint(r["text"]) for r in before], 2)
-    assert sorted(r["doc_id"] for r in after) == sorted({before[k]["doc_id"] for k in label})
+    # five-word shingles with a similarity of 0.8 or more
+    assert sorted(r["doc_id"] for r in after) == brute_similar(sorted((r["doc_id"], r["text"]) for r in before))
     before, after = seen["mixing"]
     assert {r["doc_id"] for r in after} <= {r["doc_id"] for r in before}
     assert len(seen["bpe"][1]) == len(seen["mixing"][1]) and corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == len(seen["bpe"][1])
