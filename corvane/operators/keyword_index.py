@@ -1,6 +1,6 @@
 """A kept keyword index: postings by term, in blocks that know their best score, with scopes and deltas.
 
-A segment is what one commit adds. Its chunks are numbered in the order in which they are stored, and a thousand neighbours are a block; a row of `blocks`
+A segment is what one commit adds. Its chunks are numbered in the order in which they are stored, and eight thousand neighbours are a block; a row of `blocks`
 holds the postings of one term in one block, with the highest term frequency and the smallest length among them. Any chunk of the block scores at most
 what these two give, whatever the average length has become, so a block's bound is right for every later state of the corpus. Neighbours come in one
 Arrow batch, so postings are counted and packed where the chunks lie, and go to partitions by a hash of the term; those of a small segment without a shuffle.
@@ -33,7 +33,7 @@ from corvane.schemas import Scope
 from corvane.storage import Versioned, stored
 
 #: Chunks of a block; partitions by term; parts into which the rows of a partition are dealt when they are written.
-BLOCK_CHUNKS, BUCKETS, PARTS = 1024, 32, 4
+BLOCK_CHUNKS, BUCKETS, PARTS = 8192, 32, 4
 #: Files of a segment that its tasks may write each for itself; a larger segment is dealt out by partition first.
 FILES = 4096
 #: Queries that are scored against a block at once.
@@ -55,8 +55,8 @@ def packed(chunks: DataFrame, segment: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
+            for at in range(0, batch.num_rows, 2 * BLOCK_CHUNKS):
+                part = batch.slice(at, 2 * BLOCK_CHUNKS)
                 tokens, number = part.column(0), part.column(1).to_numpy(zero_copy_only=False)
                 dl = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False)
                 coded = tokens.flatten().dictionary_encode()
