@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators import tracing
 from corvane.plans.adapters import once, table
 from corvane.plans.registry import query
 from corvane.storage import shared_path, stored
@@ -62,3 +63,47 @@ def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit(table(spark, sf_dir, "events").where("user_id IS NOT NULL").agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
     rows = spans.current(kept_spans(spark, sf_dir), SILENCE, now)
     return rows.select("trace_id", "knowledge_id", "span_id", "name", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer is a trace, its orders are spans below it, their lines below them; times are days."""
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("bigint")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.concat(F.lit("line-"), F.col("l_linenumber").cast("string")).alias("name"), day("l_shipdate").alias("started"), (day("l_shipdate") + F.col("l_linenumber") % 4 * 9).alias("finished"), F.col("l_linenumber").alias("n"))
+    items = items.groupBy("o", "n", "name").agg(F.min("started").alias("started"), F.max("finished").alias("finished"))
+    ends = items.groupBy("o").agg(F.max("finished").alias("ends"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").cast("string").alias("trace_id"), day("o_orderdate").alias("started"), F.col("o_orderstatus").alias("name"))
+    orders = orders.join(ends, "o", "left").select("o", "trace_id", "name", "started", F.greatest(F.coalesce("ends", F.col("started")), F.col("started") + 1).alias("finished"))
+    key = lambda *c: F.concat_ws("-", *[F.col(x).cast("string") for x in c])
+    roots = orders.groupBy("trace_id").agg(F.min("started").alias("started"), F.max("finished").alias("finished"))
+    columns = ["trace_id", "span_id", "parent_id", "name", "started", "finished"]
+    lines = items.join(orders.select("o", "trace_id"), "o").withColumns({"span_id": key("o", "n"), "parent_id": F.col("o").cast("string")})
+    out = roots.withColumns({"span_id": F.lit("root"), "parent_id": F.lit(None).cast("string"), "name": F.lit("customer")}).select(*columns)
+    return out.unionByName(orders.withColumns({"span_id": F.col("o").cast("string"), "parent_id": F.lit("root")}).select(*columns)).unionByName(lines.select(*columns))
+
+
+SPANS = """i AS (SELECT l_orderkey AS o, l_linenumber AS n, min(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS started, max(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + l_linenumber % 4 * 9) AS finished FROM lineitem GROUP BY l_orderkey, l_linenumber),
+o AS (SELECT o_orderkey AS o, CAST(o_custkey AS VARCHAR) AS trace_id, o_orderstatus AS name, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS started, greatest(coalesce(ends, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))), date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 1) AS finished FROM orders LEFT JOIN (SELECT o, max(finished) AS ends FROM i GROUP BY o) x ON x.o = o_orderkey),
+s AS (SELECT trace_id, 'root' AS span_id, NULL AS parent_id, 'customer' AS name, min(started) AS started, max(finished) AS finished FROM o GROUP BY trace_id
+  UNION ALL SELECT trace_id, CAST(o AS VARCHAR), 'root', name, started, finished FROM o UNION ALL SELECT trace_id, i.o || '-' || n, CAST(i.o AS VARCHAR), 'line-' || n, i.started, i.finished FROM i JOIN o USING (o)),
+c AS (SELECT c.trace_id, c.parent_id, c.span_id, greatest(c.started, p.started) AS a, least(c.finished, p.finished) AS b FROM s c JOIN s p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id),
+u AS (SELECT trace_id, parent_id AS span_id, sum(greatest(0, b - greatest(a, coalesce(reached, a)))) AS covered FROM (SELECT *, max(b) OVER (PARTITION BY trace_id, parent_id ORDER BY a, b, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM c WHERE b > a) GROUP BY ALL),
+w AS (SELECT s.*, finished - started AS duration, finished - started - coalesce(covered, 0) AS own_time, row_number() OVER (PARTITION BY s.trace_id, parent_id ORDER BY finished DESC, s.span_id) AS late FROM s LEFT JOIN u ON u.trace_id = s.trace_id AND u.span_id = s.span_id),
+t AS (SELECT trace_id, span_id, name, 0 AS depth, true AS critical, [span_id] AS above FROM w WHERE parent_id IS NULL UNION ALL SELECT w.trace_id, w.span_id, w.name, depth + 1, critical AND late = 1, list_append(above, w.span_id) FROM t JOIN w ON w.trace_id = t.trace_id AND w.parent_id = t.span_id)"""
+
+
+@query("m25_span_times", f"WITH RECURSIVE {SPANS}, z AS (SELECT trace_id, unnest(above) AS span_id, span_id AS below FROM t), g AS (SELECT z.trace_id, z.span_id, count(*) AS spans, CAST(sum(own_time) AS BIGINT) AS total_own_time FROM z JOIN w ON w.trace_id = z.trace_id AND w.span_id = z.below GROUP BY ALL) SELECT trace_id, span_id, depth, critical, CAST(own_time AS BIGINT) AS own_time, spans, total_own_time FROM t JOIN w USING (trace_id, span_id) JOIN g USING (trace_id, span_id)")
+def m25_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_trees(spark, sf_dir).select("trace_id", "span_id", "depth", "critical", "own_time", "spans", "total_own_time")
+
+
+@query("m25_trace_report", f"WITH RECURSIVE {SPANS}, n AS (SELECT trace_id, arg_min(name, (-own, name)) AS busiest FROM (SELECT trace_id, name, sum(own_time) AS own FROM w GROUP BY ALL) GROUP BY trace_id) SELECT trace_id, min(started) AS started, max(finished) AS finished, CAST(sum(duration) FILTER (parent_id IS NULL) AS BIGINT) AS length, count(*) AS spans, max(depth) AS deepest, string_agg(w.name, ' > ' ORDER BY depth) FILTER (critical) AS critical_path, any_value(busiest) AS busiest FROM w JOIN t USING (trace_id, span_id) JOIN n USING (trace_id) GROUP BY trace_id")
+def m25_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report goes out as JSON lines and is read back."""
+    rows, path = tracing.report(kept_trees(spark, sf_dir)), shared_path(spark, "trace-report")
+    rows.write.json(path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+def kept_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    build = lambda: stored(tracing.trees(stored(tracing.own_times(stored(order_spans(spark, sf_dir), "trace-spans")), "trace-own")), "trace-trees")
+    return once(spark, sf_dir, ("orders", "lineitem"), "trees", build)
