@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.plans.registry import ORACLE_SQL, QUERIES, Query
 
-PLANS = ("retrieval", "ingest", "library", "enriched", "layouts", "traces", "bookkeeping", "knowledge", "more", "lifecycle")
+PLANS = ("retrieval", "ingest", "library", "enriched", "layouts", "traces", "bookkeeping", "knowledge", "evaluations", "more", "lifecycle")
 for _name in PLANS:
     import_module(f"corvane.plans.{_name}")
 

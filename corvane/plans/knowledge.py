@@ -237,7 +237,7 @@ scored AS (SELECT case_id, CASE WHEN checked = 0 THEN 1 ELSE least(1, verified /
 METRICS = ("citation_resolvable_rate", "required_source_hit_rate", "answer_contains_expected_terms", "tool_plan_match_rate", "insufficient_evidence_correctness")
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     strings = lambda *xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
     rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -257,7 +257,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e1_e6_case_scores", f"WITH {CASES} SELECT case_id, " + ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m in METRICS) + " FROM scored")
 def e1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).select("case_id", *METRICS)
+    return scored_cases(spark, sf_dir).select("case_id", *METRICS)
 
 
 LONG = " UNION ALL ".join(f"SELECT '{m}' AS metric, quality, {m} AS score FROM scored" for m in METRICS)
@@ -265,19 +265,19 @@ LONG = " UNION ALL ".join(f"SELECT '{m}' AS metric, quality, {m} AS score FROM s
 
 @query("a5_metric_averages", f"WITH {CASES}, l AS ({LONG}) SELECT metric, round(avg(score), 9) AS mean FROM l GROUP BY metric")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.averages(evaluate.long_form(_scored(spark, sf_dir), metrics=METRICS)).select("metric", F.round("mean", 9).alias("mean"))
+    return evaluate.averages(evaluate.long_form(scored_cases(spark, sf_dir), metrics=METRICS)).select("metric", F.round("mean", 9).alias("mean"))
 
 
 @query("a7_run_comparison", f"WITH {CASES}, l AS ({LONG}), m AS (SELECT metric, avg(score) FILTER (quality = 1) AS c, avg(score) FILTER (quality = 0) AS b FROM l GROUP BY metric) SELECT metric, round(coalesce(c, 0), 9) AS current, round(coalesce(b, 0), 9) AS baseline, round(coalesce(c, 0) - coalesce(b, 0), 9) AS delta FROM m")
 def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir)
+    rows = scored_cases(spark, sf_dir)
     mean = lambda q: evaluate.averages(evaluate.long_form(rows.where(F.col("quality") == q), metrics=METRICS))
     return evaluate.compare(mean(1), mean(0)).select("metric", *[F.round(c, 9).alias(c) for c in ("current", "baseline", "delta")])
 
 
 @query("j12_changed_cases", f"WITH {CASES} SELECT case_id, CASE WHEN quality = 1 THEN 'newly_failed' ELSE 'fixed' END AS change FROM scored WHERE (quality = 1) <> (citation_resolvable_rate >= 0.5)")
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir)
+    rows = scored_cases(spark, sf_dir)
     return evaluate.changed_cases(rows.select("case_id", (F.col("citation_resolvable_rate") >= 0.5).alias("passed")), rows.select("case_id", (F.col("quality") == 1).alias("passed")))
 
 
@@ -316,7 +316,7 @@ def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m28_evaluation_report")
 def m28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.report(evaluate.averages(evaluate.long_form(_scored(spark, sf_dir), metrics=METRICS)), "Evaluation")
+    return evaluate.report(evaluate.averages(evaluate.long_form(scored_cases(spark, sf_dir), metrics=METRICS)), "Evaluation")
 
 
 @query("m8_index_rebuild", f"WITH {CHUNKS}, t AS (SELECT base_id, unnest(list_distinct({tokens_sql('content')})) AS term FROM chunks) SELECT base_id, count(DISTINCT term) AS terms, count(*) AS postings FROM t GROUP BY base_id")
