@@ -90,3 +90,37 @@ def understood(queries: DataFrame, text_col: str = "text", rewrites_col: str | N
     asked = F.when(blank, F.array(text)).otherwise(F.slice(F.array_distinct(F.concat(F.array(stripped(text)), more)), 1, max(1, most)))
     by = F.when(~blank & (F.size(more) > 0), "llm").otherwise("fallback")
     return queries.select(*queries.columns, asked.alias("retrieval_queries"), by.alias("understood_by"))
+
+
+def provider_rewrites(output: Column) -> Column:
+    """The queries of a rewrite provider's output: a list, or an object with `queries`; null, and anything else, gives none. Entries that are no strings go."""
+    said = F.try_parse_json(output)
+    found = F.coalesce(F.try_variant_get(said, "$.queries", "array<variant>"), F.try_variant_get(said, "$", "array<variant>"), F.array().cast("array<variant>"))
+    return F.filter(F.transform(F.filter(found, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: stripped(F.try_variant_get(v, "$", "string"))), lambda x: x != "")
+
+
+def provider_intent(output: Column) -> Column:
+    """Struct (intent, constraints) of an intent provider's output: the constraints that are objects, as JSON; empty where it can't be read."""
+    said = F.try_parse_json(output)
+    is_object = F.coalesce(F.schema_of_variant(said).startswith("OBJECT"), F.lit(False))
+    none = F.array().cast("array<variant>")
+    held = F.filter(F.coalesce(F.try_variant_get(said, "$.constraints", "array<variant>"), none), lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
+    intent = F.coalesce(stripped(F.try_variant_get(said, "$.intent", "string")), F.lit(""))
+    return F.struct(F.when(is_object, intent).otherwise("").alias("intent"), F.when(is_object, F.transform(held, lambda v: F.to_json(v))).otherwise(F.array().cast("array<string>")).alias("constraints"))
+
+
+def query_understanding(queries: DataFrame, text_col: str = "text", rewrite_col: str | None = None, intent_col: str | None = None, most: int = MAX_QUERIES) -> DataFrame:
+    """queries with retrieval_queries, intent, constraints and source, read from providers' outputs (strings).
+
+    The question comes first, then the rewrites, each once, `most` in all. source is fallback; llm if one provider said something
+    that could be read, mixed if both did. A blank question is asked as it stands and nothing is read for it.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    blank = stripped(text) == ""
+    nothing = F.lit(None).cast("string")
+    rows = queries.withColumn("_more", F.when(~blank, provider_rewrites(F.col(rewrite_col) if rewrite_col else nothing)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_said", F.when(~blank, provider_intent(F.col(intent_col) if intent_col else nothing)).otherwise(provider_intent(nothing)))
+    asked = F.when(blank, F.array(text)).otherwise(F.slice(F.array_distinct(F.concat(F.array(stripped(text)), F.col("_more"))), 1, max(1, most)))
+    spoke = (F.size("_more") > 0).cast("int") + ((F.col("_said.intent") != "") | (F.size("_said.constraints") > 0)).cast("int")
+    source = F.when(spoke == 2, "mixed").when(spoke == 1, "llm").otherwise("fallback")
+    return rows.select(*queries.columns, asked.alias("retrieval_queries"), F.col("_said.intent").alias("intent"), F.col("_said.constraints").alias("constraints"), source.alias("source"))

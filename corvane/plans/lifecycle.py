@@ -54,3 +54,21 @@ def x8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = questions(spark, sf_dir).withColumn("rewrites", F.split("text", "[.!?]"))
     rows = lifecycle.understood(rows, "text", "rewrites")
     return rows.select("query_id", F.posexplode("retrieval_queries").alias("pos", "asked"), "understood_by").withColumn("pos", F.col("pos").cast("long"))
+
+
+#: Outputs of providers as a table would log them: well formed and not, by turns.
+_REWRITES, _INTENTS = 5, 4
+
+
+@query("x8_provider_outputs", rf"""WITH {QUESTIONS}, p AS (SELECT query_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, text FROM questions),
+r AS (SELECT *, CASE query_id % 5 WHEN 0 THEN ['about ' || query_id, 'more ' || query_id] WHEN 1 THEN ['about ' || query_id] ELSE [] END AS more, CASE query_id % 4 WHEN 0 THEN 'comparison' ELSE '' END AS intent, CASE query_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS n FROM p),
+u AS (SELECT query_id, intent, n, (CASE WHEN len(more) > 0 THEN 1 ELSE 0 END + CASE WHEN intent <> '' OR n > 0 THEN 1 ELSE 0 END) AS spoke, CASE WHEN t = '' THEN [text] ELSE list_concat([t], more) END AS qs, t = '' AS blank FROM r)
+SELECT query_id, array_to_string(qs, ' || ') AS asked, CASE WHEN blank THEN '' ELSE intent END AS intent, CAST(CASE WHEN blank THEN 0 ELSE n END AS BIGINT) AS n_constraints, CASE WHEN blank OR spoke = 0 THEN 'fallback' WHEN spoke = 1 THEN 'llm' ELSE 'mixed' END AS source FROM u""")
+def x8_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole questions with the logged outputs of a rewrite and an intent provider: an object, a list with other values, rubbish, a number, nothing."""
+    number = F.col("query_id").cast("string")
+    rewrite = F.element_at(F.array(F.concat(F.lit('{"queries": ["about '), number, F.lit('", " more '), number, F.lit('\\n", "", 7]}')), F.concat(F.lit('["about '), number, F.lit('", null, {"a": 1}]')), F.lit("not json"), F.lit("12"), F.lit(None).cast("string")), (F.col("query_id") % _REWRITES + 1).cast("int"))
+    intent = F.element_at(F.array(F.lit('{"intent": " comparison ", "constraints": [{"field": "ports", "value": 8}, "x"]}'), F.lit('{"intent": null, "constraints": [{"a": 1}, {"b": 2}]}'), F.lit('["intent"]'), F.lit("{")), (F.col("query_id") % _INTENTS + 1).cast("int"))
+    rows = questions(spark, sf_dir).withColumns({"rewrite": rewrite, "said": intent})
+    out = lifecycle.query_understanding(rows, "text", "rewrite", "said")
+    return out.select("query_id", F.array_join("retrieval_queries", " || ").alias("asked"), "intent", F.size("constraints").cast("bigint").alias("n_constraints"), "source")
