@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.operators import layout
+from corvane.operators import headers, layout
 from corvane.plans.adapters import table
 from corvane.plans.registry import query
 from corvane.sources import office
@@ -117,3 +117,24 @@ def m18(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, bottom = (F.col("begin") + F.col("i")) * 6.0, 800.0 - F.floor(F.col("n") / 8) * 14 + F.col("i") % 2
     boxes = each.select("doc_id", F.lit(1).alias("page"), left.alias("left"), (left + 5).alias("right"), bottom.cast("double").alias("bottom"), (bottom + 10).cast("double").alias("top"), "text")
     return layout.page_text(boxes).select("doc_id", "text")
+
+
+@query("t19_header_sections", r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS raw FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+m AS (SELECT doc_id, pos, trim(CASE WHEN pos % 3 = 1 THEN repeat('#', 1 + CAST((pos // 3 + doc_id) % 5 AS INTEGER)) || ' ' || raw WHEN pos % 11 = 5 THEN '```' || raw ELSE raw END, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l),
+n AS (SELECT *, line LIKE '```%' OR line LIKE '~~~%' AS fence FROM m WHERE line <> ''),
+c AS (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER w % 2 = 1 OR fence AS code FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+h AS (SELECT *, CASE WHEN NOT code AND regexp_matches(line, '^#{1,4}( .*)?$') THEN length(regexp_extract(line, '^#+')) END AS level FROM c),
+k AS (SELECT *, CASE WHEN level IS NOT NULL AND NOT coalesce(lag(level) OVER (PARTITION BY doc_id ORDER BY pos) < level, false) THEN 1 ELSE 0 END AS begins FROM h),
+s AS (SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM k),
+g AS (SELECT doc_id, section, max(pos) AS ends, string_agg(line, '  ' || chr(10) ORDER BY pos) AS content FROM s GROUP BY ALL),
+o AS (SELECT g.doc_id, section, x.level, x.pos, trim(substring(x.line, x.level + 1), ' ') AS title FROM g JOIN (SELECT * FROM h WHERE level IS NOT NULL) x ON x.doc_id = g.doc_id AND x.pos <= ends
+  WHERE NOT EXISTS (SELECT 1 FROM h y WHERE y.doc_id = x.doc_id AND y.pos > x.pos AND y.pos <= ends AND y.level <= x.level)),
+p AS (SELECT doc_id, section, string_agg(level || ':' || title, ' > ' ORDER BY level) AS path FROM o GROUP BY ALL)
+SELECT g.doc_id, CAST(row_number() OVER (PARTITION BY g.doc_id ORDER BY g.section) - 1 AS INTEGER) AS seq, coalesce(path, '') AS path, md5(content) AS content_md5 FROM g LEFT JOIN p ON p.doc_id = g.doc_id AND p.section = g.section""")
+def t19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, every third line made a header of some level and every eleventh a fence."""
+    line = lambda x, i: F.when((i + 1) % 3 == 1, F.concat(F.repeat(F.lit("#"), (1 + F.pmod(F.floor((i + 1) / 3) + F.col("doc_id"), F.lit(5))).cast("int")), F.lit(" "), x)).when((i + 1) % 11 == 5, F.concat(F.lit("```"), x)).otherwise(x)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line), "\n").alias("text"))
+    rows = headers.header_sections(spread(docs))
+    path = F.concat_ws(" > ", *[F.concat(F.lit(f"{k}:"), F.col(f"h{k}")) for k in range(1, headers.LEVELS + 1)])
+    return rows.select("doc_id", "seq", path.alias("path"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
