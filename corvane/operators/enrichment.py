@@ -105,11 +105,17 @@ def sanitized(error: Column) -> Column:
     return F.left(F.regexp_replace(said, r"(?i)(api[_-]?key|authorization)\s*[:=]\s*\S+", "$1=[redacted]"), F.lit(1000))
 
 
-def batched(chunks: DataFrame, most: int) -> DataFrame:
-    """doc_id, batch, text, ids, tokens: chunks (doc_id, seq, chunk_id, content, token_count) of one batch, joined by empty lines."""
-    numbered = chunks.join(batches(chunks.select("doc_id", "seq", "token_count"), most, key="doc_id").select("doc_id", "seq", F.col("batch").cast("int").alias("batch")), ["doc_id", "seq"])
-    rows = numbered.groupBy("doc_id", "batch").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk_id", "content"))).alias("c"), F.sum("token_count").alias("tokens"))
-    return rows.select("doc_id", "batch", F.array_join("c.content", "\n\n").alias("text"), F.col("c.chunk_id").alias("ids"), "tokens")
+def batched(chunks: DataFrame, names: DataFrame, most: int) -> DataFrame:
+    """doc_id, batch, name, text, partial, ids: chunks (doc_id, seq, chunk_id, content, token_count) of one batch, joined by empty lines.
+
+    Batches, their number and the names are put together without the texts, which then move twice: to meet their batch, and to be joined.
+    """
+    thin = batches(chunks.select("doc_id", "seq", "token_count"), most, key="doc_id").select("doc_id", "seq", F.col("batch").cast("int").alias("batch"))
+    partial = thin.groupBy("doc_id").agg((F.max("batch") > 0).alias("partial"))
+    thin = thin.join(partial.join(names, "doc_id"), "doc_id")
+    rows = chunks.select("doc_id", "seq", "chunk_id", "content").join(thin, ["doc_id", "seq"])
+    rows = rows.groupBy("doc_id", "batch", "name", "partial").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk_id", "content"))).alias("c"))
+    return rows.select("doc_id", "batch", "name", F.array_join("c.content", "\n\n").alias("text"), "partial", F.col("c.chunk_id").alias("ids"))
 
 
 def enrich(documents: DataFrame, parents: DataFrame, provider: Provider | None, model: str = "centrality", most: int = MAX_TOKENS, versions: DataFrame | None = None) -> DataFrame:
@@ -125,14 +131,14 @@ def enrich(documents: DataFrame, parents: DataFrame, provider: Provider | None,
         return documents.select("doc_id", F.lit("none").alias("status"), *nothing, F.lit("").alias("error"), F.lit("").alias("model_ref"), F.array().cast("array<string>").alias("source_chunk_ids"), F.lit(0).alias("batches"), F.lit(0).alias("version"))
     names = documents.select("doc_id", "name")
     estimate = F.greatest(F.lit(1), F.coalesce(F.when(F.col("token_count") > 0, F.col("token_count")), F.floor(F.length("content") / 4)))
-    rows = parents.join(names.select("doc_id"), "doc_id", "left_semi").select("doc_id", "seq", "chunk_id", F.coalesce("content", F.lit("")).alias("content"), estimate.cast("int").alias("token_count"))
-    made = stored(batched(rows, most), "enrich-batches")
+    rows = parents.select("doc_id", "seq", "chunk_id", F.coalesce("content", F.lit("")).alias("content"), estimate.cast("int").alias("token_count"))
+    made = stored(batched(rows, names, most), "enrich-batches")
     counts = made.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("batches"))
     sources = made.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("batch", "ids"))), lambda x: x["ids"])).alias("source_chunk_ids"))
-    todo, failed, finished = made.join(counts, "doc_id").select("doc_id", "batch", "text", (F.col("batches") > 1).alias("partial")), None, None
+    todo, failed, finished = made.drop("ids"), None, None
     while True:
         # what was said of each batch; a document with a failed batch is failed, one with a single batch is finished
-        said = stored(provider(todo.join(names, "doc_id").select("doc_id", "batch", "name", "text", "partial")), "enrich-said")
+        said = stored(provider(todo), "enrich-said")
         state = said.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("batch"))).alias("error"))
         state = stored(state, "enrich-state")
         bad = state.where("error IS NOT NULL").select("doc_id", sanitized(F.col("error")).alias("error"))
@@ -145,9 +151,7 @@ def enrich(documents: DataFrame, parents: DataFrame, provider: Provider | None,
         # summaries are cut so that at least two fit the bound: every round leaves fewer
         label = F.concat(F.lit(PART), (F.col("batch") + 1).cast("string"), F.lit(": "))
         parts = said.join(more, "doc_id", "left_semi").select("doc_id", F.col("batch").alias("seq"), F.col("batch").cast("string").alias("chunk_id"), F.concat(label, F.left("summary", F.lit(2 * most - 20))).alias("content"))
-        parts = batched(parts.withColumn("token_count", X.estimate_tokens(F.col("content"))), most)
-        left = stored(parts, "enrich-batches")
-        todo = left.join(left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id").select("doc_id", "batch", "text", (F.col("n") > 1).alias("partial"))
+        todo = stored(batched(parts.withColumn("token_count", X.estimate_tokens(F.col("content"))), names, most), "enrich-batches").drop("ids")
     tries = documents.select("doc_id", F.lit(0).alias("earlier")) if versions is None else versions.select("doc_id", F.col("version").alias("earlier"))
     out = documents.select("doc_id").join(counts, "doc_id", "left").join(sources, "doc_id", "left").join(finished, "doc_id", "left").join(failed.withColumnRenamed("error", "said"), "doc_id", "left").join(tries, "doc_id", "left")
     error = F.when(F.col("batches").isNull(), F.lit(NO_PARENTS)).otherwise(F.coalesce("said", F.lit("")))
