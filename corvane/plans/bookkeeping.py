@@ -29,10 +29,10 @@ def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where(scope.predicate(document="id")).groupBy(F.col("knowledge_base_id").alias("base")).agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("f3_list_chunks", f"WITH {CHUNKS} SELECT chunk_id, doc_id, seq FROM chunks WHERE base_id IN ('src1', 'src2') ORDER BY doc_id, seq LIMIT 200")
+@query("f3_list_chunks", f"WITH {CHUNKS} SELECT chunk_id, doc_id, seq FROM chunks WHERE base_id IN ('src1', 'src2') ORDER BY doc_id, seq")
 def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(spark, sf_dir).where(F.col("base_id").isin("src1", "src2"))
-    return rows.orderBy("doc_id", "seq").limit(200).select("chunk_id", "doc_id", "seq")
+    return rows.orderBy("doc_id", "seq").select("chunk_id", "doc_id", "seq")
 
 
 @query("f4_point_lookup", f"WITH {DOCUMENTS} SELECT d.id, d.name, d.parse_status FROM docs d JOIN (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels) l USING (id)")
@@ -252,25 +252,25 @@ def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").where("s_acctbal > 0").orderBy(F.desc("s_acctbal"), "s_suppkey").select("s_suppkey", "s_name")
 
 
-@query("k12_canonical_order", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END AS stage FROM orders ORDER BY stage, o_orderkey LIMIT 500")
+@query("k12_canonical_order", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END AS stage FROM orders ORDER BY stage, o_orderkey")
 def k12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _staged(spark, sf_dir).limit(500)
+    return _staged(spark, sf_dir)
 
 
-@query("k13_ordered_listing", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey LIMIT 50")
+@query("k13_ordered_listing", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey")
 def k13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(spark, sf_dir).limit(50)
+    return _listed(spark, sf_dir)
 
 
 @query("k12_canonical_order_all", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 ELSE 4 END AS stage FROM orders ORDER BY stage, o_orderkey")
 def k12_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of k12, which shows the first 500."""
+    """The same as k12, which once was cut."""
     return _staged(spark, sf_dir)
 
 
 @query("k13_ordered_listing_all", "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0 ORDER BY s_acctbal DESC, s_suppkey")
 def k13_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of k13, which shows the first 50."""
+    """The same as k13, which once was cut."""
     return _listed(spark, sf_dir)
 
 

@@ -151,15 +151,15 @@ def t26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.parent_by_page(parts.select("doc_id", F.col("part_id").alias("image_id"), F.col("page_start").alias("page")), parents)
 
 
-@query("t17_neighbours", f"WITH {CHUNKS} SELECT chunk_id, left(lag(content) OVER w, 40) AS previous, left(lead(content) OVER w, 40) AS next FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY seq)")
+@query("t17_neighbours", f"WITH {CHUNKS} SELECT chunk_id, lag(content) OVER w AS previous, lead(content) OVER w AS next FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY seq)")
 def t17(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = elements.neighbours(chunks(spark, sf_dir), "doc_id", "seq", "content")
-    return rows.select("chunk_id", F.left("previous", F.lit(40)).alias("previous"), F.left("next", F.lit(40)).alias("next"))
+    return rows.select("chunk_id", "previous", "next")
 
 
 @query("t17_neighbours_whole", f"WITH {CHUNKS} SELECT chunk_id, md5(lag(content) OVER w) AS previous_md5, md5(lead(content) OVER w) AS next_md5 FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY seq)")
 def t17_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the whole neighbouring texts, of which t17 shows the beginnings."""
+    """Digests of the neighbouring texts."""
     rows = elements.neighbours(chunks(spark, sf_dir), "doc_id", "seq", "content")
     return rows.select("chunk_id", *[F.md5(F.col(c).cast("binary")).alias(f"{c}_md5") for c in ("previous", "next")])
 
