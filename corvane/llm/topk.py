@@ -89,6 +89,7 @@ class Block:
         self.norm = size
         self.low = np.zeros(len(ids), np.int64)
         self.width = np.ones(len(ids), np.int64)  # of a bin
+        self.reach = np.zeros(len(ids), np.int64)  # scores from low on that belong to the range; its last bins may go beyond
         self.open = np.ones(len(ids), bool)
         self.above = np.zeros(len(ids), np.int64)
         self.free = np.zeros(len(ids), bool)  # no lower bound holds
@@ -112,10 +113,13 @@ class Block:
             at, score = at[live], score[live]
             if not len(at):
                 continue
-            bin_ = (score - self.low[at][:, None]) // self.width[at][:, None]
+            past = score - self.low[at][:, None]
+            bin_ = past // self.width[at][:, None]
             if bin_.dtype == object:  # what is beyond the span counts with its highest scores
                 bin_ = np.where(score > SPAN, np.where(self.top[at][:, None], BINS - 1, BINS), np.clip(bin_, -1, BINS)).astype(np.int64)
-            inside = (bin_ >= 0) & (bin_ < BINS) & (self.ids[at][:, None] != own[None, :])
+            # scores beyond the range are in `above` already, but where it reaches the highest ones
+            within = (self.top[at][:, None] | (past < self.reach[at][:, None])).astype(bool)
+            inside = (bin_ >= 0) & (bin_ < BINS) & within & (self.ids[at][:, None] != own[None, :])
             flat = (np.arange(len(at))[:, None] * BINS + np.clip(bin_, 0, BINS - 1))[inside]
             total[at] += np.bincount(flat, minlength=len(at) * BINS).reshape(len(at), BINS)
         q, b = np.nonzero(total)
@@ -155,7 +159,7 @@ def _refine(block: Block, pairs: DataFrame, scale: float, most: float) -> None:
     with np.errstate(over="ignore", invalid="ignore"):
         reach = block.norm * most * (1 + 1e-9) + 1  # |score| is at most the product of the lengths
     reach = np.where(reach < SPAN, reach, SPAN).astype(np.int64)
-    block.low, block.width = -reach, (2 * reach + BINS) // BINS
+    block.low, block.width, block.reach = -reach, (2 * reach + BINS) // BINS, 2 * reach + 1
     block.top = np.ones(len(block.ids), bool)  # the range reaches the highest scores
     while block.open.any():
         sent = spark.sparkContext.broadcast(block)
@@ -176,6 +180,7 @@ def _refine(block: Block, pairs: DataFrame, scale: float, most: float) -> None:
             if block.width[q] == 1 or block.above[q] + n <= 4 * k:
                 block.open[q] = False
             else:
+                block.reach[q] = block.width[q]
                 block.width[q] = -(-block.width[q] // BINS)
         for q in np.nonzero(block.open)[0]:
             if int(q) not in seen:

@@ -93,6 +93,18 @@ def test_topk(spark):
     assert topk.search(frame.where("vec_id = 50"), F.expr("vec_id % 50 = 0")).count() == 0
 
 
+def test_topk_counts_a_few_better_scores_once(spark):
+    """A bin's part is finer than a score is wide, so its histogram goes beyond the bin, to scores that are counted already."""
+    rows = [(50, [1 / 256]), *[(i, [900 / 256]) for i in (1, 2, 3)], *[(100 + i, [(889 + i % 3) / 256]) for i in range(1, 49)], (999, [1000 / 256])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(frame, F.expr("vec_id = 50")).orderBy("rank").collect()]
+    assert got == [r for r in brute_topk(rows, 5) if r[0] == 50]
+    rng = np.random.default_rng(3)
+    copies = [(i, [0.5] * 3) for i in range(300, 400)] + [(i, [0.5 + float(x) for x in rng.uniform(-0.06, 0.06, 3)]) for i in range(1, 120)]
+    got = [tuple(r) for r in topk.search(spark.createDataFrame(copies, "vec_id long, embedding array<double>"), F.expr("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == brute_topk(copies, 5)
+
+
 # ---- mixing --------------------------------------------------------------------------------------------------------------
 def test_mixing(spark, odd, none):
     rows = [(i, "w " * (i % 40), "en", f"s{i % 7}" if i % 11 else None, 1) for i in range(500)]
