@@ -6,7 +6,7 @@
 3. Demand: a source's share over training time t in [0, 1] is a piecewise linear schedule; its integral, scaled to the target,
    is the source's cumulative token demand. A source's documents stand in the order of their hashed ids, pass after pass.
    The words before a document are looked up in the inverse of that integral, which gives the document's training position.
-4. `mix` sorts all copies by position (range partitioning).
+4. All copies are sorted by position (range partitioning): `mix` gives their texts, `op4_mixing` each document where its first copy stands.
 
 The running sum is taken in two levels, hashed-id buckets and then documents of a bucket, so a source with a third of all rows
 is spread over thousands of groups. Only thin rows (key, size) are shuffled for it; the table of distinct sources is the one
@@ -117,6 +117,11 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 WHOLE_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
+def in_order(copies: DataFrame, tie: str) -> DataFrame:
+    """Copies (corvane_copy, corvane_position) in training order, range-partitioned; what is not taken stands last."""
+    return copies.orderBy(F.asc_nulls_last("corvane_position"), tie, "corvane_copy")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", placed: bool = True, **how) -> DataFrame:
     """The mixed corpus: all columns of docs (plus mix_position and mix_copy, which replace columns of those names, if `placed`), a row for
     each copy, sorted by position. A row's key is a digest of all its columns, so rows that differ anywhere are different rows.
@@ -127,7 +132,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = assign(docs, id_col, text_col, source_col, key=key, **how).where(F.size("positions") > 0)
     plan = plan.select("key", F.posexplode("positions").alias("corvane_copy", "corvane_position"))
     rows = docs.select(key.alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("whole")).dropDuplicates(["key"])  # rows of one key are equal
-    copies = rows.join(plan, "key").orderBy("corvane_position", "key", "corvane_copy")
+    copies = in_order(rows.join(plan, "key"), "key")
     if not placed:
         return copies.select("whole.*")
     own = [F.col(f"whole.`{c}`") for c in docs.columns if c.lower() not in ("mix_position", "mix_copy")]
@@ -135,8 +140,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, in the order in which training first meets them."""
     rows = assign(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
+    copies = rows.select("doc_id", "size", "source_size", "target", "taken", F.posexplode_outer("positions").alias("corvane_copy", "corvane_position"))
+    first = in_order(copies, "doc_id").where("coalesce(corvane_copy, 0) = 0")
+    return first.select("doc_id", "size", "source_size", "target", "taken", F.col("corvane_position").alias("first_position"))
 
 
 OP4_SQL = r"""

@@ -106,6 +106,13 @@ def test_topk_counts_a_few_better_scores_once(spark):
 
 
 # ---- mixing --------------------------------------------------------------------------------------------------------------
+def test_op4_stands_in_training_order(spark):
+    rows = mixing.op4_mixing(spark, "/root/testdata/sf0.001").collect()
+    places = [r["first_position"] for r in rows]
+    met = [p for p in places if p is not None]
+    assert met == sorted(met) and places == met + [None] * (len(places) - len(met)) and len({r["doc_id"] for r in rows}) == len(rows)
+
+
 def test_mixing(spark, odd, none):
     rows = [(i, "w " * (i % 40), "en", f"s{i % 7}" if i % 11 else None, 1) for i in range(500)]
     docs = spark.createDataFrame(rows, DOCS)
