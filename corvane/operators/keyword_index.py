@@ -3,7 +3,8 @@
 A segment is what one commit adds. Its chunks are numbered in the order in which they are stored, and eight thousand neighbours are a block; a row of `blocks`
 holds the postings of one term in one block, with the highest term frequency and the smallest length among them. Any chunk of the block scores at most
 what these two give, whatever the average length has become, so a block's bound is right for every later state of the corpus. Neighbours come in one
-Arrow batch, so postings are counted and packed where the chunks lie, and go to partitions by a hash of the term; those of a small segment without a shuffle.
+Arrow batch, so postings are counted and packed where the chunks lie, and go to partitions by a hash of the term without a shuffle or a sort: a task
+keeps a file of each partition open.
 Scope columns stand beside the term: a search reads the partitions of the asked terms, and the scan leaves out other workspaces and knowledge bases.
 
 A search reads the asked terms' rows, deals them out by block, and scores a block at a time: the bounds of a query's terms are added up first, and
@@ -32,9 +33,9 @@ from corvane.operators.search import B, FLOOR, K1, blocks_of, top_k
 from corvane.schemas import Scope
 from corvane.storage import Versioned, stored
 
-#: Chunks of a block; partitions by term; parts into which the rows of a partition are dealt when they are written.
-BLOCK_CHUNKS, BUCKETS, PARTS = 8192, 32, 4
-#: Files of a segment that its tasks may write each for itself; a larger segment is dealt out by partition first.
+#: Chunks of a block; partitions by term.
+BLOCK_CHUNKS, BUCKETS = 8192, 32
+#: Files of a segment aimed at: a larger one is written by fewer tasks, though never by fewer than there are cores.
 FILES = 4096
 #: Queries that are scored against a block at once.
 ASKED = 256
@@ -152,23 +153,28 @@ class KeywordIndex:
         self.store, self.spark, self.buckets = store, store.spark, buckets
 
     def _blocks(self, rows: DataFrame) -> dict[str, tuple[str, str]]:
-        """Written folders of blocks and of their segment's size in tokens; a frequent term is dealt over several tasks and files."""
-        rows = rows.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
-        if rows.rdd.getNumPartitions() * self.buckets > FILES:
-            rows = rows.repartition("bucket", F.pmod("block", F.lit(PARTS)))
-        rows = rows.sortWithinPartitions("bucket", "term", "block")
-        blocks = self.store.write(rows, "blocks", ("bucket",))
+        """Written folders of blocks and of their segment's size in tokens; a frequent term lies in the files of many tasks.
+
+        Rows go to their files as they come, in the order of terms within a batch: sorting them by partition would spill many times the corpus.
+        """
+        tasks = max(FILES // self.buckets, self.spark.sparkContext.defaultParallelism)
+        rows = rows.coalesce(tasks).withColumn("bucket", bucket_of(F.col("term"), self.buckets))
+        blocks = self.store.write(rows, "blocks", ("bucket",), self.buckets)
         sizes = self.store.part(blocks).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
         return {"blocks": blocks, "sizes": self.store.write(sizes, "sizes")}
 
-    def segment(self, chunks: DataFrame, renewed: DataFrame | None = None) -> dict[str, tuple[str, str]]:
+    def numbered(self, chunks: DataFrame) -> tuple[str, str]:
+        """The written, uncommitted folder of the next segment's chunks."""
+        number = F.monotonically_increasing_id().alias("number")
+        return self.store.write(chunks.select(*SCOPES, "doc_id", "seq", "chunk_id", "content", number, F.lit(self.store.version + 1).alias("segment")), "chunks")
+
+    def segment(self, chunks: DataFrame | tuple[str, str], renewed: DataFrame | None = None) -> dict[str, tuple[str, str]]:
         """Written, uncommitted folders of a segment that holds chunks (workspace_id, knowledge_base_id, doc_id, seq, chunk_id, content), and of the documents it replaces.
 
-        renewed: doc_ids whose earlier state goes, if not those of chunks alone.
+        chunks: rows, or a folder that `numbered` wrote at this version. renewed: doc_ids whose earlier state goes, if not those of chunks alone.
         """
         number = self.store.version + 1
-        rows = chunks.select(*SCOPES, "doc_id", "seq", "chunk_id", "content", F.monotonically_increasing_id().alias("number"), F.lit(number).alias("segment"))
-        folder = self.store.write(rows, "chunks")
+        folder = chunks if isinstance(chunks, tuple) else self.numbered(chunks)
         written = {"chunks": folder, **self._blocks(packed(self.store.part(folder), number))}
         known = [t.select("doc_id") for t in map(self.store.table, ("chunks", "documents", "quarantine")) if t is not None]
         if known:

@@ -62,23 +62,32 @@ def once(spark: SparkSession, sf_dir: str, names: tuple[str, ...], what: str, bu
     return _kept[key]
 
 
+def _numbered(spark: SparkSession, sf_dir: str) -> tuple[KeywordIndex, tuple[str, str]]:
+    """An index that is empty yet, and the folder of its chunks: those of all documents."""
+
+    def build() -> tuple[KeywordIndex, tuple[str, str]]:
+        index = KeywordIndex(Versioned(spark, shared_path(spark, "kept")))
+        rows = chunks(spark, sf_dir).select(F.lit("w0").alias("workspace_id"), F.col("base_id").alias("knowledge_base_id"), "doc_id", "seq", "chunk_id", "content")
+        return index, index.numbered(rows)
+
+    return once(spark, sf_dir, ("documents",), "chunks", build)
+
+
 def kept_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
     """Chunks of all documents and their keyword index."""
 
     def build() -> KeywordIndex:
-        store = Versioned(spark, shared_path(spark, "kept"))
-        rows = chunks(spark, sf_dir).select(F.lit("w0").alias("workspace_id"), F.col("base_id").alias("knowledge_base_id"), "doc_id", "seq", "chunk_id", "content")
-        index = KeywordIndex(store)
-        index.add(rows)
+        index, folder = _numbered(spark, sf_dir)
+        index.store.commit(index.segment(folder))
         return index
 
     return once(spark, sf_dir, ("documents",), "index", build)
 
 
 def kept_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What `chunks` gives, read from the kept store."""
-    rows = kept_index(spark, sf_dir).store.table("chunks")
-    return rows.select("doc_id", F.col("knowledge_base_id").alias("base_id"), "seq", "chunk_id", "content")
+    """What `chunks` gives, read from the kept store; it needs no index."""
+    index, folder = _numbered(spark, sf_dir)
+    return index.store.part(folder).select("doc_id", F.col("knowledge_base_id").alias("base_id"), "seq", "chunk_id", "content")
 
 
 CHUNKS = r"""flat AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(source, 'default') AS base_id,

@@ -12,6 +12,9 @@ from pyspark.sql.types import StructType
 
 #: Ends the name of a folder that is partitioned by columns.
 PARTED = "-parted"
+#: How Spark names the number of files that a task holds open, and their buffers, which are held for all of them at once.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+OPEN = {"parquet.block.size": str(1 << 20), "parquet.page.size": str(1 << 16), "parquet.dictionary.page.size": str(1 << 15)}
 _homes: dict[str, str] = {}
 
 
@@ -72,10 +75,18 @@ class Versioned:
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def write(self, df: DataFrame, table: str, partition_by: tuple[str, ...] = ()) -> tuple[str, str]:
-        """(folder, schema) of df's rows, as `commit` takes them."""
+    def write(self, df: DataFrame, table: str, partition_by: tuple[str, ...] = (), parts: int = 0) -> tuple[str, str]:
+        """(folder, schema) of df's rows, as `commit` takes them.
+
+        parts: how many parts `partition_by` has at most. A task then keeps a file of each open, in small row groups, and its rows need not be sorted by part.
+        """
         name = f"{table}-{uuid.uuid4().hex}" + PARTED * bool(partition_by)
-        df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(f"{self.root}/{name}")
+        out, before = df.write.partitionBy(*partition_by).option("compression", "zstd"), self.spark.conf.get(WRITERS)
+        self.spark.conf.set(WRITERS, str(2 * parts) if parts else before)  # short of this number Spark falls back to a sort
+        try:
+            (out.options(**OPEN) if parts else out).parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(WRITERS, before)
         return name, df.schema.json()
 
     def part(self, folder: tuple[str, str]) -> DataFrame:

@@ -108,3 +108,22 @@ def test_a_failed_writer_leaves_no_version(spark, tmp_path):
     with pytest.raises(RuntimeError):
         other.commit({"t": other.write(rows, "t")}, "three")
     assert Versioned(spark, f"file://{tmp_path}/s").table("t").agg(F.count(F.lit(1))).first()[0] == 6
+
+
+def test_chunks_are_kept_without_an_index_and_blocks_without_a_sort(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from corvane.plans import adapters
+
+    sorts = []
+    for name in ("sortWithinPartitions", "repartition", "sort", "orderBy"):
+        plain = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, name=name, plain=plain, **k: (sorts.append((name, "entries" in self.columns)), plain(self, *a, **k))[1])
+    monkeypatch.setattr(adapters, "_kept", {})
+    sf_dir = "/root/testdata/sf0.001"
+    assert adapters.kept_chunks(spark, sf_dir).count() == adapters.chunks(spark, sf_dir).count()
+    assert not [k for k in adapters._kept if "index" in k]
+    open_before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    index = adapters.kept_index(spark, sf_dir)
+    assert not [name for name, wide in sorts if wide] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == open_before
+    assert index.store.table("chunks").count() == adapters.kept_chunks(spark, sf_dir).count() and index.totals().count() > 0
