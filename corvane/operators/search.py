@@ -217,32 +217,53 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
 def overlap_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, chunk_id, score: share of the query's tokens that occur anywhere in the chunk's lower-case text, if any do.
 
-    One pass over a chunk finds the tokens of all queries of a block (Aho-Corasick).
+    One pass over a chunk finds the tokens of all queries of a block (Aho-Corasick); the queries' counts of a run of chunks are one sum over
+    (chunk, token, query), and a task holds its own k best a query.
     """
     asked = queries.select(queries["query_id"].cast("bigint").alias("query_id"), X.overlap_tokens(queries["text"]).alias("tokens")).where(F.size("tokens") > 0)
+    rows, out = chunks.select("chunk_id", F.lower("content").alias("text")), None
+    for block in blocks_of(asked, "query_id"):
 
-    def score(block: list, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, float]]:
-        import ahocorasick
+        def run(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            place: dict[str, int] = {}
+            pairs = sorted((place.setdefault(t, len(place)), j) for j, r in enumerate(block) for t in r["tokens"])
+            machine = ahocorasick.Automaton()
+            for t, i in place.items():
+                machine.add_word(t, i)
+            machine.make_automaton()
+            token, query = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+            begins, sizes = np.searchsorted(token, np.arange(len(place) + 1)), np.array([len(r["tokens"]) for r in block])
+            least = np.zeros(len(block))
+            held: dict[int, list[tuple[float, str]]] = {}
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    part = batch.slice(start, 512)
+                    found = [list({i for _, i in machine.iter(t)}) if t else [] for t in part.column(1).to_pylist()]
+                    hit = np.fromiter((i for own in found for i in own), np.int64)
+                    row = np.repeat(np.arange(len(found)), [len(own) for own in found])
+                    asks = begins[hit + 1] - begins[hit]
+                    who = query[np.arange(asks.sum()) - np.repeat(np.cumsum(asks) - asks, asks) + np.repeat(begins[hit], asks)]
+                    counts = np.bincount(np.repeat(row, asks) * len(block) + who, minlength=len(found) * len(block)).reshape(len(found), -1)
+                    scores = np.round(counts / sizes, 12)
+                    good = (scores > 0) & (scores >= least)
+                    names = part.column(0).to_pylist() if good.any() else []
+                    for q in np.flatnonzero(good.any(axis=0)).tolist():
+                        at = np.flatnonzero(good[:, q])
+                        own = sorted([*held.get(q, []), *zip((-scores[at, q]).tolist(), (names[i] for i in at.tolist()))])[:k]
+                        held[q] = own
+                        if len(own) == k:
+                            least[q] = -own[-1][0]
+            flat = [(block[q]["query_id"], chunk, -score) for q, own in held.items() for score, chunk in own]
+            kinds = (pa.int64(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in flat], t) for i, t in enumerate(kinds)], ["query_id", "chunk_id", "score"])
 
-        machine, askers = ahocorasick.Automaton(), {}
-        for r in block:
-            for t in r["tokens"]:
-                askers.setdefault(t, []).append((r["query_id"], len(r["tokens"])))
-        for t in askers:
-            machine.add_word(t, t)
-        machine.make_automaton()
-        sizes = {r["query_id"]: len(r["tokens"]) for r in block}
-        for batch in batches:
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts: dict[int, int] = {}
-                for t in {t for _, t in machine.iter(text)} if text else ():
-                    for q, _ in askers[t]:
-                        counts[q] = counts.get(q, 0) + 1
-                for q, n in counts.items():
-                    yield q, chunk, n / sizes[q]
-
-    rows = chunks.select("chunk_id", F.lower("content").alias("text"))
-    return _best(rows, score, asked, "query_id", k, "string").withColumnRenamed("tie", "chunk_id")
+        part = rows.mapInArrow(run, "query_id bigint, chunk_id string, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return chunks.sparkSession.createDataFrame([], "query_id bigint, rank int, chunk_id string, score double")
+    return top_k(out, k, "score", digits=12).select("query_id", "rank", "chunk_id", "score")
 
 
 def relevant(hits: DataFrame, least: float = 0.30, distance: str = "distance") -> DataFrame:

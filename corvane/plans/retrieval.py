@@ -125,10 +125,20 @@ def k5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last"))
 
 
+#: Hits that are broadcast at most.
+FEW = 1 << 17
+
+
+def _few(hits: DataFrame) -> DataFrame:
+    """hits, written once; where they are few they go to the chunks, so that no text moves for the others."""
+    rows = stored(hits, "hits")
+    return rows.hint("broadcast") if rows.count() <= FEW else rows
+
+
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused hits with content: query_id, position, chunk_id, doc_id, parent_id, content, score, question."""
     c = kept_chunks(spark, sf_dir).select("chunk_id", "doc_id", F.concat("doc_id", F.lit("::parent-0")).alias("parent_id"), "content")
-    hits = _fused(spark, sf_dir).select("query_id", "position", "chunk_id", F.col("rrf").alias("score"))
+    hits = _few(_fused(spark, sf_dir).select("query_id", "position", "chunk_id", F.col("rrf").alias("score")))
     return hits.join(c, "chunk_id").join(questions(spark, sf_dir).withColumnRenamed("text", "question"), "query_id")
 
 
@@ -232,8 +242,9 @@ def d8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j4_hydrate", HITS + " SELECT query_id, chunk_id, content FROM hits")
 def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _fused(spark, sf_dir).select("query_id", "chunk_id", F.lit(" ").alias("content"))
-    return context.hydrate(hits, chunks(spark, sf_dir), default_scope=False).select("query_id", "chunk_id", "content")
+    hits = _few(_fused(spark, sf_dir).select("query_id", "chunk_id", F.lit(" ").alias("content")))
+    met = kept_chunks(spark, sf_dir).join(hits.select("chunk_id"), "chunk_id", "left_semi")
+    return context.hydrate(hits, met, default_scope=False).select("query_id", "chunk_id", "content")
 
 
 PARENTS = HITS + r""", pa AS (SELECT doc_id || '::parent-0' AS parent_id, string_agg(content, ' ' ORDER BY seq) AS content FROM chunks GROUP BY doc_id),
@@ -241,10 +252,11 @@ pr AS (SELECT query_id, parent_id, max(score) AS score, count(*) AS children FRO
 
 
 def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
+    """The hits' parents, whose whole texts are put together for documents with a hit alone."""
+    hits = _few(_hits(spark, sf_dir).withColumn("chunk_type", F.lit("child")))
+    c = kept_chunks(spark, sf_dir).join(hits.select("doc_id"), "doc_id", "left_semi")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "content"))), lambda x: x["content"]), " ")
     wide = c.groupBy("doc_id").agg(text.alias("content")).select(F.concat("doc_id", F.lit("::parent-0")).alias("chunk_id"), "doc_id", "content", X.estimate_tokens(F.col("content")).alias("token_count"))
-    hits = _hits(spark, sf_dir).withColumn("chunk_type", F.lit("child"))
     return context.recall_parents(hits, wide, F.col("score"))
 
 
