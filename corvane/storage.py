@@ -53,6 +53,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def light_batches(spark: SparkSession, at_most: int = 4 << 20) -> None:
+    """Bounds the session's Arrow batches by bytes, where no lower bound is set: ten thousand files at once are more than a worker should hold."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= at_most:
+        spark.conf.set(name, str(at_most))
+
+
 class Versioned:
     """Tables in a shared folder that change together: each is a list of Parquet folders, and a version is one manifest that names them.
 

@@ -110,3 +110,19 @@ def test_sheets_with_gaps_and_a_table_among_paragraphs():
     assert [x[1:] for x in office.docx_elements(_zip({"word/document.xml": body}))] == [("paragraph", None, "before"), ("table_row", None, "x | y"), ("paragraph", None, "after")]
     with pytest.raises(ValueError):
         office.sheet_text(_zip(book | {"xl/one.xml": f'<worksheet xmlns="{main}"><sheetData/></worksheet>'}))
+
+
+def test_office_files_are_read_a_few_at_a_time(spark, monkeypatch):
+    """Ten thousand files and all their elements at once are more than a worker should hold."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        from corvane.plans.layouts import _zip
+
+        raw = _zip({"word/document.xml": f'<w:document xmlns:w="{office.WORD[1:-1]}"><w:body><w:p><w:r><w:t>said</w:t></w:r></w:p></w:body></w:document>'})
+        rows = spark.createDataFrame([(f"f{i}", "docx", bytearray(raw)) for i in range(70)], "path string, ext string, content binary").coalesce(1)
+        assert sorted(r["path"] for r in office.elements(rows).where("text = 'said'").collect()) == sorted(f"f{i}" for i in range(70))
+        assert spark.conf.get(name) == str(4 << 20) and office.FILES < 70
+    finally:
+        spark.conf.set(name, before)
