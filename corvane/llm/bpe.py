@@ -21,6 +21,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import pairwise
 from pathlib import Path
 
 import pyarrow as pa
@@ -60,11 +61,13 @@ class PairTree:
     """A minimum segment tree over (rank, place), packed into one integer a node."""
 
     def __init__(self, ranks: list[int]) -> None:
-        self.size = 1 << max(0, (len(ranks) - 1).bit_length())
-        packed = [r if r == NONE else r << 32 | i for i, r in enumerate(ranks)]
-        self.node = [NONE] * self.size + packed + [NONE] * (self.size - len(packed))
-        for i in range(self.size - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
+        n = self.size = len(ranks)
+        node = self.node = [NONE] * n + [r if r == NONE else r << 32 | i for i, r in enumerate(ranks)]
+        for i in range(n - 1, 0, -1):
+            a, b = node[2 * i], node[2 * i + 1]
+            node[i] = a if a < b else b
+        if not n:
+            node.extend((NONE, NONE))
 
     def root(self) -> int:
         return self.node[1]
@@ -74,7 +77,8 @@ class PairTree:
         node[i] = rank if rank == NONE else rank << 32 | place
         while i > 1:
             i >>= 1
-            low = min(node[2 * i], node[2 * i + 1])
+            a, b = node[2 * i], node[2 * i + 1]
+            low = a if a < b else b
             if node[i] == low:
                 return
             node[i] = low
@@ -104,8 +108,8 @@ class WordBpe:
         self.careful = regex.compile("(?V1)" + split.replace(r"\p{L}", rf"[\p{{L}}--[{late}]]").replace(r"\p{N}", rf"[\p{{N}}--[{late}]]")).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.letters = byte_alphabet()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.held = 0
 
     def symbols(self, piece: str) -> list[int]:
@@ -120,7 +124,10 @@ class WordBpe:
             return ids
         pair = self.merge.get
         none = (NONE, 0)
-        tree = PairTree([pair((ids[i], ids[i + 1]), none)[0] for i in range(n - 1)])
+        ranks = [pair(two, none)[0] for two in pairwise(ids)]
+        if min(ranks) == NONE:
+            return ids
+        tree = PairTree(ranks)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         ids = list(ids)
         while (low := tree.root()) != NONE:
@@ -140,14 +147,14 @@ class WordBpe:
                 tree.put(h, pair((ids[h], ids[i]), none)[0])
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> bytes:
-        """The ids of a piece as little-endian unsigned 32-bit integers."""
+    def piece(self, piece: str) -> tuple[bytes, str]:
+        """The ids of a piece as little-endian unsigned 32-bit integers, and their tokens joined by blanks."""
         got = self.known.get(piece)
         if got is None:
             got = self.older.get(piece)
             if got is None:
                 ids = self.merged(self.symbols(piece))
-                got = struct.pack(f"<{len(ids)}I", *ids)
+                got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
             if self.held + len(piece) > CACHE_CHARS:
                 self.older, self.known = self.known, {}
                 self.held = 0
@@ -155,12 +162,12 @@ class WordBpe:
             self.held += len(piece)
         return got
 
-    def packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
+    def parts(self, text: str) -> list[tuple[bytes, str]]:
+        """What `piece` says of each piece of a text, added tokens included."""
+        out: list[tuple[bytes, str]] = []
         for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
             if k % 2:
-                out.append(struct.pack("<I", self.added[part]))
+                out.append((struct.pack("<I", self.added[part]), self.token[self.added[part]]))
             elif part:
                 pieces = self.pieces
                 if not part.isascii():
@@ -174,7 +181,11 @@ class WordBpe:
                         got = make(p)
                         get = self.known.get
                     out.append(got)
-        return b"".join(out)
+        return out
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join([ids for ids, _ in self.parts(text)])
 
     def encode(self, text: str) -> list[int]:
         packed = self.packed(text)
@@ -186,8 +197,8 @@ class WordBpe:
         return " ".join([token[i] for i in ids if i in token])
 
     def digests(self, text: str) -> tuple[int, str, str]:
-        packed = self.packed(text)
-        said = self.decode(struct.unpack(f"<{len(packed) // 4}I", packed))
+        parts = self.parts(text)
+        packed, said = b"".join([ids for ids, _ in parts]), " ".join([said for ids, said in parts if ids])
         return len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest()
 
 

@@ -339,3 +339,17 @@ def test_automaton(passages, text, window):
     for doc in range(len(passages) + 1):
         want = [k for k in range(len(text) - window + 1) if first.get(tuple(text[k : k + window]), doc) < doc]
         assert machine.repeats(text, window, doc) == want
+
+
+def test_bpe_digests_are_those_of_its_ids_and_tokens():
+    import hashlib
+    import struct
+
+    import public_tokenizers
+
+    coder = bpe.WordBpe(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    for text in ("", " ", "a b  c\nd", "It's 2024, isn't it? \u00e9\u03a3 \u4e2d\u6587 \U0001f600 \x00", "x" * 300, *[f"{t} and{t}{t}" for t in coder.added]):
+        ids = coder.encode(text)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        assert coder.digests(text) == (len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(coder.decode(ids).encode()))
+        assert " ".join(said for own, said in coder.parts(text) if own) == coder.decode(ids)
