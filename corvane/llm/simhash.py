@@ -33,6 +33,7 @@ from corvane.llm.components import labels
 #: Classes on which the routing tree is shaped at most (16 for each shard), classes aimed at in a shard, and points compared with each other in a block.
 SAMPLE, SHARD, PACK = 1 << 20, 1024, 128
 HASH_SEED = 42
+SENT = 1 << 20  # ids that are broadcast at most
 U64 = np.uint64
 
 
@@ -43,13 +44,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     line, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) <= shingle:
         hashes = digest(line, HASH_SEED)
-        n = 1
     else:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         n = len(words) - shingle + 1
         hashes = b"".join([digest(line[a:b], HASH_SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)])
-    total = np.zeros(64, np.int64)
+    return majority(hashes)
+
+
+def majority(hashes: bytes) -> int:
+    """The fingerprint of big-endian 64-bit hashes: a bit is 1 if it is set in over half of them."""
+    n, total = len(hashes) // 8, np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         bits = np.unpackbits(np.frombuffer(hashes[8 * at : 8 * (at + (1 << 16))], np.uint8)).reshape(-1, 64)
         total += bits.sum(axis=0, dtype=np.uint32)
@@ -174,14 +179,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long"), "fingerprints")
 
 
-def classes(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """(fp, label, component_id) of every distinct fingerprint of (id, fp) rows."""
-    spark = fps.sparkSession
-    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
+def tree_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """(a, b) fingerprints that join up all that lie within `radius` of each other, found by vantage-point trees. distinct: a stored table of distinct fp."""
     margin, n = (radius + 1) // 2, distinct.count()
     leaves = max(1, min(n // SHARD, SAMPLE // 16))
     sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(max(4096, 16 * leaves)).select("fp").toArrow()["fp"].to_numpy()
-    sent = spark.sparkContext.broadcast(grow(sample.astype(np.int64).view(U64), leaves, margin)[0])  # at most SAMPLE / 16 leaves
+    sent = distinct.sparkSession.sparkContext.broadcast(grow(sample.astype(np.int64).view(U64), leaves, margin)[0])  # at most SAMPLE / 16 leaves
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +198,13 @@ def classes(fps: DataFrame, radius: int = 2) -> DataFrame:
         moved = label != np.arange(len(points))
         return pd.DataFrame({"a": points[moved], "b": points[label[moved]]})
 
-    shards = distinct.select("fp").mapInArrow(deal, "leaf int, fp long")
-    node_label = labels(shards.groupBy("leaf").applyInPandas(within, "a long, b long"))
+    return distinct.select("fp").mapInArrow(deal, "leaf int, fp long").groupBy("leaf").applyInPandas(within, "a long, b long")
+
+
+def classes(fps: DataFrame, radius: int = 2) -> DataFrame:
+    """(fp, label, component_id) of every distinct fingerprint of (id, fp) rows."""
+    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
+    node_label = labels(tree_links(distinct, radius))
     linked = distinct.join(node_label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     linked = stored(linked, "simhash-linked")
     least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -219,13 +227,17 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def kept_of(docs: DataFrame, fps: DataFrame, known: DataFrame, mark: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
     """docs with one document of each component, given (id, fp) rows, every fp's (label, component_id), and how a text is marked with its fp."""
     judged = stored(fps.join(known.hint("shuffle_hash"), "fp").select("id", "label", "component_id"), "simhash-kept")
-    times, own_fp, own_label = (unused(docs, x) for x in ("corvane_n", "corvane_fp", "corvane_label"))
-    keep = judged.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("times"))
-    rows = docs.join(keep.hint("shuffle_hash"), docs[id_col] == keep["id"]).select(*[docs[c] for c in docs.columns], keep["times"].alias(times))
-    if keep.where("times > 1").isEmpty():
+    times, own_fp, own_label, own_id = (unused(docs, x) for x in ("corvane_n", "corvane_fp", "corvane_label", "corvane_id"))
+    odd = stored(judged.where("id IS NOT NULL").groupBy("id").agg(F.count_if(F.col("id") == F.col("component_id")).alias("times")).where("times <> 1"), "simhash-odd")
+    more = not odd.where("times > 1").isEmpty()
+    if not more and odd.count() <= SENT:  # the texts stay where they lie
+        out = docs.where(docs[id_col].isNotNull()).join(odd.select(F.col("id").alias(own_id)).hint("broadcast"), docs[id_col] == F.col(own_id), "left_anti")
+    else:
+        keep = judged.where("id = component_id").groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+        rows = docs.join(keep.hint("shuffle_hash"), docs[id_col] == keep["id"]).select(*[docs[c] for c in docs.columns], keep["times"].alias(times))
         out = rows.drop(times)
-    else:  # repeated rows of one id
-        out = rows.where(F.col(times) == 1).unionByName(rows.where(F.col(times) > 1).dropDuplicates([id_col])).drop(times)
+        if more:  # repeated rows of one id
+            out = rows.where(F.col(times) == 1).unionByName(rows.where(F.col(times) > 1).dropDuplicates([id_col])).drop(times)
     if judged.where("component_id IS NULL").isEmpty():
         return out
     # components without any id keep the first of their texts

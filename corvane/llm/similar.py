@@ -1,20 +1,20 @@
-"""Near copies by exact shingle similarity: every pair of texts whose sets of five-word shingles have a Jaccard similarity of 0.8.
-
-1. A text's shingles are hashed to 64 bits; equal sets are one class.
-2. Shingles have one global order: rare ones first, those that a sample of the corpus shows in several texts last. Two sets of
-   similarity s share a shingle among the first n - ceil(s * n) + 1 of each, so pairs are looked for among these alone and none is
-   missed. The sample (`SAMPLE` texts, `COMMON` shingles) only orders; it never decides a link.
-3. A shared shingle at places i and j of two ordered sets leaves them 1 + min(n1 - i - 1, n2 - j - 1) shingles to share at most; pairs
-   for which that or their sizes rule the similarity out are no candidates.
-4. Each class first meets the `PIVOTS` smallest classes of each of its shared shingles, so a group of copies joins up in as many
-   pairs as it has rows. What then stands in other components than most of a shingle's classes meets all of them.
-5. Every class has a sketch of `BITS` parities: bit k tells whether an odd number of its shingles hash to k. The sketches of two sets
-   differ in no more bits than their symmetric difference has shingles, and similar sets differ in (n1 + n2) / 9 at most, so this
-   drops candidates and never a link. What is left is verified on whole sets, read again from the texts.
-   Components come from DataFrame steps.
-
-No Hamming radius stands between a pair and its test: at 0.8 fingerprints of 64 bits differ in about 10 bits, with a wide spread,
-and a radius that holds them all sends nearly every class to nearly every leaf of a vantage-point tree.
+"""SimHash near-duplicates whose links are verified: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+1. A text's shingles are hashed to 64 bits; equal sets are one class, and every class has a SimHash fingerprint: the majority of each
+   bit over its shingles' hashes.
+2. Classes with one fingerprint meet its smallest class, and the fingerprints meet in vantage-point trees (`simhash.tree_links`, `RADIUS`
+   bits). These candidates are verified on whole sets, read again from the texts; their components are groups from here on.
+3. At a similarity of 0.8 fingerprints differ in about 10 of 64 bits, with a wide spread, and a radius that holds them all sends nearly
+   every class to nearly every leaf of a tree. So what the radius leaves out is found between the groups, exactly. Shingles have one global
+   order: rare ones first, those that a sample of the corpus shows in several texts last. Two sets of similarity s share a shingle among
+   the first n - ceil(s * n) + 1 of each, so pairs are looked for among these alone and none is missed. The sample (`SAMPLE` texts,
+   `COMMON` shingles) only orders; it never decides a link.
+4. A shared shingle at places i and j of two ordered sets leaves them 1 + min(n1 - i - 1, n2 - j - 1) shingles to share at most, and
+   every class has a sketch of `BITS` parities: bit k tells whether an odd number of its shingles hash to k. The sketches of two sets
+   differ in no more bits than their symmetric difference has shingles, and similar sets differ in (n1 + n2) / 9 at most. Pairs that
+   either rules out are no candidates; no link is dropped by it.
+5. Each class first meets the `PIVOTS` smallest classes of each of its shared shingles that are in other groups. What then stands in other
+   components than most of a shingle's classes meets all of them. Components come from DataFrame steps.
 
 Defined results are those of `simhash.drop_near_copies`.
 """
@@ -22,6 +22,8 @@ Defined results are those of `simhash.drop_near_copies`.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,12 +34,11 @@ from pyspark.sql import functions as F
 
 from corvane.llm._common import discarded, freed, light_batches, stored
 from corvane.llm.components import labels
-from corvane.llm.simhash import HASH_SEED, kept_of
+from corvane.llm.simhash import HASH_SEED, SENT, kept_of, majority, tree_links
 
 SHINGLE, NUM, DEN = 5, 4, 5  # words; similarity NUM / DEN
 SAMPLE, COMMON, PIVOTS = 8192, 65536, 8
-SENT = 1 << 20  # ids and classes that are broadcast at most
-BITS = 512
+BITS, RADIUS = 512, 2
 
 
 def grams(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -101,7 +102,7 @@ def sketch(own: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A stored table of (id, fp, n, prefix, sketch); fp names the set."""
+    """A stored table of (id, fp, sim, n, prefix, sketch); fp names the set, sim is its SimHash fingerprint."""
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(common_grams(docs, text_col))  # at most COMMON shingles
 
@@ -111,10 +112,11 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 own = [grams(t) for t in part.column(1).to_pylist()]
-                cols = [pa.array([key_of(g) for g in own], pa.int64()), pa.array(list(map(len, own)), pa.int64()), _lists([prefix(g, common, rank) for g in own]), _lists([sketch(g) for g in own])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["id", "fp", "n", "prefix", "sketch"])
+                sims = np.array([majority(g.astype(">i8").tobytes()) for g in own], np.uint64).view(np.int64)
+                cols = [pa.array([key_of(g) for g in own], pa.int64()), pa.array(sims), pa.array(list(map(len, own)), pa.int64()), _lists([prefix(g, common, rank) for g in own]), _lists([sketch(g) for g in own])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["id", "fp", "sim", "n", "prefix", "sketch"])
 
-    return stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long, n long, prefix array<long>, sketch array<long>"), "shingle-sets")
+    return stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long, sim long, n long, prefix array<long>, sketch array<long>"), "shingle-sets")
 
 
 def whole_sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -141,8 +143,7 @@ def verified(pairs: DataFrame, sets: DataFrame, read: Callable[[DataFrame], Data
     """The (a, b) pairs whose whole sets are similar, stored."""
     own = sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("bits"), F.min("id").alias("id"))
     side = lambda x: own.select(F.col("fp").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x), F.col("id").alias("id" + x))
-    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where((NUM + DEN) * apart <= (DEN - NUM) * (F.col("na") + F.col("nb")))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_close("bitsa", "bitsb", "na", "nb"))
     near = stored(near.select("a", "b", "ida", "idb"), "shingle-near")
     need = stored(near.select("a", "ida").union(near.select("b", "idb")).toDF("fp", "id").distinct(), "shingle-asked")
     grams_of = read(need)
@@ -153,32 +154,55 @@ def verified(pairs: DataFrame, sets: DataFrame, read: Callable[[DataFrame], Data
     return out
 
 
+def simhash_pairs(sets: DataFrame) -> DataFrame:
+    """A stored table of (a, b), a < b: classes of one fingerprint with its smallest class, and those that the vantage-point trees join up."""
+    points = stored(sets.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("class")), "simhash-points")
+    near = tree_links(points, RADIUS).alias("l")
+    ends = lambda x: points.select(F.col("fp").alias(x), F.col("class").alias("class" + x))
+    far = near.join(ends("a"), "a").join(ends("b"), "b").select("classa", "classb")
+    same = sets.join(points.select(F.col("fp").alias("sim"), "class"), "sim").select("fp", "class").where("fp <> class")
+    return stored(far.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-pairs")
+
+
 def similar_pairs(sets: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A stored table of (a, b): links between similar classes that join all that belong together."""
-    rows = sets.select("fp", "n", F.posexplode("prefix").alias("i", "s"))
-    several = rows.groupBy("s").count().where("count > 1").select("s")
-    shared = stored(rows.join(several.hint("merge"), "s").distinct(), "shingle-shared")
+    """A table of (a, b): links between similar classes that join all that belong together."""
+    by_print = simhash_pairs(sets)
+    edges = verified(by_print, sets, read)
+    group = labels(edges).select(F.col("node").alias("fp"), F.col("label").alias("g"))
+    grouped = sets.select("fp", "n", "prefix").join(group.hint("broadcast" if group.count() <= SENT else "shuffle_hash"), "fp", "left")
+    rows = grouped.select("fp", "n", F.coalesce("g", "fp").alias("g"), F.posexplode("prefix").alias("i", "s"))
+    freed(sets.sparkSession)
+    own = Window.partitionBy("s")
+    several = rows.withColumns({"low": F.min("g").over(own), "high": F.max("g").over(own)}).where("low < high")
+    shared = stored(several.groupBy("s", "fp").agg(*[F.first(c).alias(c) for c in ("n", "i", "g")]), "shingle-shared")
     freed(sets.sparkSession)
-    pivot = shared.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("fp"))).where(F.col("k") <= PIVOTS)
+    sketches = sets.groupBy("fp").agg(F.first("sketch").alias("bits"))
+    shared = stored(shared.join(sketches, "fp"), "shingle-shared")
+    pivot = shared.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("fp"))).where(F.col("k") <= PIVOTS).drop("k")
     met = stored(_meeting(shared, pivot).distinct(), "shingle-pairs")
-    edges = verified(met, sets, read)
+    edges = edges.union(verified(met, sets, read))
     crowded = shared.groupBy("s").count().where(F.col("count") > PIVOTS).select("s")
-    own = shared.join(crowded, "s").join(labels(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("g", F.coalesce("label", "fp")).drop("label")
-    most = own.groupBy("s", "g").count().groupBy("s").agg(F.max_by("g", F.struct("count", "g")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    own = stored(own.join(most, "s").drop("parts"), "shingle-apart")
-    rest = _meeting(own, own.where("g <> most"), F.col("g") != F.col("g2")).distinct()
-    rest = stored(rest.join(met, ["a", "b"], "left_anti"), "shingle-pairs")
+    now = shared.drop("g").join(crowded, "s").join(labels(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("g", F.coalesce("label", "fp")).drop("label")
+    most = now.groupBy("s", "g").count().groupBy("s").agg(F.max_by("g", F.struct("count", "g")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    now = stored(now.join(most, "s").drop("parts"), "shingle-apart")
+    rest = stored(_meeting(now, now.where("g <> most")).distinct().join(met, ["a", "b"], "left_anti"), "shingle-pairs")
     more = verified(rest, sets, read)
-    discarded(shared, met, own, rest)
+    discarded(by_print, shared, met, now, rest)
     return edges.union(more)
 
 
-def _meeting(all_: DataFrame, some: DataFrame, also: Column | None = None) -> DataFrame:
-    """(a, b), a < b: the pairs of `all_` and `some` that share a shingle, at places and with sizes that allow the similarity."""
-    other = some.select("s", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("i").alias("i2"), *([F.col("g").alias("g2")] if also is not None else []))
+def _close(x: str, y: str, n: str, n2: str) -> Column:
+    """Whether two sketches allow that sets of these sizes are similar."""
+    apart = reduce(add, [F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(BITS // 64)])
+    return (NUM + DEN) * apart <= (DEN - NUM) * (F.col(n) + F.col(n2))
+
+
+def _meeting(all_: DataFrame, some: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of `all_` and `some` in two groups that share a shingle, at places and with sizes and sketches that allow the similarity."""
+    other = some.select("s", *[F.col(c).alias(c + "2") for c in ("fp", "n", "i", "g", "bits")])
     left = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))  # the shared one and what may follow it
-    fits = (F.col("fp") != F.col("fp2")) & ((NUM + DEN) * left >= NUM * (F.col("n") + F.col("n2")))
-    pairs = all_.join(other, "s").where(fits if also is None else fits & also)
+    fits = (F.col("g") != F.col("g2")) & ((NUM + DEN) * left >= NUM * (F.col("n") + F.col("n2")))
+    pairs = all_.join(other, "s").where(fits & _close("bits", "bits2", "n", "n2"))
     return pairs.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"))
 
 

@@ -65,3 +65,20 @@ def test_stage_drops_near_copies_beyond_two_bits(spark):
 def test_rows_without_id(spark):
     rows = [(None, "a b c d e f", "en", "s", 1), (None, "A b c d e f", "en", "s", 1), (4, "g h", "en", "s", 1), (4, "g h", "en", "s", 1), (5, None, "en", "s", 1), (6, "", "en", "s", 1)]
     assert sorted(str(r["doc_id"]) for r in similar.drop_similar(spark.createDataFrame(rows, DOCS)).collect()) == ["4", "5", "None"]
+
+
+def test_fingerprints_in_trees_link_without_shared_shingles(spark, monkeypatch):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k + 1, " ".join([*words, f"last{k}"]), "en", "s", 1) for k in range(40)] + [(90, "quite another text of some words", "en", "s", 1)]
+    docs, met = spark.createDataFrame(rows, DOCS), []
+    meeting = similar._meeting
+    monkeypatch.setattr(similar, "_meeting", lambda *sides: met.append(meeting(*sides).count()) or meeting(*sides).limit(0))
+    assert sorted(r["doc_id"] for r in similar.drop_similar(docs).collect()) == [1, 90]
+    assert met == [0, 0]  # what fingerprints have joined up is not compared again
+
+
+def test_texts_stay_where_they_lie(spark):
+    rows = [(k, "a b c d e f g" if k % 2 else f"text number {k} of its own words", "en", "s", 1) for k in range(1, 9)]
+    kept = similar.drop_similar(spark.createDataFrame(rows, DOCS))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 6, 8]
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
