@@ -2,12 +2,14 @@
 
 A span's own time is its duration less the union of its children's intervals, by a running maximum over siblings. What goes up or down the tree is
 found by pointer jumping: each round replaces a span's pointer by its pointer's pointer, adds what it points over, and hands its sum to the span it pointed at. So a
-tree of any shape takes as many joins as the logarithm of its depth, and a span with very many children is an aggregate like any other.
+tree of any shape takes as many rounds as the logarithm of its depth, and a span with very many children is an aggregate like any other.
+
+Spans move once, to their trace's partition. There every span stands in its own family and in its parent's, and windows over families say what a join would.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from corvane.storage import stored
@@ -17,35 +19,77 @@ ID = ["trace_id", "span_id"]
 CURRENT = (("running",), ("pending", "failed"))
 
 
+def _families(rows: DataFrame, up: str, carried: list[str], own: list[str]) -> DataFrame:
+    """trace_id, family, child, `carried` and own: every span as the head of its family (child is null, own holds its columns), and as a child in that of `up`, if it has one."""
+    kept, fields = F.struct(*own), [F.col(c).alias(c) for c in carried]
+    head = F.struct(F.col("span_id").alias("family"), F.lit(None).cast("string").alias("child"), *fields, kept.alias("own"))
+    child = F.struct(F.col(up).alias("family"), F.col("span_id").cast("string").alias("child"), *fields, F.when(F.lit(False), kept).alias("own"))
+    return rows.select("trace_id", F.explode(F.array(head, child)).alias("r")).select("trace_id", "r.*").where("family IS NOT NULL")
+
+
+def _roles() -> tuple[WindowSpec, Column, Column]:
+    """A family, whether a row is its head, and the span that a row speaks of."""
+    return Window.partitionBy("trace_id", "family"), F.col("child").isNull(), F.coalesce("child", "family").alias("span_id")
+
+
+def _pointed(spans: DataFrame) -> DataFrame:
+    """trace_id, span_id, own (all columns of spans), covered, up (a parent that is there), depth (1 below a parent, else 0) and critical (last among its siblings)."""
+    family, is_head, span = _roles()
+    rows = _families(spans.repartition("trace_id"), "parent_id", ["started", "finished"], spans.columns)
+    head = lambda c: F.max(F.when(is_head, F.col(c))).over(family)
+    last = F.min(F.when(~is_head, F.struct(-F.col("finished"), F.col("child").alias("child")))).over(family)
+    rows = rows.withColumns({"low": head("started"), "high": head("finished"), "there": F.max(is_head).over(family), "last": last["child"] == F.col("child")})
+    a, b = F.greatest("started", "low"), F.least("finished", "high")
+    inside = ~is_head & F.col("there") & (b > a)
+    rows = rows.withColumns({"a": F.when(inside, a), "b": F.when(inside, b)})
+    before = family.orderBy("a", "b", "child").rowsBetween(Window.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("b") - F.greatest(F.col("a"), F.coalesce(F.max("b").over(before), F.col("a"))))
+    rows = rows.withColumn("new", F.when(F.col("a").isNotNull(), new)).withColumn("covered", F.sum("new").over(family))
+    below = ~is_head & F.col("there")
+    return rows.groupBy("trace_id", span).agg(
+        F.first("own", True).alias("own"),
+        F.max(F.when(is_head, F.col("covered"))).alias("covered"),
+        F.max(F.when(below, F.col("family"))).alias("up"),
+        F.max(F.when(below, 1).otherwise(0)).alias("depth"),
+        F.bool_and(~below | F.col("last")).alias("critical"),
+    )
+
+
+def _timed(rows: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    duration = F.col("own.finished") - F.col("own.started")
+    return rows.select(*[F.col("own")[c].alias(c) for c in columns], duration.alias("duration"), (duration - F.coalesce("covered", F.lit(0))).alias("own_time"), *more)
+
+
 def own_times(spans: DataFrame) -> DataFrame:
     """Adds duration and own_time. spans: trace_id, span_id, parent_id, started, finished (numbers). A child counts as far as it lies within its parent."""
-    parent = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.col("started").alias("low"), F.col("finished").alias("high"))
-    inside = spans.select("trace_id", "parent_id", "span_id", "started", "finished").join(parent, ["trace_id", "parent_id"])
-    inside = inside.select("trace_id", "parent_id", "span_id", F.greatest("started", "low").alias("a"), F.least("finished", "high").alias("b")).where("b > a")
-    before = Window.partitionBy("trace_id", "parent_id").orderBy("a", "b", "span_id").rowsBetween(Window.unboundedPreceding, -1)
-    new = F.greatest(F.lit(0), F.col("b") - F.greatest(F.col("a"), F.coalesce(F.max("b").over(before), F.col("a"))))
-    covered = inside.withColumn("new", new).groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("new").alias("covered"))
-    duration = F.col("finished") - F.col("started")
-    return spans.join(covered, ID, "left").withColumn("duration", duration).withColumn("own_time", duration - F.coalesce("covered", F.lit(0))).drop("covered")
+    return _timed(_pointed(spans), spans.columns)
+
+
+def _jumped(rows: DataFrame) -> DataFrame:
+    """One round of pointer jumping over what `trees` keeps of each span."""
+    family, is_head, span = _roles()
+    rows = _families(rows, "up", ["up", "depth", "critical", "spans", "total_own_time"], ["own", "covered"])
+    head = lambda c: F.max(F.when(is_head, F.col(c))).over(family).alias(c)
+    handed = lambda c: F.when(is_head, F.col(c) + F.coalesce(F.sum(F.when(~is_head, F.col(c))).over(family), F.lit(0))).alias(c)
+    rows = rows.select("trace_id", "family", "child", "own", head("up"), head("depth"), head("critical"), handed("spans"), handed("total_own_time"))
+    sums = [F.sum("depth").cast("int").alias("depth"), F.bool_and("critical").alias("critical"), F.sum("spans").alias("spans"), F.sum("total_own_time").alias("total_own_time")]
+    rows = rows.groupBy("trace_id", span).agg(F.first("own", True)["own"].alias("own"), F.first(F.when(is_head, F.col("own.covered")), True).alias("covered"), F.max(F.when(~is_head, F.col("up"))).alias("up"), *sums)
+    return rows.select(*ID, "own", "covered", "up", "depth", "critical", "spans", "total_own_time")
 
 
 def trees(spans: DataFrame) -> DataFrame:
-    """Adds depth, spans and total_own_time (of the span and all below it), and critical: whether the span ends last among its siblings, as do all above it.
+    """Adds duration, own_time, depth, spans and total_own_time (of the span and all below it), and critical: whether the span ends last among its siblings, as do all above it.
 
-    spans: what own_times gives. Parents must be there; a span whose parent is not there is a root.
+    spans: what own_times takes or gives. A span whose parent is not there is a root.
     """
-    there = spans.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("there"))
-    last = Window.partitionBy("trace_id", "parent_id").orderBy(F.desc("finished"), "span_id")
-    rows = spans.select(*ID, "parent_id", "finished", "own_time").join(there, ["trace_id", "parent_id"], "left")
-    is_last = F.col("there").isNull() | (F.row_number().over(last) == 1)
-    rows = rows.select(*ID, F.when(F.col("there"), F.col("parent_id")).alias("up"), F.when(F.col("there"), 1).otherwise(0).alias("depth"), is_last.alias("critical"), F.lit(1).cast("bigint").alias("spans"), F.col("own_time").alias("total_own_time"))
-    rows = stored(rows, "trace-pointers")
-    while not rows.where("up IS NOT NULL").isEmpty():
-        handed = rows.where("up IS NOT NULL").groupBy("trace_id", F.col("up").alias("span_id")).agg(F.sum("spans").alias("more"), F.sum("total_own_time").alias("more_time"))
-        above = rows.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("critical").alias("critical2"))
-        next_ = rows.join(handed, ID, "left").join(above, ["trace_id", "up"], "left")
-        rows = stored(next_.select(*ID, F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("critical") & F.coalesce("critical2", F.lit(True))).alias("critical"), (F.col("spans") + F.coalesce("more", F.lit(0))).alias("spans"), (F.col("total_own_time") + F.coalesce("more_time", F.lit(0))).alias("total_own_time")), "trace-pointers")
-    return spans.join(rows.drop("up"), ID)
+    spans = spans.drop("duration", "own_time")
+    first = _pointed(spans)
+    own_time = F.col("own.finished") - F.col("own.started") - F.coalesce("covered", F.lit(0))
+    rows = first.select(*ID, "own", "covered", "up", "depth", "critical", F.lit(1).cast("bigint").alias("spans"), own_time.alias("total_own_time"))
+    rows = stored(_jumped(_jumped(rows)), "trace-pointers")
+    while not rows.where("up IS NOT NULL").isEmpty():  # deeper than four levels
+        rows = stored(_jumped(rows.repartition("trace_id")), "trace-pointers")
+    return _timed(rows, spans.columns, "depth", "critical", "spans", "total_own_time")
 
 
 def report(rows: DataFrame) -> DataFrame:

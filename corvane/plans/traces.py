@@ -68,17 +68,18 @@ def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
 def order_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer is a trace, its orders are spans below it, their lines below them; times are days."""
     day = lambda c: F.unix_date(F.col(c).cast("date")).cast("bigint")
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.concat(F.lit("line-"), F.col("l_linenumber").cast("string")).alias("name"), day("l_shipdate").alias("started"), (day("l_shipdate") + F.col("l_linenumber") % 4 * 9).alias("finished"), F.col("l_linenumber").alias("n"))
-    items = items.groupBy("o", "n", "name").agg(F.min("started").alias("started"), F.max("finished").alias("finished"))
-    ends = items.groupBy("o").agg(F.max("finished").alias("ends"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), day("l_shipdate").alias("started"), (day("l_shipdate") + F.col("l_linenumber") % 4 * 9).alias("finished"), F.col("l_linenumber").alias("n"))
+    items = items.repartition("o").groupBy("o", "n").agg(F.min("started").alias("started"), F.max("finished").alias("finished"))
+    lines = items.groupBy("o").agg(F.max("finished").alias("ends"), F.collect_list(F.struct("n", "started", "finished")).alias("lines"))  # an order has a handful of them
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").cast("string").alias("trace_id"), day("o_orderdate").alias("started"), F.col("o_orderstatus").alias("name"))
-    orders = orders.join(ends, "o", "left").select("o", "trace_id", "name", "started", F.greatest(F.coalesce("ends", F.col("started")), F.col("started") + 1).alias("finished"))
-    key = lambda *c: F.concat_ws("-", *[F.col(x).cast("string") for x in c])
+    orders = orders.join(lines.hint("merge"), "o", "left").select(F.col("o").cast("string").alias("o"), "trace_id", "name", "started", F.greatest(F.coalesce("ends", F.col("started")), F.col("started") + 1).alias("finished"), "lines")
+    span = lambda *c: F.struct(*[x.alias(y) for x, y in zip(c, ("span_id", "parent_id", "name", "started", "finished"), strict=True)])
+    own = span(F.col("o"), F.lit("root"), F.col("name"), F.col("started"), F.col("finished"))
+    line = lambda x: span(F.concat_ws("-", F.col("o"), x["n"].cast("string")), F.col("o"), F.concat(F.lit("line-"), x["n"].cast("string")), x["started"], x["finished"])
+    below = F.when(F.col("lines").isNull(), F.array(own)).otherwise(F.concat(F.array(own), F.transform("lines", line)))
     roots = orders.groupBy("trace_id").agg(F.min("started").alias("started"), F.max("finished").alias("finished"))
-    columns = ["trace_id", "span_id", "parent_id", "name", "started", "finished"]
-    lines = items.join(orders.select("o", "trace_id"), "o").withColumns({"span_id": key("o", "n"), "parent_id": F.col("o").cast("string")})
-    out = roots.withColumns({"span_id": F.lit("root"), "parent_id": F.lit(None).cast("string"), "name": F.lit("customer")}).select(*columns)
-    return out.unionByName(orders.withColumns({"span_id": F.col("o").cast("string"), "parent_id": F.lit("root")}).select(*columns)).unionByName(lines.select(*columns))
+    roots = roots.select("trace_id", F.lit("root").alias("span_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("customer").alias("name"), "started", "finished")
+    return roots.unionByName(orders.select("trace_id", F.explode(below).alias("r")).select("trace_id", "r.*"))
 
 
 SPANS = """i AS (SELECT l_orderkey AS o, l_linenumber AS n, min(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS started, max(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + l_linenumber % 4 * 9) AS finished FROM lineitem GROUP BY l_orderkey, l_linenumber),
@@ -105,5 +106,5 @@ def m25_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kept_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    build = lambda: stored(tracing.trees(stored(tracing.own_times(stored(order_spans(spark, sf_dir), "trace-spans")), "trace-own")), "trace-trees")
-    return once(spark, sf_dir, ("orders", "lineitem"), "trees", build)
+    """Every span of the orders, in its tree."""
+    return once(spark, sf_dir, ("orders", "lineitem"), "trees", lambda: tracing.trees(order_spans(spark, sf_dir)))

@@ -58,3 +58,9 @@ def test_current_stage(spark):
     rows = [("t", 1, "load", "done"), ("t", 2, "index", "failed"), ("t", 3, "post", "running"), ("u", 1, "load", "failed"), ("u", 2, "index", "pending"), ("v", 1, "load", "done")]
     got = tracing.current_stage(spark.createDataFrame(rows, "trace_id string, ord int, name string, status string"))
     assert {r["trace_id"]: r["stage"] for r in got.collect()} == {"t": "post", "u": "load", "v": None}
+
+
+def test_spans_move_once(spark):
+    rows = [("t", "r", None, "root", 0, 100), ("t", "a", "r", "load", 0, 40), ("t", "b", "a", "index", 5, 20)]
+    moved = tracing.own_times(spark.createDataFrame(rows, SPAN))._jdf.queryExecution().executedPlan().toString()
+    assert moved.count("Exchange hashpartitioning") == 1
