@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.operators.fusion import flat
+from corvane.storage import light_batches
 
 SHORT, LONG = 240, 1200
+DOCUMENTS = 64  # whose chunks a worker walks at once
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, default_scope: bool) -> DataFrame:
@@ -68,37 +73,54 @@ def batches(rows: DataFrame, limit: int, key: str = "id", order: str = "seq", si
     return sliced.select(key, F.col("b.at").alias(order), "batch")
 
 
+def _widened(lengths: list[int], i: int, short: int, long: int) -> tuple[int, int]:
+    """First and last sibling that chunk i takes in, by turns before and after, until they have `short` characters together."""
+    left, right, size = i, i, lengths[i]
+    while size < short:
+        grew = False
+        if left > 0:
+            left, grew = left - 1, True
+            size += lengths[left] + 2 * bool(size and lengths[left])
+        if size >= short:
+            break
+        if right < len(lengths) - 1:
+            right, grew = right + 1, True
+            size += lengths[right] + 2 * bool(size and lengths[right])
+        if not grew or size >= long:
+            break
+    return left, right
+
+
 def expand_short(chunks: DataFrame, short: int = SHORT, long: int = LONG) -> DataFrame:
     """Chunks shorter than `short` with siblings added by turns before and after until they reach it, cut at `long`. Adds neighbours.
 
-    A chunk needs few siblings, but how many depends on their lengths, so a document's chunks are walked in one grouped map.
+    A chunk needs few siblings, but how many depends on their lengths, so a document's chunks are gathered in one row and walked there, many documents to a batch.
     """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        texts, ids = [t.strip() for t in rows["content"]], rows["chunk_id"].tolist()
-        join = lambda at: "\n\n".join(t for t in (texts[i] for i in at) if t)
-        out, near = [], []
-        for i, text in enumerate(texts):
-            at, left, right = [i], i - 1, i + 1
-            if len(text) < short:
-                while len(join(at)) < short:
-                    grew = False
-                    if left >= 0:
-                        at, left, grew = [left, *at], left - 1, True
-                    if len(join(at)) >= short:
-                        break
-                    if right < len(texts):
-                        at, right, grew = [*at, right], right + 1, True
-                    if not grew or len(join(at)) >= long:
-                        break
-            said = join(at)
-            out.append(rows["content"].iloc[i] if len(at) == 1 else said if len(said) <= long else said[:long].rstrip())
-            near.append([ids[j] for j in at if j != i])
-        return pd.DataFrame({"doc_id": rows["doc_id"].tolist(), "chunk_id": ids, "content": out, "neighbours": near})
-
-    rows = chunks.select("doc_id", "chunk_id", "seq", "content")
-    return rows.groupBy("doc_id").applyInPandas(one, f"doc_id {dict(rows.dtypes)['doc_id']}, chunk_id string, content string, neighbours array<string>")
+    light_batches(chunks.sparkSession)
+    kind = dict(chunks.dtypes)["doc_id"]
+    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").isNull().alias("last"), "seq", "chunk_id", "content"))).alias("rows"))
+    rows = rows.select("doc_id", F.col("rows.chunk_id").alias("ids"), F.col("rows.content").alias("contents"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(start, DOCUMENTS) for b in batches for start in range(0, b.num_rows, DOCUMENTS)):
+            place, chunk_ids, out, near = [], [], [], []
+            for k, (ids, contents) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                texts = [t.strip() for t in contents]
+                lengths = list(map(len, texts))
+                for i, content in enumerate(contents):
+                    left, right = _widened(lengths, i, short, long)
+                    said = content
+                    if left < right:
+                        said = "\n\n".join([t for t in texts[left : right + 1] if t])
+                        said = said if len(said) <= long else said[:long].rstrip()
+                    out.append(said)
+                    near.append(ids[left:i] + ids[i + 1 : right + 1])
+                place += [k] * len(ids)
+                chunk_ids += ids
+            columns = [batch.column(0).take(pa.array(place, pa.int32())), pa.array(chunk_ids, pa.string()), pa.array(out, pa.string()), pa.array(near, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk_id", "content", "neighbours"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, chunk_id string, content string, neighbours array<string>")
 
 
 def overlapping(left: str, right: str) -> bool:

@@ -202,3 +202,29 @@ def test_nearest_answers_queries_of_every_length(spark):
     queries = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0, 0.1])], "query_id long, vector array<double>")
     got = search.nearest(vectors, queries, 1).orderBy("query_id").collect()
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(10, 1), (11, 4)]
+
+
+def test_expand_short_walks_many_documents_at_once(spark):
+    import random
+
+    def walked(texts, i, short, long):
+        join = lambda at: "\n\n".join(t for t in (texts[j].strip() for j in at) if t)
+        at, left, right = [i], i - 1, i + 1
+        while len(join(at)) < short:
+            grew = False
+            if left >= 0:
+                at, left, grew = [left, *at], left - 1, True
+            if len(join(at)) >= short:
+                break
+            if right < len(texts):
+                at, right, grew = [*at, right], right + 1, True
+            if not grew or len(join(at)) >= long:
+                break
+        return (texts[i] if len(at) == 1 else join(at)[:long].rstrip() if len(join(at)) > long else join(at)), [f"c{j}" for j in at if j != i]
+
+    rng = random.Random(4)
+    docs = {f"d{k}": [rng.choice(["", " ", " a\u3000", "b" * 7, "c" * 19 + " ", "d " * 30]) for _ in range(1 + k % 9)] for k in range(150)}
+    rows = spark.createDataFrame([(d, f"c{i}", i, t) for d, texts in docs.items() for i, t in enumerate(texts)], "doc_id string, chunk_id string, seq int, content string").repartition(3)
+    got = context.expand_short(rows, 20, 50)
+    assert {(r["doc_id"], r["chunk_id"]): (r["content"], r["neighbours"]) for r in got.collect()} == {(d, f"c{i}"): walked(texts, i, 20, 50) for d, texts in docs.items() for i in range(len(texts))}
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
