@@ -19,7 +19,7 @@ TOLERANCE_SHARE, BLANK_SHARE = 0.8, 0.9
 UPPER, LOWER, LEFT, RIGHT = 0.66, 0.33, 0.33, 0.66
 #: White strips that part columns, and paragraphs; a title's letters are so much higher than the document's usual ones.
 GAP_X, GAP_Y, TITLE_RATIO = 12.0, 8.0, 1.3
-PAGE = ["doc_id", "page"]
+PAGE, ROUNDS = ["doc_id", "page"], 3
 
 
 def area_share(boxes: DataFrame) -> DataFrame:
@@ -51,26 +51,28 @@ def with_lines(boxes: DataFrame, by: list[str], tolerance: Column | None = None)
     """
     y = (F.col("bottom") + F.col("top")) / 2
     tolerance = tolerance if tolerance is not None else F.greatest(F.lit(LEAST_TOLERANCE), F.avg(F.greatest(F.lit(0.1), F.col("right") - F.col("left"))) * TOLERANCE_SHARE)
-    groups = boxes.groupBy(*by).agg(F.reverse(F.array_sort(F.collect_set(y))).alias("ys"), tolerance.alias("tolerance"))
+    others = [c for c in boxes.columns if c not in by]
+    groups = boxes.groupBy(*by).agg(F.collect_list(F.struct(*others)).alias("boxes"), F.reverse(F.array_sort(F.collect_set(y))).alias("ys"), tolerance.alias("tolerance"))
 
     def step(acc: Column, at: Column) -> Column:
         new = F.element_at(acc, -1) - at > F.col("tolerance")
         return F.when(new, F.concat(acc, F.array(at))).otherwise(acc)
 
-    anchors = groups.select(*by, F.aggregate(F.slice("ys", 2, F.size("ys")), F.slice("ys", 1, 1), step).alias("anchors"))
-    line = F.size(F.filter("anchors", lambda a: a >= y)) - 1
-    return boxes.join(anchors, by).withColumn("line", line).drop("anchors")
+    anchors = groups.select(*by, "boxes", F.aggregate(F.slice("ys", 2, F.size("ys")), F.slice("ys", 1, 1), step).alias("anchors"))
+    line = lambda x: F.size(F.filter("anchors", lambda a: a >= (x["bottom"] + x["top"]) / 2)) - 1
+    placed = F.transform("boxes", lambda x: F.struct(*[x[c].alias(c) for c in others], line(x).alias("line")))
+    return anchors.select(*by, F.explode(placed).alias("box")).select(*by, "box.*").select(*boxes.columns, "line")
 
 
-def line_texts(placed: DataFrame, by: list[str], blanks: bool = True) -> DataFrame:
-    """by, line, text: boxes from left to right. With blanks, a space stands where the gap to all earlier boxes is wide; else between all boxes."""
+def line_texts(placed: DataFrame, by: list[str], blanks: bool = True, *also: Column) -> DataFrame:
+    """by, line, text and what `also` aggregates: boxes from left to right. With blanks, a space stands where the gap to all earlier boxes is wide; else between all boxes."""
     order = Window.partitionBy(*by, "line").orderBy("left", "right", "text")
     reached = F.max("right").over(order.rowsBetween(Window.unboundedPreceding, -1))
     width = F.greatest(F.lit(1.0), F.avg(F.greatest(F.lit(0.1), F.col("right") - F.col("left"))).over(Window.partitionBy(*by, "line")))
     gap = F.coalesce(F.col("left") - reached > width * BLANK_SHARE, F.lit(False)) if blanks else reached.isNotNull()
     rows = placed.withColumn("at", F.row_number().over(order)).withColumn("said", F.concat(F.when(gap, " ").otherwise(""), F.col("text")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "")
-    return rows.groupBy(*by, "line").agg(F.trim(joined).alias("text"))
+    return rows.groupBy(*by, "line").agg(F.trim(joined).alias("text"), *also)
 
 
 def page_text(boxes: DataFrame) -> DataFrame:
@@ -90,17 +92,25 @@ def _parted(rows: DataFrame, near: str, far: str, gap: float, down: bool) -> Dat
 
 
 def regions(boxes: DataFrame, gap_x: float = GAP_X, gap_y: float = GAP_Y) -> DataFrame:
-    """Adds region: a path whose order is the reading order. Rounds go on while any region is parted; each is written, which cuts its lineage."""
-    rows = stored(boxes.withColumn("region", F.lit("")).withColumn("open", F.lit(True)), "layout")
-    while not rows.where("open").isEmpty():
-        live, whole = rows.where("open"), Window.partitionBy(*PAGE, "region")
-        across = _parted(live, "left", "right", gap_x, False).withColumnRenamed("part", "x")
-        both = _parted(across, "bottom", "top", gap_y, True).withColumnRenamed("part", "y").withColumns({"xs": F.max("x").over(whole), "ys": F.max("y").over(whole)})
-        part = F.when(F.col("xs") > 0, F.col("x")).when(F.col("ys") > 0, F.col("y"))
-        path = F.when(part.isNull(), F.col("region")).otherwise(F.concat("region", F.lpad(part.cast("string"), 6, "0"), F.lit("/")))
-        now = both.withColumn("region", path).withColumn("open", part.isNotNull()).drop("x", "y", "xs", "ys")
-        rows = stored(rows.where("NOT open").unionByName(now), "layout")
-    return rows.drop("open")
+    """Adds region: a path whose order is the reading order. Boxes move once, to their page's partition; `ROUNDS` rounds follow each other there, and more while any region is parted."""
+    rows = boxes.withColumns({"region": F.lit(""), "open": F.lit(True)})
+    while True:
+        rows = rows.repartition(*PAGE)
+        for _ in range(ROUNDS):
+            rows = _round(rows, gap_x, gap_y)
+        rows = stored(rows, "layout")  # cuts the lineage
+        if rows.where("open").isEmpty():
+            return rows.drop("open")
+
+
+def _round(rows: DataFrame, gap_x: float, gap_y: float) -> DataFrame:
+    """Parts every region once. One that was whole in a round stays so."""
+    whole = Window.partitionBy(*PAGE, "region")
+    across = _parted(rows, "left", "right", gap_x, False).withColumnRenamed("part", "x")
+    both = _parted(across, "bottom", "top", gap_y, True).withColumnRenamed("part", "y").withColumns({"xs": F.max("x").over(whole), "ys": F.max("y").over(whole)})
+    part = F.when(F.col("xs") > 0, F.col("x")).when(F.col("ys") > 0, F.col("y"))
+    path = F.when(part.isNull(), F.col("region")).otherwise(F.concat("region", F.lpad(part.cast("string"), 6, "0"), F.lit("/")))
+    return both.withColumns({"region": path, "open": part.isNotNull()}).drop("x", "y", "xs", "ys")
 
 
 def elements(boxes: DataFrame, gap_x: float = GAP_X, gap_y: float = GAP_Y) -> DataFrame:
@@ -110,10 +120,10 @@ def elements(boxes: DataFrame, gap_x: float = GAP_X, gap_y: float = GAP_Y) -> Da
     """
     by = [*PAGE, "region"]
     placed = with_lines(regions(boxes, gap_x, gap_y), by, F.avg(F.col("top") - F.col("bottom")) / 2)
-    lines = line_texts(placed, by, blanks=False)
+    height = F.col("top") - F.col("bottom")
+    lines = line_texts(placed, by, False, F.sum(height).alias("heights"), F.count(height).alias("boxes"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    heights = placed.groupBy(*by).agg(F.avg(F.col("top") - F.col("bottom")).alias("height"))
     usual = boxes.groupBy("doc_id").agg(F.percentile_approx(F.col("top") - F.col("bottom"), 0.5).alias("usual"))
-    rows = lines.groupBy(*by).agg(text.alias("text")).join(heights, by).join(usual, "doc_id")
+    rows = lines.groupBy(*by).agg(text.alias("text"), (F.sum("heights") / F.sum("boxes")).alias("height")).join(usual, "doc_id")
     seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "region")) - 1
     return rows.select("doc_id", "page", seq.alias("seq"), F.when(F.col("height") >= F.col("usual") * TITLE_RATIO, "title").otherwise("paragraph").alias("type"), "text")

@@ -126,3 +126,11 @@ def test_office_files_are_read_a_few_at_a_time(spark, monkeypatch):
         assert spark.conf.get(name) == str(4 << 20) and office.FILES < 70
     finally:
         spark.conf.set(name, before)
+
+
+def test_lines_need_no_join(spark):
+    rows = spark.createDataFrame([("d", 0, "", 1.0, 10.0, 5.0, 20.0, "b"), ("d", 0, "", 1.0, 50.0, 5.0, 60.0, "a"), ("d", 0, "x", 1.0, 51.0, 5.0, 61.0, "c")], "doc_id string, page int, region string, left double, bottom double, right double, top double, text string")
+    got = layout.with_lines(rows, [*layout.PAGE, "region"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {r["text"]: r["line"] for r in got.collect()} == {"a": 0, "b": 1, "c": 0}
