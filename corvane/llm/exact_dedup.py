@@ -31,8 +31,9 @@ from corvane.llm._common import ascii_lower, scratch_path, stored, table, whole
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ROCKS = "spark.sql.streaming.stateStore.rocksdb."
 #: RocksDB, and no disk space taken in advance: a state partition then costs what it holds. What its partitions hold in memory
-#: outside the heap is bounded for an executor as a whole, however many of them it has; the rest of the state is on disk.
-STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, f"{_ROCKS}allowFAllocate": "false", f"{_ROCKS}boundedMemoryUsage": "true", f"{_ROCKS}maxMemoryUsageMB": "128", f"{_ROCKS}writeBufferSizeMB": "4"}
+#: outside the heap is bounded for an executor as a whole, however many of them it has; the rest of the state is on disk. A partition
+#: that is committed is closed: else each keeps its handles, threads and buffers in its executor long after the query has ended.
+STATE = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, f"{_ROCKS}allowFAllocate": "false", f"{_ROCKS}boundedMemoryUsage": "true", f"{_ROCKS}maxMemoryUsageMB": "128", f"{_ROCKS}writeBufferSizeMB": "4", "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
 #: Parts over which the texts of one digest are spread for the byte check.
 SALTS = 16
 

@@ -32,7 +32,8 @@ from corvane.llm._common import light_batches, table
 
 #: Least cells of the n-gram counts; labelled rows to fit on; features kept; tokens that a task remembers; texts taken out of Arrow at once.
 GRAMS, TRAIN_ROWS, FEATURES, MEMO, SLICE = 1 << 17, 20_000, 12_000, 40_000, 256
-WIDEST = 1 << 20
+#: Most cells; characters that are counted at once; texts whose features are held at once.
+WIDEST, COUNTED, FEW = 1 << 20, 1 << 18, 32
 PREFIXES = (3, 4, 5, 6)
 #: Letters that a character may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i"}
@@ -80,7 +81,7 @@ def count_grams(text: str, total: np.ndarray) -> None:
         if more is not None:
             h = h ^ more
         g = (h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F)
-        total += np.bincount((g ^ g >> np.uint32(13)) & np.uint32(len(total) - 1), minlength=len(total))
+        np.add.at(total, (g ^ g >> np.uint32(13)) & np.uint32(len(total) - 1), 1)
 
 
 class Memo:
@@ -344,6 +345,17 @@ def slices(column: pa.Array) -> Iterator[list[str | None]]:
         yield column.slice(start, SLICE).to_pylist()
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(start, FEW) for b in batches for start in range(0, b.num_rows, FEW))
+
+
+def featured(batches: Iterator[pa.RecordBatch], restorer: Restorer) -> Iterator[pa.RecordBatch]:
+    """(label, text) batches -> (label, f), `FEW` rows a batch: the features of a text take many times its own size."""
+    for batch in few(batches):
+        found = [sorted({f for w in restorer.words(t or "") for f in features(w)}) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["label", "f"])
+
+
 def language_model(docs: DataFrame, text_col: str) -> np.ndarray:
     """Hashed n-gram counts of all words of all texts."""
     light_batches(docs.sparkSession)
@@ -354,7 +366,7 @@ def language_model(docs: DataFrame, text_col: str) -> np.ndarray:
             if text:
                 waiting.append(text)
                 size += len(text)
-            if size > 1 << 20:
+            if size > COUNTED:
                 count_grams(" ".join(waiting), total)
                 waiting, size = [], 0
         count_grams(" ".join(waiting), total)
@@ -375,9 +387,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     known = known.groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("key"), "key").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(counts)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted({f for w in restorer.words(t or "") for f in features(w)}) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["label", "f"])
+        yield from featured(batches, Restorer(counts))
 
     chosen = docs.select(docs[id_col].alias("key"), docs[text_col].cast("string").alias("text")).join(F.broadcast(known), "key").select("label", "text")  # at most `rows` ids
     seen = chosen.mapInArrow(run, "label int, f array<string>").persist()
@@ -393,7 +403,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
         place = {f: i for i, f in enumerate(best)}
 
         def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in few(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(place[f] for f in fs if f in place) for fs in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["label", "at"])
 
         got = seen.mapInArrow(pick, "label int, at array<int>").toArrow()  # at most `rows` rows of at most FEATURES numbers
