@@ -11,6 +11,8 @@ from corvane.storage import shared_path as scratch_path
 
 #: Bytes of texts that go to a Python worker at once.
 BATCH_BYTES = 4 << 20
+#: Narrow rows in a file of a stored table.
+PART_ROWS = 1 << 16
 #: Words are maximal runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,10 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, cut from its lineage, and readable after any executor is lost."""
+def stored(df: DataFrame, what: str, about: int | None = None, each: int = PART_ROWS) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, cut from its lineage, and readable after any executor is lost.
+
+    about: how many rows df or what it is last joined from has, roughly, where that is known. A small table then comes in as many files as there are cores, however many
+    partitions its shuffle had: to create a file costs processes of its own on a local disk. Large ones get a file for `each` rows.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, what)
+    if about is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, about // each))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.corvane_path = path

@@ -203,10 +203,11 @@ def tree_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 def classes(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(fp, label, component_id) of every distinct fingerprint of (id, fp) rows."""
-    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes")
-    node_label = labels(tree_links(distinct, radius))
+    texts = fps.count()
+    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("rep")), "simhash-classes", texts)
+    node_label = labels(tree_links(distinct, radius), texts)
     linked = distinct.join(node_label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    linked = stored(linked, "simhash-linked")
+    linked = stored(linked, "simhash-linked", texts)
     least = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     return linked.join(least, "label").select("fp", "label", "component_id")
 
@@ -226,9 +227,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def kept_of(docs: DataFrame, fps: DataFrame, known: DataFrame, mark: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
     """docs with one document of each component, given (id, fp) rows, every fp's (label, component_id), and how a text is marked with its fp."""
-    judged = stored(fps.join(known.hint("shuffle_hash"), "fp").select("id", "label", "component_id"), "simhash-kept")
+    texts = fps.count()
+    judged = stored(fps.join(known.hint("shuffle_hash"), "fp").select("id", "label", "component_id"), "simhash-kept", texts)
     times, own_fp, own_label, own_id = (unused(docs, x) for x in ("corvane_n", "corvane_fp", "corvane_label", "corvane_id"))
-    odd = stored(judged.where("id IS NOT NULL").groupBy("id").agg(F.count_if(F.col("id") == F.col("component_id")).alias("times")).where("times <> 1"), "simhash-odd")
+    odd = stored(judged.where("id IS NOT NULL").groupBy("id").agg(F.count_if(F.col("id") == F.col("component_id")).alias("times")).where("times <> 1"), "simhash-odd", texts)
     more = not odd.where("times > 1").isEmpty()
     if not more and odd.count() <= SENT:  # the texts stay where they lie
         out = docs.where(docs[id_col].isNotNull()).join(odd.select(F.col("id").alias(own_id)).hint("broadcast"), docs[id_col] == F.col(own_id), "left_anti")

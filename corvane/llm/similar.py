@@ -39,6 +39,8 @@ from corvane.llm.simhash import HASH_SEED, SENT, kept_of, majority, tree_links
 SHINGLE, NUM, DEN = 5, 4, 5  # words; similarity NUM / DEN
 SAMPLE, COMMON, PIVOTS = 8192, 65536, 8
 BITS, RADIUS = 512, 2
+#: Pairs of whole sets that a task compares at least.
+HEAVY_ROWS = 256
 
 
 def grams(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -144,48 +146,52 @@ def verified(pairs: DataFrame, sets: DataFrame, read: Callable[[DataFrame], Data
     own = sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("bits"), F.min("id").alias("id"))
     side = lambda x: own.select(F.col("fp").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x), F.col("id").alias("id" + x))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(_close("bitsa", "bitsb", "na", "nb"))
-    near = stored(near.select("a", "b", "ida", "idb"), "shingle-near")
-    need = stored(near.select("a", "ida").union(near.select("b", "idb")).toDF("fp", "id").distinct(), "shingle-asked")
+    near = stored(near.select("a", "b", "ida", "idb"), "shingle-near", max(pairs.count(), sets.count()))
+    links = near.count()
+    need = stored(near.select("a", "ida").union(near.select("b", "idb")).toDF("fp", "id").distinct(), "shingle-asked", 2 * links)
     grams_of = read(need)
     both = near.select("a", "b").join(grams_of.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(grams_of.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
-    out = stored(both.where(DEN * inter >= NUM * (F.size("x") + F.size("y") - inter)).select("a", "b"), "shingle-edges")
+    out = stored(both.where(DEN * inter >= NUM * (F.size("x") + F.size("y") - inter)).select("a", "b"), "shingle-edges", links, HEAVY_ROWS)
     discarded(near, need, grams_of)
     return out
 
 
 def simhash_pairs(sets: DataFrame) -> DataFrame:
     """A stored table of (a, b), a < b: classes of one fingerprint with its smallest class, and those that the vantage-point trees join up."""
-    points = stored(sets.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("class")), "simhash-points")
+    texts = sets.count()
+    points = stored(sets.groupBy(F.col("sim").alias("fp")).agg(F.min("fp").alias("class")), "simhash-points", texts)
     near = tree_links(points, RADIUS).alias("l")
     ends = lambda x: points.select(F.col("fp").alias(x), F.col("class").alias("class" + x))
     far = near.join(ends("a"), "a").join(ends("b"), "b").select("classa", "classb")
     same = sets.join(points.select(F.col("fp").alias("sim"), "class"), "sim").select("fp", "class").where("fp <> class")
-    return stored(far.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-pairs")
+    return stored(far.union(same).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "simhash-pairs", 2 * texts)
 
 
 def similar_pairs(sets: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A table of (a, b): links between similar classes that join all that belong together."""
     by_print = simhash_pairs(sets)
     edges = verified(by_print, sets, read)
-    group = labels(edges).select(F.col("node").alias("fp"), F.col("label").alias("g"))
+    group = labels(edges, edges.count()).select(F.col("node").alias("fp"), F.col("label").alias("g"))
     grouped = sets.select("fp", "n", "prefix").join(group.hint("broadcast" if group.count() <= SENT else "shuffle_hash"), "fp", "left")
     rows = grouped.select("fp", "n", F.coalesce("g", "fp").alias("g"), F.posexplode("prefix").alias("i", "s"))
+    ordered = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (DEN - NUM) // DEN + sets.count()  # shingles in all prefixes
     freed(sets.sparkSession)
     own = Window.partitionBy("s")
     several = rows.withColumns({"low": F.min("g").over(own), "high": F.max("g").over(own)}).where("low < high")
-    shared = stored(several.groupBy("s", "fp").agg(*[F.first(c).alias(c) for c in ("n", "i", "g")]), "shingle-shared")
+    shared = stored(several.groupBy("s", "fp").agg(*[F.first(c).alias(c) for c in ("n", "i", "g")]), "shingle-shared", ordered)
     freed(sets.sparkSession)
     sketches = sets.groupBy("fp").agg(F.first("sketch").alias("bits"))
-    shared = stored(shared.join(sketches, "fp"), "shingle-shared")
+    rows = shared.count()
+    shared = stored(shared.join(sketches, "fp"), "shingle-shared", max(rows, sets.count()))
     pivot = shared.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("fp"))).where(F.col("k") <= PIVOTS).drop("k")
-    met = stored(_meeting(shared, pivot).distinct(), "shingle-pairs")
+    met = stored(_meeting(shared, pivot).distinct(), "shingle-pairs", PIVOTS * rows)
     edges = edges.union(verified(met, sets, read))
     crowded = shared.groupBy("s").count().where(F.col("count") > PIVOTS).select("s")
-    now = shared.drop("g").join(crowded, "s").join(labels(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("g", F.coalesce("label", "fp")).drop("label")
+    now = shared.drop("g").join(crowded, "s").join(labels(edges, edges.count()).withColumnRenamed("node", "fp"), "fp", "left").withColumn("g", F.coalesce("label", "fp")).drop("label")
     most = now.groupBy("s", "g").count().groupBy("s").agg(F.max_by("g", F.struct("count", "g")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    now = stored(now.join(most, "s").drop("parts"), "shingle-apart")
-    rest = stored(_meeting(now, now.where("g <> most")).distinct().join(met, ["a", "b"], "left_anti"), "shingle-pairs")
+    now = stored(now.join(most, "s").drop("parts"), "shingle-apart", rows)
+    rest = stored(_meeting(now, now.where("g <> most")).distinct().join(met, ["a", "b"], "left_anti"), "shingle-pairs", PIVOTS * rows)
     more = verified(rest, sets, read)
     discarded(by_print, shared, met, now, rest)
     return edges.union(more)
@@ -210,9 +216,10 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs, all columns, with one document of each component of similar texts."""
     light_batches(docs.sparkSession)
     sets = shingle_sets(docs, id_col, text_col)
-    node_label = labels(similar_pairs(sets, lambda need: whole_sets(docs, need, id_col, text_col))).withColumnRenamed("node", "fp")
-    linked = stored(sets.groupBy("fp").agg(F.min("id").alias("rep")).join(node_label, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "shingle-linked")
-    known = stored(linked.join(linked.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "label", "component_id"), "shingle-components")
+    texts, edges = sets.count(), similar_pairs(sets, lambda need: whole_sets(docs, need, id_col, text_col))
+    node_label = labels(edges, edges.count()).withColumnRenamed("node", "fp")
+    linked = stored(sets.groupBy("fp").agg(F.min("id").alias("rep")).join(node_label, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "shingle-linked", texts)
+    known = stored(linked.join(linked.groupBy("label").agg(F.min("rep").alias("component_id")), "label").select("fp", "label", "component_id"), "shingle-components", texts)
     mark = F.pandas_udf(lambda texts: pd.Series([key_of(grams(t)) for t in texts], dtype="int64"), "long")
     out = kept_of(docs, sets.select("id", "fp"), known, mark, id_col, text_col)
     discarded(sets, linked)
