@@ -12,7 +12,9 @@
 4. A shared shingle at places i and j of two ordered sets leaves them 1 + min(n1 - i - 1, n2 - j - 1) shingles to share at most, and
    every class has a sketch of `BITS` parities: bit k tells whether an odd number of its shingles hash to k. The sketches of two sets
    differ in no more bits than their symmetric difference has shingles, and similar sets differ in (n1 + n2) / 9 at most. Pairs that
-   either rules out are no candidates; no link is dropped by it.
+   either rules out are no candidates; no link is dropped by it. A sketch of so few bits says nothing on long texts, so pairs that are left
+   are put to wide sketches, of as many bits as the set has shingles or more: what passes these too is nearly always similar, and whole
+   sets move for it alone.
 5. Each class first meets the `PIVOTS` smallest classes of each of its shared shingles that are in other groups. What then stands in other
    components than most of a shingle's classes meets all of them. Components come from DataFrame steps.
 
@@ -98,13 +100,27 @@ def common_grams(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray
     return s[order].astype(np.int64), rank[order]
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """BITS parities of a set, as longs."""
-    return np.packbits(np.bincount(own.view(np.uint64) % np.uint64(BITS), minlength=BITS).astype(np.uint8) & 1).view(np.int64)
+def sketch(own: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """bits parities of a set, as bytes."""
+    return np.packbits(np.bincount(own.view(np.uint64) % np.uint64(bits), minlength=bits).astype(np.uint8) & 1)
+
+
+def wide_sketch(own: np.ndarray) -> bytes:
+    """As many parities as the set has shingles, up to the next power of two, BITS at least."""
+    return sketch(own, max(BITS, 1 << (len(own) - 1).bit_length())).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """In how many bits two wide sketches differ: a longer one is folded to the other's length first."""
+    long, short = (x, y) if len(x) >= len(y) else (y, x)
+    while len(long) > len(short):
+        half = len(long) // 2
+        long = (int.from_bytes(long[:half], "big") ^ int.from_bytes(long[half:], "big")).to_bytes(half, "big")
+    return (int.from_bytes(long, "big") ^ int.from_bytes(short, "big")).bit_count()
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A stored table of (id, fp, sim, n, prefix, sketch); fp names the set, sim is its SimHash fingerprint."""
+    """A stored table of (id, fp, sim, n, prefix, sketch, wide); fp names the set, sim is its SimHash fingerprint."""
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(common_grams(docs, text_col))  # at most COMMON shingles
 
@@ -115,10 +131,10 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = batch.slice(start, 256)
                 own = [grams(t) for t in part.column(1).to_pylist()]
                 sims = np.array([majority(g.astype(">i8").tobytes()) for g in own], np.uint64).view(np.int64)
-                cols = [pa.array([key_of(g) for g in own], pa.int64()), pa.array(sims), pa.array(list(map(len, own)), pa.int64()), _lists([prefix(g, common, rank) for g in own]), _lists([sketch(g) for g in own])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["id", "fp", "sim", "n", "prefix", "sketch"])
+                cols = [pa.array([key_of(g) for g in own], pa.int64()), pa.array(sims), pa.array(list(map(len, own)), pa.int64()), _lists([prefix(g, common, rank) for g in own]), _lists([sketch(g).view(np.int64) for g in own]), pa.array([wide_sketch(g) for g in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["id", "fp", "sim", "n", "prefix", "sketch", "wide"])
 
-    return stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long, sim long, n long, prefix array<long>, sketch array<long>"), "shingle-sets")
+    return stored(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long, sim long, n long, prefix array<long>, sketch array<long>, wide binary"), "shingle-sets")
 
 
 def whole_sets(docs: DataFrame, need: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -146,17 +162,35 @@ def verified(pairs: DataFrame, sets: DataFrame, read: Callable[[DataFrame], Data
     own = sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("bits"), F.min("id").alias("id"))
     side = lambda x: own.select(F.col("fp").alias(x), F.col("n").alias("n" + x), F.col("bits").alias("bits" + x), F.col("id").alias("id" + x))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(_close("bitsa", "bitsb", "na", "nb"))
-    near = stored(near.select("a", "b", "ida", "idb"), "shingle-near", max(pairs.count(), sets.count()))
+    met = stored(near.select("a", "b", "na", "nb", "ida", "idb"), "shingle-met", max(pairs.count(), sets.count()))
+    near = stored(_widely_close(met, sets), "shingle-near", met.count())
     links = near.count()
     need = stored(near.select("a", "ida").union(near.select("b", "idb")).toDF("fp", "id").distinct(), "shingle-asked", 2 * links)
     grams_of = read(need)
     both = near.select("a", "b").join(grams_of.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(grams_of.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
     inter = F.size(F.array_intersect("x", "y"))
     out = stored(both.where(DEN * inter >= NUM * (F.size("x") + F.size("y") - inter)).select("a", "b"), "shingle-edges", links, HEAVY_ROWS)
-    discarded(near, need, grams_of)
+    discarded(met, near, need, grams_of)
     return out
 
 
+def _widely_close(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b, ida, idb) of (a, b, na, nb, ida, idb) whose wide sketches allow that the sets are similar."""
+    asked = met.select(F.col("a").alias("fp")).union(met.select("b")).distinct()
+    wide = sets.join(asked.hint("broadcast" if 2 * met.count() <= SENT else "shuffle_hash"), "fp", "left_semi").groupBy("fp").agg(F.first("wide").alias("wide"))
+    side = lambda x: wide.select(F.col("fp").alias(x), F.col("wide").alias("wide" + x))
+    names = ["a", "b", "ida", "idb"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, xs, ys = (batch.column(i).to_pylist() for i in range(4))
+            good = [(NUM + DEN) * apart(x, y) <= (DEN - NUM) * (n + m) for n, m, x, y in zip(na, nb, xs, ys, strict=True)]
+            yield batch.select(names).filter(pa.array(good, pa.bool_()))
+
+    rows = met.join(side("a"), "a").join(side("b"), "b").select("na", "nb", "widea", "wideb", *names)
+    return rows.mapInArrow(run, met.select(*names).schema)
+
+
 def simhash_pairs(sets: DataFrame) -> DataFrame:
     """A stored table of (a, b), a < b: classes of one fingerprint with its smallest class, and those that the vantage-point trees join up."""
     texts = sets.count()
@@ -182,8 +216,10 @@ def similar_pairs(sets: DataFrame, read: Callable[[DataFrame], DataFrame]) -> Da
     shared = stored(several.groupBy("s", "fp").agg(*[F.first(c).alias(c) for c in ("n", "i", "g")]), "shingle-shared", ordered)
     freed(sets.sparkSession)
     sketches = sets.groupBy("fp").agg(F.first("sketch").alias("bits"))
-    rows = shared.count()
-    shared = stored(shared.join(sketches, "fp"), "shingle-shared", max(rows, sets.count()))
+    rows, bare = shared.count(), shared
+    shared = stored(bare.join(sketches, "fp"), "shingle-shared", max(rows, sets.count()))
+    discarded(bare)
+    freed(sets.sparkSession)
     pivot = shared.withColumn("k", F.row_number().over(Window.partitionBy("s").orderBy("fp"))).where(F.col("k") <= PIVOTS).drop("k")
     met = stored(_meeting(shared, pivot).distinct(), "shingle-pairs", PIVOTS * rows)
     edges = edges.union(verified(met, sets, read))

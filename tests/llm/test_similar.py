@@ -82,3 +82,32 @@ def test_texts_stay_where_they_lie(spark):
     kept = similar.drop_similar(spark.createDataFrame(rows, DOCS))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 6, 8]
     assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_sets_move_for_likely_pairs_alone(spark, monkeypatch):
+    """Long texts that share a passage that no sample showed are candidates of which the short sketches rule out none."""
+    rng, asked = np.random.default_rng(5), []
+    passage = [f"p{k}" for k in range(300)]
+    texts = [[*passage, *[f"u{k}-{rng.integers(0, 99999)}" for _ in range(1500)]] for k in range(6)]
+    texts.append(edited(rng, texts[2], 4))
+    docs = spark.createDataFrame([(k + 1, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)], DOCS)
+    whole, met, meeting = similar.whole_sets, [], similar._meeting
+    monkeypatch.setattr(similar, "common_grams", lambda *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    monkeypatch.setattr(similar, "_meeting", lambda *sides: met.append(meeting(*sides).distinct().count()) or meeting(*sides))
+    monkeypatch.setattr(similar, "whole_sets", lambda docs, need, *a: asked.append(need.count()) or whole(docs, need, *a))
+    assert sorted(r["doc_id"] for r in similar.drop_similar(docs).collect()) == [1, 2, 3, 4, 5, 6]
+    assert met[0] > 10
+    assert sum(asked) == 2
+
+
+def test_wide_sketches_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 400, 513, 1030, 2047, 2050, 9000):
+        own = np.unique(rng.integers(-(2**62), 2**62, n))
+        other = np.concatenate([own[len(own) // 9 :], rng.integers(-(2**62), 2**62, n // 9 + 1)])
+        x, y = similar.wide_sketch(own), similar.wide_sketch(other)
+        assert similar.apart(x, y) == similar.apart(y, x) <= len(np.setxor1d(own, other))
+        assert len(x) * 8 >= max(n, similar.BITS)
+        far = rng.integers(-(2**62), 2**62, n)
+        assert n < 400 or 9 * similar.apart(x, similar.wide_sketch(far)) > 2 * n
+    assert similar.apart(similar.wide_sketch(np.zeros(0, np.int64)), similar.wide_sketch(np.array([3]))) == 1
