@@ -1,17 +1,24 @@
 """From boxes on pages to elements in reading order.
 
 A page's boxes are cut recursively at white gaps: a region is parted where no box lies across a strip as wide as a gap, first from left to
-right, else from top to bottom, until no region can be parted. Each round is a running maximum over a region's boxes in the order of one axis,
-so that all pages are cut at once; the number of rounds is the depth of the deepest page, not a number of pages. Lines are anchored groups: a box belongs to the line of the last
-anchor unless it lies lower by more than a tolerance; then it is the next anchor. Coordinates are those of a page whose origin is at the lower left.
+right, else from top to bottom, until no region can be parted. A page's boxes are one row. Each round is a running maximum over the regions' boxes in the order of one axis,
+so that all pages of an Arrow batch are cut at once; the number of rounds is the depth of the deepest page, not a number of pages. Lines are anchored groups: a box belongs to the line of the last
+anchor unless it lies lower by more than a tolerance; then it is the next anchor. Coordinates are finite, or null, and those of a page whose origin is at the lower left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from corvane.storage import stored
+from corvane.storage import light_batches, stored
 
 # Bounds of figures on a page, least tolerance of a line, shares of the average width.
 LEAST_SHARE, LEAST_SIDE, LEAST_TOLERANCE = 0.02, 20.0, 3.0
@@ -19,7 +26,7 @@ TOLERANCE_SHARE, BLANK_SHARE = 0.8, 0.9
 UPPER, LOWER, LEFT, RIGHT = 0.66, 0.33, 0.33, 0.66
 #: White strips that part columns, and paragraphs; a title's letters are so much higher than the document's usual ones.
 GAP_X, GAP_Y, TITLE_RATIO = 12.0, 8.0, 1.3
-PAGE, ROUNDS = ["doc_id", "page"], 3
+PAGE, SIDES = ["doc_id", "page"], ["left", "bottom", "right", "top"]
 
 
 def area_share(boxes: DataFrame) -> DataFrame:
@@ -81,49 +88,167 @@ def page_text(boxes: DataFrame) -> DataFrame:
     return lines.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
-def _parted(rows: DataFrame, near: str, far: str, gap: float, down: bool) -> DataFrame:
-    """Adds part: within each region, how many white strips lie before the box along one axis."""
-    a, b = (-F.col(far), -F.col(near)) if down else (F.col(near), F.col(far))
-    order = Window.partitionBy(*PAGE, "region").orderBy("_a", "_b")
-    rows = rows.withColumns({"_a": a, "_b": b})
-    reached = F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.when(F.col("_a") - reached >= gap, 1).otherwise(0))
-    return rows.withColumn("part", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_a", "_b", "_new")
+def _strips(group: np.ndarray, a: np.ndarray, b: np.ndarray, gap: float) -> np.ndarray:
+    """How many white strips lie before each span (a, b) within its group."""
+    first, reach = np.where(np.isnan(a), -np.inf, a), np.where(np.isnan(b), -np.inf, b)
+    order = np.lexsort((reach, first, group))
+    ends, rank = np.unique(reach, return_inverse=True)
+    g = group[order]
+    farthest = ends[np.maximum.accumulate(g * len(ends) + rank[order]) - g * len(ends)]  # groups ascend, so each begins anew
+    same = g[1:] == g[:-1]
+    new = np.zeros(len(g), np.int64)
+    new[1:] = same & np.isfinite(farthest[:-1]) & (a[order][1:] - farthest[:-1] >= gap)
+    before = np.cumsum(new)
+    starts = np.flatnonzero(np.append(True, ~same))
+    out = np.empty(len(g), np.int64)
+    out[order] = before - np.repeat(before[starts], np.diff(np.append(starts, len(g))))
+    return out
+
+
+def numbered(page: np.ndarray, left: np.ndarray, bottom: np.ndarray, right: np.ndarray, top: np.ndarray, gap_x: float = GAP_X, gap_y: float = GAP_Y) -> np.ndarray:
+    """Each box's region, numbered from 0 in reading order, page by page. Every round parts all regions that are open; one that was whole in a round stays so."""
+    region, at = np.unique(page, return_inverse=True)[1], np.arange(len(page))
+    while len(at):
+        own = region[at]
+        part, parted = _strips(own, left[at], right[at], gap_x), np.zeros(region.max() + 1, bool)
+        parted[own[part > 0]] = True
+        rest = np.flatnonzero(~parted[own])
+        if len(rest):
+            part[rest] = _strips(own[rest], -top[at[rest]], -bottom[at[rest]], gap_y)
+            parted[own[part > 0]] = True
+        place = np.zeros(len(region), np.int64)
+        place[at] = part
+        region, at = np.unique(region * (place.max() + 1) + place, return_inverse=True)[1], at[parted[own]]
+    return region
+
+
+def _lined(region: np.ndarray, y: np.ndarray, tolerance: np.ndarray) -> np.ndarray:
+    """Each box's line in its region: as `with_lines` has it, given every region's tolerance."""
+    order, least = np.lexsort((-y, region)), np.maximum(tolerance, 0.0).tolist()
+    lines, last, anchor, line = [], -1, 0.0, 0
+    for r, at in zip(region[order].tolist(), y[order].tolist(), strict=True):
+        if r != last:
+            last, anchor, line = r, at, 0
+        elif anchor - at > least[r]:
+            anchor, line = at, line + 1
+        lines.append(line)
+    out = np.empty(len(y), np.int64)
+    out[order] = lines
+    return np.where(np.isnan(y), -1, out)
+
+
+def _in_lines(region: np.ndarray, line: np.ndarray, left: np.ndarray, right: np.ndarray, text: pa.Array) -> np.ndarray:
+    """The order of boxes by region and line, then left, right and text."""
+    keys = [region, line, *(np.where(np.isnan(x), -np.inf, x) for x in (left, right))]
+    order = np.lexsort(keys[::-1])
+    tied = reduce(np.logical_and, (k[order][1:] == k[order][:-1] for k in keys))
+    if tied.any():  # only now texts matter
+        some = np.flatnonzero(np.append(tied, False) | np.append(False, tied))
+        own = order[some]
+        said = [b"" if t is None else b"x" + t.encode("utf-8", "surrogatepass") for t in text.take(pa.array(own)).to_pylist()]
+        rank = np.unique(np.array(said, object), return_inverse=True)[1]
+        order[some] = own[np.lexsort((rank, *(k[own] for k in keys[::-1])))]
+    return order
+
+
+def _sums(group: np.ndarray, x: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum and the number of each group's values that are there."""
+    there = ~np.isnan(x)
+    return np.bincount(group[there], x[there], groups), np.bincount(group[there], minlength=groups)
+
+
+def _cuts(ids: np.ndarray, groups: int) -> pa.Array:
+    return pa.array(np.searchsorted(ids, np.arange(groups + 1)), pa.int32())
+
+
+def paged(boxes: DataFrame) -> DataFrame:
+    """doc_id, page and boxes, an array of all other columns: a page's boxes in one row, moved once."""
+    return boxes.groupBy(*PAGE).agg(F.collect_list(F.struct(*[c for c in boxes.columns if c not in PAGE])).alias("boxes"))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.StructArray, list[np.ndarray]]:
+    """The place of each box's page in a batch of pages, the boxes, and their sides; a side that is null is NaN."""
+    lists = batch.column(2)
+    rows = lists.flatten()
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    named = dict(zip((f.name for f in rows.type), rows.flatten(), strict=True))
+    return np.repeat(np.arange(batch.num_rows), sizes), rows, [pc.fill_null(named[c].cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False) for c in SIDES]
 
 
 def regions(boxes: DataFrame, gap_x: float = GAP_X, gap_y: float = GAP_Y) -> DataFrame:
-    """Adds region: a path whose order is the reading order. Boxes move once, to their page's partition; `ROUNDS` rounds follow each other there, and more while any region is parted."""
-    rows = boxes.withColumns({"region": F.lit(""), "open": F.lit(True)})
-    while True:
-        rows = rows.repartition(*PAGE)
-        for _ in range(ROUNDS):
-            rows = _round(rows, gap_x, gap_y)
-        rows = stored(rows, "layout")  # cuts the lineage
-        if rows.where("open").isEmpty():
-            return rows.drop("open")
-
-
-def _round(rows: DataFrame, gap_x: float, gap_y: float) -> DataFrame:
-    """Parts every region once. One that was whole in a round stays so."""
-    whole = Window.partitionBy(*PAGE, "region")
-    across = _parted(rows, "left", "right", gap_x, False).withColumnRenamed("part", "x")
-    both = _parted(across, "bottom", "top", gap_y, True).withColumnRenamed("part", "y").withColumns({"xs": F.max("x").over(whole), "ys": F.max("y").over(whole)})
-    part = F.when(F.col("xs") > 0, F.col("x")).when(F.col("ys") > 0, F.col("y"))
-    path = F.when(part.isNull(), F.col("region")).otherwise(F.concat("region", F.lpad(part.cast("string"), 6, "0"), F.lit("/")))
-    return both.withColumns({"region": path, "open": part.isNotNull()}).drop("x", "y", "xs", "ys")
+    """Adds region: a name whose order is the reading order of its page. Boxes move once, to their page."""
+    pages = paged(boxes)
+    light_batches(boxes.sparkSession)
+    kinds = [(f.name, f.dataType) for f in pages.schema["boxes"].dataType.elementType]
+    schema = StructType([pages.schema[c] for c in PAGE] + [StructField(n, t) for n, t in kinds] + [StructField("region", StringType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, rows, sides = _flat(batch)
+            if len(page):
+                names = [f"{x:012d}" for x in numbered(page, *sides, gap_x, gap_y).tolist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(page)) for i in (0, 1)), *rows.flatten(), pa.array(names, pa.string())], schema.names)
+
+    return pages.mapInArrow(run, schema)
 
-def elements(boxes: DataFrame, gap_x: float = GAP_X, gap_y: float = GAP_Y) -> DataFrame:
-    """doc_id, page, seq (from 0 in a document), type, text of words' boxes (doc_id, page, left, bottom, right, top, text).
+
+def page_elements(pages: DataFrame, gap_x: float = GAP_X, gap_y: float = GAP_Y) -> DataFrame:
+    """doc_id, page, place (from 0 on a page), text, height of the elements of pages (doc_id, page, boxes: an array of left, bottom, right, top, text).
+
+    heights and times, at a page's first element, tell how many of the page's boxes have which height.
+    """
+    light_batches(pages.sparkSession)
+    kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in PAGE)
+    names = [*PAGE, "place", "text", "height", "heights", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, rows, (left, bottom, right, top) = _flat(batch)
+            if not len(page):
+                continue
+            text, region, height = rows.field("text"), numbered(page, left, bottom, right, top, gap_x, gap_y), top - bottom
+            n = int(region.max()) + 1
+            total, boxes = _sums(region, height, n)
+            mean = np.divide(total, boxes, out=np.full(n, np.nan), where=boxes > 0)
+            line = _lined(region, (bottom + top) / 2, mean / 2)
+            order = _in_lines(region, line, left, right, text)
+            r, k = region[order], line[order]
+            of_line = np.cumsum(np.append(True, (r[1:] != r[:-1]) | (k[1:] != k[:-1]))) - 1
+            begins = np.flatnonzero(np.append(True, of_line[1:] != of_line[:-1]))
+            said = text.take(pa.array(order))
+            there = said.is_valid().to_numpy(zero_copy_only=False)
+            lines = pc.utf8_trim(pc.binary_join(pa.ListArray.from_arrays(_cuts(of_line[there], len(begins)), said.drop_null()), " "), " ")
+            texts = pc.binary_join(pa.ListArray.from_arrays(_cuts(r[begins], n), lines), "\n")
+            own = page[order][np.searchsorted(r, np.arange(n))]
+            first = np.append(True, own[1:] != own[:-1])
+            place = np.arange(n) - np.repeat(np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), n)))
+            measured = ~np.isnan(height)
+            values, code = np.unique(height[measured], return_inverse=True)
+            pairs, times = np.unique(page[measured] * max(1, len(values)) + code, return_counts=True)
+            counted = np.bincount(pairs // max(1, len(values)), minlength=batch.num_rows)
+            cuts = pa.array(np.append(0, np.cumsum(np.where(first, counted[own], 0))), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (values[pairs % max(1, len(values))], times)]
+            columns = [*(batch.column(i).take(pa.array(own)) for i in (0, 1)), pa.array(place, pa.int32()), texts, pa.array(mean, mask=boxes == 0), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return pages.select(*PAGE, "boxes").mapInArrow(run, f"{kinds}, place int, text string, height double, heights array<double>, times array<long>")
+
+
+def document_elements(pages: DataFrame, gap_x: float = GAP_X, gap_y: float = GAP_Y) -> DataFrame:
+    """doc_id, page, seq (from 0 in a document), type, text of pages as `page_elements` takes them.
 
     A region is an element: a title if its letters are higher than the document's median, else a paragraph.
     """
-    by = [*PAGE, "region"]
-    placed = with_lines(regions(boxes, gap_x, gap_y), by, F.avg(F.col("top") - F.col("bottom")) / 2)
-    height = F.col("top") - F.col("bottom")
-    lines = line_texts(placed, by, False, F.sum(height).alias("heights"), F.count(height).alias("boxes"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    usual = boxes.groupBy("doc_id").agg(F.percentile_approx(F.col("top") - F.col("bottom"), 0.5).alias("usual"))
-    rows = lines.groupBy(*by).agg(text.alias("text"), (F.sum("heights") / F.sum("boxes")).alias("height")).join(usual, "doc_id")
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "region")) - 1
-    return rows.select("doc_id", "page", seq.alias("seq"), F.when(F.col("height") >= F.col("usual") * TITLE_RATIO, "title").otherwise("paragraph").alias("type"), "text")
+    rows = stored(page_elements(pages, gap_x, gap_y), "layout")
+    each = rows.select("doc_id", F.explode(F.arrays_zip("heights", "times")).alias("e")).groupBy("doc_id", F.col("e.heights").alias("height")).agg(F.sum("e.times").alias("n"))
+    own = Window.partitionBy("doc_id")
+    middle = each.withColumns({"upto": F.sum("n").over(own.orderBy("height")), "all": F.sum("n").over(own)}).where(2 * F.col("upto") >= F.col("all"))
+    usual = middle.groupBy("doc_id").agg(F.min("height").alias("usual"))
+    seq = F.row_number().over(own.orderBy("page", "place")) - 1
+    kind = F.when(F.col("height") >= F.col("usual") * TITLE_RATIO, "title").otherwise("paragraph")
+    return rows.join(usual, "doc_id").select("doc_id", "page", seq.alias("seq"), kind.alias("type"), "text")
+
+
+def elements(boxes: DataFrame, gap_x: float = GAP_X, gap_y: float = GAP_Y) -> DataFrame:
+    """`document_elements` of words' boxes (doc_id, page, left, bottom, right, top, text), one a row and in any order."""
+    return document_elements(paged(boxes.select(*PAGE, *SIDES, "text")), gap_x, gap_y)

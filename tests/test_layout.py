@@ -134,3 +134,61 @@ def test_lines_need_no_join(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert {r["text"]: r["line"] for r in got.collect()} == {"a": 0, "b": 1, "c": 0}
+
+
+def said(boxes):
+    """The text of a region of (left, bottom, right, top, text)."""
+    tolerance = sum(b[3] - b[1] for b in boxes) / len(boxes) / 2
+    anchors, lines = [], {}
+    for y in sorted({(b[1] + b[3]) / 2 for b in boxes}, reverse=True):
+        if not anchors or anchors[-1] - y > tolerance:
+            anchors.append(y)
+    for b in sorted(boxes, key=lambda b: (b[0], b[2], b[4] is not None, b[4] or "")):
+        lines.setdefault(sum(a >= (b[1] + b[3]) / 2 for a in anchors), []).append(b[4])
+    return "\n".join(" ".join(x for x in lines[k] if x is not None).strip(" ") for k in sorted(lines))
+
+
+def test_elements_of_whole_pages(spark):
+    """A page's boxes are one row and are worked on where they lie; the same elements come of single boxes."""
+    rng, pages, want = random.Random(8), [], {}
+    for page in range(30):
+        boxes = []
+        for i in range(rng.randint(1, 60)):
+            x, y = rng.randint(0, 12) * 20.0, rng.randint(0, 30) * 7.0
+            boxes.append((x, y, x + rng.choice([10.0, 15.0]), y + rng.choice([5.0, 10.0]), rng.choice([None, "", "a b", f"t{i}", "ä", "same", "same"])))
+        pages.append(("d" if page < 29 else "e", page, boxes))
+        want[page] = [said(part) for part in walked(boxes)]
+    pages += [("e", 40, []), ("f", 41, None)]
+    kind = "doc_id string, page int, boxes array<struct<left:double,bottom:double,right:double,top:double,text:string>>"
+    rows = spark.createDataFrame(pages, kind).repartition(3)
+    alone = layout.page_elements(rows)
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1  # repartition's
+    got = {}
+    for r in alone.collect():
+        got.setdefault(r["page"], {})[r["place"]] = r["text"]
+    assert {p: [own[k] for k in range(len(own))] for p, own in got.items()} == want
+    whole = layout.document_elements(rows).collect()
+    single = layout.elements(rows.select("doc_id", "page", F.explode("boxes").alias("b")).select("doc_id", "page", "b.*")).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, single))
+    assert [r["text"] for r in sorted(whole, key=lambda r: (r["doc_id"], r["seq"]))] == [t for p in sorted(want) for t in want[p]]
+    heights = sorted(b[3] - b[1] for b in pages[29][2])
+    usual = heights[(len(heights) - 1) // 2]
+    for r, part in zip(sorted((r for r in whole if r["doc_id"] == "e"), key=lambda r: r["seq"]), walked(pages[29][2]), strict=True):
+        assert r["type"] == ("title" if sum(b[3] - b[1] for b in part) / len(part) >= usual * 1.3 else "paragraph")
+
+
+def test_boxes_without_some_sides(spark):
+    rows = [("d", 0, 0.0, 10.0, 5.0, 20.0, "b"), ("d", 0, None, 10.0, 4.0, 20.0, "a"), ("d", 0, 6.0, None, 9.0, 20.0, "first"), ("d", 0, 25.0, 10.0, None, 20.0, "c"), ("d", 0, 40.0, 11.0, 41.0, 20.0, "d")]
+    got = layout.elements(spark.createDataFrame(rows, BOX)).orderBy("seq").collect()
+    assert [r["text"] for r in got] == ["first\na b", "c", "d"]
+
+
+def test_set_pages_are_rows(spark):
+    from corvane.plans.layouts import place_on_page, set_pages
+
+    pages = set_pages(spark, "/root/testdata/sf0.001")
+    assert pages.columns == ["doc_id", "page", "boxes"]
+    assert "Exchange hashpartitioning" not in pages._jdf.queryExecution().executedPlan().toString()
+    assert place_on_page(0) == {"left": 0.0, "bottom": 779.0, "right": 152.0, "top": 797.0}
+    assert place_on_page(203) == {"left": 570.0, "bottom": 475.0, "right": 625.0, "top": 485.0}
