@@ -39,6 +39,8 @@ BLOCK_CHUNKS, BUCKETS = 8192, 32
 FILES = 4096
 #: Queries that are scored against a block at once.
 ASKED = 256
+#: Replaced documents that are broadcast at most.
+SENT = 1 << 19
 #: Sums of the same numbers in another order differ by less.
 SLACK = 1e-6
 SCOPES = ("workspace_id", "knowledge_base_id")
@@ -219,11 +221,19 @@ class KeywordIndex:
         """term, tf, dl, number, segment and scope columns of every living posting."""
         return self._flat(self.store.table("blocks"))
 
-    def totals(self) -> DataFrame:
-        """term, df, total: counted within blocks where nothing is gone."""
-        if self.store.table("gone") is None:
-            return self.store.table("blocks").groupBy("term").agg(F.sum("n").alias("df"), F.sum("tokens").alias("total"))
-        return self.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    def totals(self, where: Column | None = None) -> DataFrame:
+        """term, df, total of the living postings, or of those in the scopes that `where` names: sums over blocks, less what the chunks that are gone hold, whose texts alone are cut again."""
+        shown = (lambda rows: rows) if where is None else (lambda rows: rows.where(where))
+        rows = shown(self.store.table("blocks")).select("term", F.col("n").cast("bigint").alias("df"), F.col("tokens").alias("total"))
+        last = self._gone()
+        if last is None:
+            return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+        chunks, few = shown(self.store.table("chunks")), self.store.table("gone").count() <= SENT
+        dead = chunks.join(last.hint("broadcast") if few else last, (chunks["doc_id"] == last["gone_id"]) & (chunks["segment"] < last["before"]), "left_semi")
+        less = lambda terms, df, total: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(df).cast("bigint").alias("df"), F.lit(total).cast("bigint").alias("total")))
+        tokens = dead.select(X.index_tokens(F.col("content")).alias("tokens"))
+        out = tokens.select(F.explode(F.concat(less(F.array_distinct("tokens"), -1, 0), less(F.col("tokens"), 0, -1))).alias("t")).select("t.*")
+        return rows.unionByName(out).groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where("df > 0")
 
     def size(self) -> tuple[int, float]:
         """The number of living chunks and their average length: of all, less those that are gone, whose texts alone are cut again."""

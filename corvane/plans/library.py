@@ -66,5 +66,4 @@ t AS (SELECT path, i, term, count(*) AS tf FROM (SELECT path, i, unnest({tokens_
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM t GROUP BY term""")
 def sc23_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published postings of documents (those of pages left out), after replacement and replay."""
-    rows = kept_library(spark, sf_dir).index.postings().where("knowledge_base_id <> 'pages'")
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    return kept_library(spark, sf_dir).index.totals(F.col("knowledge_base_id") != "pages")

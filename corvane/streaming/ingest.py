@@ -51,15 +51,16 @@ class Library:
         latest = Window.partitionBy("path").orderBy(F.desc("modificationTime"), F.desc("length"))
         rows = arrived.where(readers.is_source(F.col("path"))).withColumn("place", F.row_number().over(latest)).where("place = 1")
         rows = rows.withColumn("ext", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
-        read = stored(readers.load(rows, self.more), "ingest-read")
+        read = readers.load(rows, self.more)
         fault = F.when(~F.col("ext").isin(*readers.EXTENSIONS), F.lit(UNSUPPORTED)).when(F.col("error").isNotNull(), F.col("error")).when(X.collapse(F.col("text")) == "", F.lit(EMPTY))
-        read = read.select(F.lit(self.workspace).alias("workspace_id"), F.coalesce(self.base_of(F.col("path")), F.lit("")).alias("knowledge_base_id"), document_id(F.col("path")).alias("doc_id"), "path", "ext", "text", fault.alias("reason"))
+        # what texts tell is kept beside them: they are read again for the chunks alone
+        read = stored(read.select(F.lit(self.workspace).alias("workspace_id"), F.coalesce(self.base_of(F.col("path")), F.lit("")).alias("knowledge_base_id"), document_id(F.col("path")).alias("doc_id"), "path", "ext", "text", fault.alias("reason"), F.length("text").alias("n_chars")), "ingest-read")
         number = self.store.version + 1
         good = read.where("reason IS NULL")
         segment = self.index.segment(self.chunker(good.select(*SCOPES, "doc_id", "text")), read.select("doc_id"))
         counts = self.store.part(segment["chunks"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
         name = F.element_at(F.split("path", "/"), -1)
-        documents = good.join(counts, "doc_id", "left").select(*SCOPES, "doc_id", name.alias("name"), F.col("path").alias("storage_path"), F.col("ext").alias("file_type"), F.lit("indexed").alias("parse_status"), F.length("text").alias("n_chars"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.lit(batch).alias("batch"), F.lit(number).alias("version"))
+        documents = good.drop("text").join(counts, "doc_id", "left").select(*SCOPES, "doc_id", name.alias("name"), F.col("path").alias("storage_path"), F.col("ext").alias("file_type"), F.lit("indexed").alias("parse_status"), "n_chars", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.lit(batch).alias("batch"), F.lit(number).alias("version"))
         documents = self.store.write(documents, "documents")
         bad = self.store.write(read.where("reason IS NOT NULL").select(*SCOPES, "doc_id", F.col("path").alias("storage_path"), "reason", F.lit(batch).alias("batch"), F.lit(number).alias("version")), "quarantine")
         done = self.store.part(documents).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("chunks")).first()

@@ -127,3 +127,20 @@ def test_chunks_are_kept_without_an_index_and_blocks_without_a_sort(spark, monke
     index = adapters.kept_index(spark, sf_dir)
     assert not [name for name, wide in sorts if wide] and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == open_before
     assert index.store.table("chunks").count() == adapters.kept_chunks(spark, sf_dir).count() and index.totals().count() > 0
+
+
+def test_totals_after_replacements_read_no_postings(spark, tmp_path):
+    """df and total are sums over blocks, less those of the chunks that are gone; of some scopes too."""
+    index = KeywordIndex(Versioned(spark, f"file://{tmp_path}/index"), 4)
+    corpus = [r for i in range(12) for r in document(f"d{i}", f"k{i % 3}", i, 5)]
+    index.add(spark.createDataFrame(corpus, COLUMNS))
+    late = document("d3", "k1", 50, 4) + document("d4", "k1", 51, 2)
+    index.add(spark.createDataFrame(late, COLUMNS))
+    index.delete(spark.createDataFrame([("d7",), ("d0",)], "doc_id string"))
+    for where in (None, F.col("knowledge_base_id") != "k2", F.col("knowledge_base_id") == "none"):
+        got = index.totals(where)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "entries" not in plan and "Window" not in plan
+        rows = index.postings() if where is None else index.postings().where(where)
+        want = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
